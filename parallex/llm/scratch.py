@@ -32,3 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, not only by
+    rows, unless the session already does: texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not str(now).isdigit() or int(now) > limit:
+        spark.conf.set(key, str(limit))
