@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from parallex.llm import jaccard_join, quality_rules
+from parallex.llm import jaccard_join, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op6_packing": packing.op6_packing,
     }
 
 
