@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parallex.llm import jaccard_join, packing, quality_rules
+from parallex.llm import jaccard_join, packing, quality_mil, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op6_packing": packing.op6_packing,
+        "op7_quality_classifier": quality_mil.op7_quality_classifier,
     }
 
 
