@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from parallex.llm import jaccard_join, packing, quality_mil, quality_rules
+from parallex.llm import jaccard_join, line_dedup, packing, quality_mil, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op6_packing": packing.op6_packing,
         "op7_quality_classifier": quality_mil.op7_quality_classifier,
