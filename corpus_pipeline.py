@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallex.llm import quality_rules
+import public_tokenizers
+
+from parallex.llm import jaccard_join, line_dedup, packing, quality_mil, quality_rules
 from parallex.llm.scratch import written
 
 
@@ -13,7 +15,35 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality_rules", rules_stage)]
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier (7), learnt from the labelled documents: rejects go."""
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality_mil.fit(known, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_mil.keep_good(docs, model)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup (2): of each group of like lines the first stays."""
+    return line_dedup.without_repeats(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (1), five words and 0.8: one document of each group stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing (6) of what is left."""
+    return packing.pack(docs, packing.Packing(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("quality_classifier", classifier_stage),
+    ("line_dedup", lines_stage),
+    ("ngram_jaccard", jaccard_stage),
+    ("packing", packing_stage),
+]
 
 #: Learned scores and packing are beyond SQL.
 ORACLE_SQL = None
