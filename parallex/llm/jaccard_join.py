@@ -31,18 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from parallex.llm.graph import components
+from parallex.llm.buckets import heavy_keys, linked
 from parallex.llm.scratch import bounded_batches, written
 from parallex.llm.textscan import mix64, scan_words, shingle_sets, slices
 
 _U = np.uint64
 _SKETCH = 8
-#: Keys that the sample shows to be heavy are dealt over so many salts.
-_SALTS = 64
-#: At most so many keys are salted; the rest stay whole.  Results don't depend on it.
-_HEAVY_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -212,18 +207,25 @@ def _links(pairs: DataFrame, texts: DataFrame, params: JaccardJoin) -> DataFrame
     return pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(params), "a long, b long")
 
 
+def _band_counts(docs: DataFrame, params: JaccardJoin) -> dict[int, int]:
+    """Documents of each band by their spaces, for the cost model: one cheap
+    scan of all texts; a few hundred sums reach the driver."""
+    sized = docs.where("text is not null").select((F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("spaces"))
+    steps = sized.groupBy(F.floor(F.log(F.col("spaces") + 1.0) * 16).alias("step")).count().collect()
+    schemes, counts = Schemes(params, {}), {}
+    for step, count in steps:
+        own = schemes.of(max(1, int(np.exp(step / 16)) + 1 - params.width))[0]
+        counts[own] = counts.get(own, 0) + count
+    return counts
+
+
 def join(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``
     (``doc_id``, ``text``)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = F.greatest(F.lit(1), F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 2 - params.width)
-    edge = Schemes(params, {})
-    edge.of(1 << 40)
-    band = F.size(F.filter(F.array(*[F.lit(x) for x in edge.starts]), lambda x: x <= size)) - 1
-    counts = {r[0]: r[1] for r in docs.where("text is not null").groupBy(band.alias("k")).count().collect()}
-    schemes = Schemes(params, counts)
+    schemes = Schemes(params, _band_counts(docs, params))
 
     rows = written(docs.mapInArrow(_features(schemes), _FEATURES), "sets")
     known = rows.where("n > 0 and doc_id is not null")
@@ -231,38 +233,10 @@ def join(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> DataFrame:
     sets = known.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
     facts = classes.select(F.col("rep").alias("id")).join(known.withColumnRenamed("doc_id", "id").drop("keys", "h1", "h2"), "id").dropDuplicates(["id", "n"])
 
-    heavy = F.broadcast(
-        known.sample(0.01, 7).select(F.explode("keys").alias("key")).groupBy("key").count().where("count >= 50")
-        .orderBy(F.desc("count"), "key").limit(_HEAVY_KEYS).select("key", F.lit(_SALTS).alias("salts"))
-    )
-    entries = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).join(heavy, "key", "left")
-    entries = entries.select("id", "key", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(0)).alias("salt"))
-    bucket = Window.partitionBy("key", "salt")
-    entries = entries.select("id", "key", "salt", F.min("id").over(bucket).alias("rep"), F.max("id").over(bucket).alias("top"))
-    members = written(entries.where("rep <> top or salt <> 0").select("id", "key", "rep"), "members")
-
-    heads = members.where("id = rep").select("id", "key").distinct()
-    shared = heads.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep <> top")
-    star = members.select("id", "rep").unionByName(heads.join(shared, "key").select("id", "rep"))
-    star = star.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    entries = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    heavy = heavy_keys(known.sample(0.01, 7).select(F.explode("keys").alias("key")))
     texts = docs.where("doc_id is not null")
-    x, y = facts.alias("x"), facts.alias("y")
-    star = star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-    star = star.where(_possible("x", "y", params.percent)).select("a", "b").distinct()
-    first = written(_links(star, texts, params), "links")
-    label = components(first)
-
-    now = members.select("id", "key").distinct().join(label.withColumnRenamed("node", "id"), "id", "left")
-    now = now.withColumn("component", F.coalesce("component", "id"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    now = written(now.join(mixed.select("key"), "key").join(facts, "id"), "mixed")
-    rest = now.alias("x").join(
-        now.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", params.percent),
-    )
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = written(_links(rest, texts, params), "links")
-    label = written(components(first.unionByName(second)), "components")
+    label = linked(entries, heavy, facts, lambda x, y: _possible(x, y, params.percent), lambda pairs: _links(pairs, texts, params))
 
     out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
