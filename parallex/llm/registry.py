@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parallex.llm import jaccard_join, line_dedup, packing, quality_mil, quality_rules
+from parallex.llm import jaccard_join, line_dedup, packing, quality_mil, quality_rules, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op6_packing": packing.op6_packing,
         "op7_quality_classifier": quality_mil.op7_quality_classifier,
+        "op9_token_counts": token_counts.op9_token_counts,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 

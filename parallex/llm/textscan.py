@@ -52,13 +52,18 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def scan_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def scan_words(
+    data: np.ndarray, bounds: np.ndarray, space: np.ndarray | None = None, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends and hashes in ``data``, and the first word of each
-    document; ``bounds`` are the documents' offsets, n + 1 of them."""
+    document; ``bounds`` are the documents' offsets, n + 1 of them.  ``space``
+    and ``weights`` by byte value stand in for the usual ones."""
+    space = _SPACE if space is None else space
+    weights = _WEIGHTS if weights is None else weights
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(len(bounds), np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.empty(n, dtype=bool)
     edge[0] = True
     edge[1:] = ~word[:-1]
@@ -72,7 +77,7 @@ def scan_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.flatnonzero(word & edge) + 1
     if len(starts):
         up, down = _power(n)
-        terms = _WEIGHTS[data]
+        terms = weights[data]
         terms *= up[:n]
         hashes = mix64(np.add.reduceat(terms, starts) * down[starts])
     else:
