@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from parallex.llm import jaccard_join, line_dedup, packing, quality_mil, quality_rules, token_counts, toxicity
+from parallex.llm import (
+    byte_bpe,
+    embedding_dedup,
+    jaccard_join,
+    language_model,
+    line_dedup,
+    packing,
+    quality_mil,
+    quality_rules,
+    token_counts,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -10,8 +21,11 @@ def queries() -> dict:
         "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+        "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_packing": packing.op6_packing,
         "op7_quality_classifier": quality_mil.op7_quality_classifier,
+        "op8_language_model": language_model.op8_language_model,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_toxicity": toxicity.op10_toxicity,
     }
