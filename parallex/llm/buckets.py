@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parallex.llm.graph import components
-from parallex.llm.scratch import written
+from parallex.llm.scratch import discard, written
 
 #: Keys that a sample shows to be heavy are dealt over so many salts.
 SALTS = 64
@@ -62,4 +62,6 @@ def linked(
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & possible("x", "y")
     rest = now.alias("x").join(now.alias("y"), across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     second = written(verify(rest), "links")
-    return written(components(first.unionByName(second)), "components")
+    found = written(components(first.unionByName(second)), "components")
+    discard(members, first, now, second)
+    return found

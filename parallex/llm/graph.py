@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallex.llm.scratch import written
+from parallex.llm.scratch import discard, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
-        now = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        last, now = now, written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     star = now.groupBy("a").agg(F.min("b").alias("component"))
