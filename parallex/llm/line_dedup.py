@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallex.llm.buckets import heavy_keys, linked
+from parallex.llm.graph import components
 from parallex.llm.scratch import bounded_batches, written
 from parallex.llm.textscan import _power, mix64, slices
 
@@ -53,7 +54,7 @@ _BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 def scan_lines(data: np.ndarray, bounds: np.ndarray):
     """Of all lines with a word: document, line number, hash, SimHash, words and
-    characters' bytes of the normalised line."""
+    characters of the normalised line."""
     newline = np.flatnonzero(data == 10)
     per_doc = 1 + np.diff(np.searchsorted(newline, bounds))
     edges = np.sort(np.concatenate([bounds[:-1], newline + 1]))
@@ -92,7 +93,8 @@ def scan_lines(data: np.ndarray, bounds: np.ndarray):
             mass = np.add.reduceat(bits, at[lo:hi] - a, axis=0, dtype=np.int32)
             heavy = np.add.reduceat(weight[a:b].astype(np.int32), at[lo:hi] - a)
             sims[lo:hi] = np.packbits(2 * mass > heavy[:, None], axis=1).view(_U)[:, 0]
-    chars = np.add.reduceat(length, at) + n - 1
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    chars = np.add.reduceat(lead[ends] - lead[starts], at) + n - 1
     return doc[full], line[full], hashes.view(np.int64), sims.view(np.int64), n, chars
 
 
@@ -153,13 +155,37 @@ def similar(a: str, b: str, percent: int) -> bool:
     return 100 * edit_distance(a, b) <= (100 - percent) * longest
 
 
+_GRAMS = 2048
+
+
+def _enough_grams(left: list[str], right: list[str], percent: int) -> np.ndarray:
+    """Pairs that three-letter grams don't rule out.  An edit changes at most
+    three of a line's grams, so similar lines share many; grams are counted in
+    cells, which can only overstate what is shared."""
+    lines = left + right
+    size = np.array([len(x) for x in lines])
+    letters = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    cells = ((letters[:-2] * _U(0x9E3779B1) + letters[1:-1] * _U(0x85EBCA77) + letters[2:] * _U(0xC2B2AE3D)) >> _U(13)).astype(np.int64) % _GRAMS if len(letters) > 2 else np.zeros(0, np.int64)
+    line = np.repeat(np.arange(len(lines)), size)[: len(cells)]
+    ends = np.cumsum(size)
+    inside = np.arange(len(cells)) + 2 < ends[line] if len(cells) else np.zeros(0, bool)
+    counts = np.bincount(line[inside] * _GRAMS + cells[inside], minlength=len(lines) * _GRAMS).reshape(len(lines), _GRAMS)
+    n = len(left)
+    shared = np.minimum(counts[:n], counts[n:]).sum(1)
+    longest = np.maximum(size[:n], size[n:])
+    return shared >= longest - 2 - 3 * ((100 - percent) * longest // 100)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(
-                [similar(normal(x.as_py()), normal(y.as_py()), percent) for x, y in zip(batch.column("ta"), batch.column("tb"))],
-                pa.bool_(),
-            )
+            keep = []
+            for first in range(0, batch.num_rows, 128):
+                part = batch.slice(first, 128)
+                left, right = ([normal(x) for x in part.column(c).to_pylist()] for c in ("ta", "tb"))
+                likely = _enough_grams(left, right, percent).tolist()
+                keep += [ok and similar(x, y, percent) for ok, x, y in zip(likely, left, right)]
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return run
@@ -168,13 +194,70 @@ def _verify(percent: int):
 def _possible(params: LineDedup):
     def test(x: str, y: str) -> Column:
         cx, cy = F.col(f"{x}.chars"), F.col(f"{y}.chars")
-        # Bytes stand in for characters: at most two bytes of a character more.
-        near = (2 * 100 * cx >= params.percent * cy) & (2 * 100 * cy >= params.percent * cx)
+        near = (100 * cx >= params.percent * cy) & (100 * cy >= params.percent * cx)
         return near & (F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= params.max_bits)
 
     return test
 
 
+#: Buckets of at most so many lines compare all of theirs in place; larger ones
+#: go through the rounds of ``linked``, which find the same components.
+_SHORT = 256
+
+
+def _meet(params: LineDedup):
+    """Rows sorted by key: the pairs of short buckets that are near in bits and
+    length (``a``, ``b``), and the rows of longer ones (``a`` = id, ``b`` = key,
+    ``long``).  At most a short bucket and a batch are held."""
+
+    def pairs(key, ids, sim, chars):
+        at, out = np.arange(1, len(key)), []
+        for d in range(1, _SHORT):
+            at = at[at >= d]
+            at = at[key[at] == key[at - d]]
+            if not len(at):
+                break
+            x, y = at - d, at
+            near = np.bitwise_count(sim[x] ^ sim[y]) <= params.max_bits
+            near &= (100 * chars[x] >= params.percent * chars[y]) & (100 * chars[y] >= params.percent * chars[x])
+            out.append(np.stack([ids[x[near]], ids[y[near]]]))
+        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+    def batch_of(found, long):
+        flags = np.full(found.shape[1], long)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(flags)], names=["a", "b", "long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        long_key = None
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "id", "sim", "chars")])
+            rows = np.concatenate([held, rows], axis=1)
+            if long_key is not None:
+                own = int(np.searchsorted(rows[0] != long_key, True))
+                yield batch_of(rows[1::-1, :own], True)
+                rows = rows[:, own:]
+                long_key = None if rows.shape[1] else long_key
+            if not rows.shape[1]:
+                held = rows
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+            size = np.diff(np.append(edge, rows.shape[1]))
+            last = edge[-1]
+            if size[-1] > _SHORT:
+                long_key, held = rows[0][-1], rows[:, :0]
+                big = np.repeat(size > _SHORT, size)
+            else:
+                held, rows = rows[:, last:], rows[:, :last]
+                big = np.repeat(size[:-1] > _SHORT, size[:-1])
+            if big.any():
+                yield batch_of(rows[1::-1, big], True)
+            yield batch_of(pairs(*rows[:, ~big]), False)
+        yield batch_of(pairs(*held), False)
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64("text")})
 
@@ -194,8 +277,14 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     facts = classes.select(F.col("h").alias("id"), "sim", "chars")
-    entries = classes.select(F.col("h").alias("id"), F.explode(keys).alias("key"))
-    heavy = heavy_keys(classes.sample(0.01, 7).select(F.explode(keys).alias("key")))
+    entries = facts.withColumn("key", F.explode(keys))
+    heavy = written(heavy_keys(facts.sample(0.01, 7).select(F.explode(keys).alias("key"))), "heavy")
+    dealt = entries.join(F.broadcast(heavy), "key", "left_anti").select("key", "id", "sim", "chars")
+    met = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(params), "a long, b long, long boolean")
+    met = written(met, "met")
+    near = met.where("not long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowded = met.where("long").select(F.col("a").alias("id"), F.col("b").alias("key"))
+    crowded = crowded.unionByName(entries.join(F.broadcast(heavy), "key", "left_semi").select("id", "key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
@@ -207,7 +296,11 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
         pairs = pairs.join(text.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b")
         return pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(params.percent), "a long, b long")
 
-    label = linked(entries, heavy, facts, _possible(params), verify)
+    links = written(verify(near), "links")
+    if not crowded.isEmpty():
+        rounds = linked(crowded, heavy, facts, _possible(params), verify)
+        links = written(links.unionByName(rounds.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
+    label = components(links)
     grouped = classes.select("h", "first").join(label.withColumnRenamed("node", "h"), "h", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "h"))
     stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
