@@ -141,7 +141,10 @@ def clean(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that are kept, without their failing lines; ``n_chars``
     follows the text.  Columns as those of ``docs``."""
     columns = docs.columns
-    out = judge(docs.withColumns({f"_in_{c}": F.col(c) for c in columns}), rules).where("kept")
+    out = judge(docs.withColumns({f"_in_{c}": F.col(c) for c in columns}), rules)
+    # A numbered row keeps the filter above the measures: pushed below them it
+    # would repeat all of them, some inside lambdas.
+    out = out.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
     lines = F.filter(F.arrays_zip(F.split(_text(), "\n").alias("l"), F.col("line_ok").alias("ok")), lambda z: z["ok"])
     text = F.array_join(F.transform(lines, lambda z: z["l"]), "\n")
     values = {c: F.col(f"_in_{c}") for c in columns} | {"text": text}
