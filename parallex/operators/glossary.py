@@ -113,7 +113,10 @@ def compliance(units: DataFrame, glossary: DataFrame) -> DataFrame:
     without checks), ``skipped_units`` without languages."""
     tagged = units.where("coalesce(source_language, '') <> '' and coalesce(target_language, '') <> ''")
     pairs = applicable(tagged, glossary).where(~F.col("conflict"))
-    pairs = pairs.withColumn("own", targets_for(F.col("entry"), F.col("target_language")))
+    # A protected entry asks for its own source term.
+    itself = F.array(F.struct(F.col("target_language").alias("language"), F.col("entry.source.term").alias("term"), F.lit("PREFERRED").alias("status")))
+    own = F.when(F.col("entry.behavior") == "PROTECT", itself).otherwise(targets_for(F.col("entry"), F.col("target_language")))
+    pairs = pairs.withColumn("own", F.filter(own, lambda t: t["status"].isin("PREFERRED", "ADMITTED", "FORBIDDEN"))).where(F.size("own") > 0)
     pairs = pairs.withColumn("row", F.struct("unit_id", "entry.id"))
     words = pairs.select("row", "target", "entry", F.posexplode_outer("own").alias("k", "t"))
     words = words.withColumns({"needle": text.normal(F.col("t.term"), F.col("entry.match.unicode_normalization"), F.col("entry.match.case_sensitive")), "hay": text.normal(F.col("target"), F.col("entry.match.unicode_normalization"), F.col("entry.match.case_sensitive"))})
