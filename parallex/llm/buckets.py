@@ -24,7 +24,7 @@ def heavy_keys(sampled: DataFrame, least: int = 50) -> DataFrame:
 
 
 def linked(
-    entries: DataFrame,
+    entries: list[DataFrame],
     heavy: DataFrame,
     facts: DataFrame,
     possible: Callable[[str, str], Column],
@@ -32,7 +32,9 @@ def linked(
 ) -> DataFrame:
     """``node`` and ``component`` of the items that have a verified link.
 
-    ``entries``: ``id``, ``key`` (longs); items of a bucket share a key.
+    ``entries``: ``id``, ``key`` (longs); items of a bucket share a key, and all
+    rows of a key are in one of the tables, which are worked off one by one so
+    that only one's shuffle is on disk at a time.
     ``facts``: ``id`` and what ``possible(x, y)`` reads of two aliases; a pair
     that fails it links never, or is of no interest.  ``verify`` keeps the
     linked ones of pairs ``a``, ``b``.
@@ -41,11 +43,17 @@ def linked(
     smallest id of its salt in heavy buckets.  Then only buckets that still
     hold several components compare, and only across components.
     """
-    entries = entries.join(F.broadcast(heavy), "key", "left")
-    entries = entries.select("id", "key", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(0)).alias("salt"), F.col("salts").isNotNull().alias("heavy"))
     bucket = Window.partitionBy("key", "salt")
-    entries = entries.select("id", "key", "heavy", F.min("id").over(bucket).alias("rep"), F.max("id").over(bucket).alias("top"))
-    members = written(entries.where("rep <> top or heavy"), "members")
+    found = []
+    for part in entries:
+        part = part.join(F.broadcast(heavy), "key", "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(0))
+        part = part.select("id", "key", salt.alias("salt"), F.col("salts").isNotNull().alias("heavy"))
+        part = part.select("id", "key", "heavy", F.min("id").over(bucket).alias("rep"), F.max("id").over(bucket).alias("top"))
+        found.append(written(part.where("rep <> top or heavy"), "members"))
+    members = found[0]
+    for part in found[1:]:
+        members = members.unionByName(part)
 
     heads = members.where("heavy and id = rep").select("id", "key").distinct()
     lowest = heads.groupBy("key").agg(F.min("id").alias("rep"))
@@ -62,6 +70,6 @@ def linked(
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & possible("x", "y")
     rest = now.alias("x").join(now.alias("y"), across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     second = written(verify(rest), "links")
-    found = written(components(first.unionByName(second)), "components")
-    discard(members, first, now, second)
-    return found
+    label = written(components(first.unionByName(second)), "components")
+    discard(*found, first, now, second)
+    return label

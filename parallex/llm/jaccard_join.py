@@ -38,6 +38,8 @@ from parallex.llm.textscan import mix64, scan_words, shingle_sets, slices
 
 _U = np.uint64
 _SKETCH = 8
+#: Key ranges that are shuffled one after another, to bound the disk in use.
+_SLICES = 4
 
 
 @dataclass(frozen=True)
@@ -132,43 +134,50 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The shingle set of each row, in order."""
+    for first, after, data, bounds in slices(batch.column("text")):
+        _, _, words, at = scan_words(data, bounds)
+        for i in range(after - first):
+            yield shingle_sets(words[at[i] : at[i + 1]], width)
+
+
+def _fingerprints(params: JaccardJoin):
+    """Sizes and two independent hashes of whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((3, batch.num_rows), _U)
+            for i, s in enumerate(_sets(batch, params.width)):
+                if len(s):
+                    out[:, i] = len(s), mix64(s * _U(0x9E3779B97F4A7C15)).sum(dtype=_U), mix64(s ^ _U(0xE7037ED1A0B428DB)).sum(dtype=_U)
+            n, h1, h2 = (pa.array(x.view(np.int64)) for x in out)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, h1, h2], names=["doc_id", "n", "h1", "h2"])
+
+    return run
+
+
 def _features(schemes: Schemes):
-    width = schemes.params.width
+    """Sizes, sketches and bucket keys of the classes' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, after, data, bounds in slices(batch.column("text")):
-                _, _, words, at = scan_words(data, bounds)
-                n = np.zeros(after - first, np.int64)
-                h1, h2 = np.zeros(after - first, _U), np.zeros(after - first, _U)
-                sketches = np.zeros((after - first, _SKETCH), np.int64)
-                keys, lens = [], np.zeros(after - first + 1, np.int32)
-                for i in range(after - first):
-                    s = shingle_sets(words[at[i] : at[i + 1]], width)
-                    if len(s):
-                        n[i] = len(s)
-                        h1[i] = mix64(s * _U(0x9E3779B97F4A7C15)).sum(dtype=_U)
-                        h2[i] = mix64(s ^ _U(0xE7037ED1A0B428DB)).sum(dtype=_U)
-                        sketches[i] = _sketch(s)
-                        keys.append(schemes.keys(s))
-                        lens[i + 1] = len(keys[-1])
-                flat = np.concatenate(keys) if keys else np.zeros(0, _U)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, after - first).cast(pa.int64()),
-                        pa.array(n),
-                        pa.array(h1.view(np.int64)),
-                        pa.array(h2.view(np.int64)),
-                        *[pa.array(np.ascontiguousarray(sketches[:, j])) for j in range(_SKETCH)],
-                        pa.ListArray.from_arrays(np.cumsum(lens, dtype=np.int32), pa.array(flat.view(np.int64))),
-                    ],
-                    names=["doc_id", "n", "h1", "h2", *[f"s{j}" for j in range(_SKETCH)], "keys"],
-                )
+            n, sketches = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, _SKETCH), np.int64)
+            keys, lens = [np.zeros(0, _U)], np.zeros(batch.num_rows + 1, np.int32)
+            for i, s in enumerate(_sets(batch, schemes.params.width)):
+                if len(s):
+                    n[i], sketches[i] = len(s), _sketch(s)
+                    keys.append(schemes.keys(s))
+                    lens[i + 1] = len(keys[-1])
+            flat = pa.array(np.concatenate(keys).view(np.int64))
+            sketch = [pa.array(np.ascontiguousarray(sketches[:, j])) for j in range(_SKETCH)]
+            lists = pa.ListArray.from_arrays(np.cumsum(lens, dtype=np.int32), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *sketch, lists], names=["doc_id", "n", *[f"s{j}" for j in range(_SKETCH)], "keys"])
 
     return run
 
 
-_FEATURES = "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"s{j} long" for j in range(_SKETCH)) + ", keys array<long>"
+_FEATURES = "doc_id long, n long, " + ", ".join(f"s{j} long" for j in range(_SKETCH)) + ", keys array<long>"
 
 
 def _verify(params: JaccardJoin):
@@ -227,14 +236,20 @@ def join(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schemes = Schemes(params, _band_counts(docs, params))
 
-    rows = written(docs.mapInArrow(_features(schemes), _FEATURES), "sets")
+    rows = written(docs.mapInArrow(_fingerprints(params), "doc_id long, n long, h1 long, h2 long"), "sets")
     known = rows.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = known.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
-    facts = classes.select(F.col("rep").alias("id")).join(known.withColumnRenamed("doc_id", "id").drop("keys", "h1", "h2"), "id").dropDuplicates(["id", "n"])
+    chosen = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = written(chosen.mapInArrow(_features(schemes), _FEATURES), "keys")
+    facts = sets.drop("keys").withColumnRenamed("doc_id", "id").dropDuplicates(["id", "n"])
+
+    def keys_of(table: DataFrame, k: int) -> DataFrame:
+        own = F.filter("keys", lambda x: F.pmod(x, F.lit(_SLICES)) == k)
+        return table.select(F.col("doc_id").alias("id"), F.explode(own).alias("key"))
 
-    entries = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    heavy = heavy_keys(known.sample(0.01, 7).select(F.explode("keys").alias("key")))
+    entries = [keys_of(sets, k) for k in range(_SLICES)]
+    sampled = sets.sample(0.01, 7).select(F.explode("keys").alias("key"))
+    heavy = written(heavy_keys(sampled), "heavy")
     texts = docs.where("doc_id is not null")
     label = linked(entries, heavy, facts, lambda x, y: _possible(x, y, params.percent), lambda pairs: _links(pairs, texts, params))
 

@@ -298,7 +298,7 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
 
     links = written(verify(near), "links")
     if not crowded.isEmpty():
-        rounds = linked(crowded, heavy, facts, _possible(params), verify)
+        rounds = linked([crowded], heavy, facts, _possible(params), verify)
         links = written(links.unionByName(rounds.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
     label = components(links)
     grouped = classes.select("h", "first").join(label.withColumnRenamed("node", "h"), "h", "left")
