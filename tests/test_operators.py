@@ -211,3 +211,22 @@ def test_records(spark, tmp_path):
 def test_entry_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_workflow(spark, tmp_path):
+    from parallex.operators import workflow
+
+    rules = spark.createDataFrame([("M", "must", "en", "TOKEN", "must")], "detector_id string, signal string, language string, match string, value string")
+    catalog = spark.createDataFrame([("T", ["TRANSLATE"], ["ANY"], ["must"])], "technique_id string, modes array<string>, roles array<string>, triggers array<string>")
+    out = workflow.intake(units(spark, ("You must use v1.2", "x v1.2")), rules, catalog, "TRANSLATE")
+    assert [r.matched for r in out["techniques"].collect()] == [["must"]]
+    assert [r.signal for r in out["unmatched"].collect()] == ["version_literal"] and out["issues"].count() == 0
+    ids = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "doc_id int, ordinal int, id string")
+    assert workflow.unbound(ids, ids).count() == 0
+    assert [r.artifact for r in workflow.unbound(ids, ids, ids.limit(1)).collect()] == [2]
+    assert workflow.versioned(spark, ids, f"file://{tmp_path}/t", 1).count() == 2
+    segments_ = spark.createDataFrame([(1, "l1", "a /x/y"), (2, "l2", "a /x/y"), (3, "l3", "操用户")], "ordinal int, location string, text string")
+    none = spark.createDataFrame([], "scope_key string, source_language string, target_language string, source string, kind string, target string")
+    context = F.struct(*[F.lit(None).cast("string").alias(c) for c in memory.FIELDS])
+    row = workflow.precheck(segments_, none, "en", "fr", context).first()
+    assert (row.extracted, row.repeated, row.protected_literals, row.memory_hits, row.typo_locations) == (3, 1, 2, 0, ["l3"])
