@@ -121,8 +121,10 @@ def test_edit_distance():
 
     rng = np.random.default_rng(3)
     for _ in range(300):
-        a, b = ("".join(rng.choice(list("abcé"), rng.integers(0, 14))) for _ in range(2))
+        a, b = ("".join(rng.choice(list("abcé  "), rng.integers(0, 14))) for _ in range(2))
         assert line_dedup.edit_distance(a, b) == plain(a, b)
+        longest = max(len(a), len(b))
+        assert line_dedup.similar(a, b, 80) == (100 * plain(a, b) <= 20 * longest)
         if line_dedup.similar(a, b, 80):
             assert line_dedup._enough_grams([a], [b], 80)[0]
 
