@@ -1,11 +1,14 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, components.
+"""Fuzzy line dedup: rarest words as keys, edit similarity, components.
 
 Lines are normalised (A-Z lowered, all digits alike, ASCII punctuation parts
-words) and equal ones form classes.  A class's SimHash of 64 bits, over its
-words weighted by length, is cut into six blocks; classes that agree in two
-blocks meet (so all within four bits do), pairs far apart in bits or length
-are put aside, the others' normalised lines are compared by edit similarity,
-and of each connected group the first occurrence stays, by ``doc_id`` and line.
+words) and equal ones form classes.  A class's keys are its rarest words: so many
+that an edit within the threshold can't change them all, if a changed word costs
+``share`` of its letters.  Frequent words are keys in pairs; long lines have their
+rarest pairs of neighbouring words instead, and lines of at most 24 letters also
+segments of letters, one of which every similar line holds.  Classes that share a key meet, pairs too
+far apart in length or letters to be similar are put aside, the others' normalised
+lines are compared by edit similarity, and of each connected group the first
+occurrence stays, by ``doc_id`` and line.
 
 Defined cases: lines without a letter or digit stay; a null text has no lines
 and stays null; null ids sort first; rows with the same id and text count as
@@ -17,7 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ _NO_ID = -(1 << 63)
 @dataclass(frozen=True)
 class LineDedup:
     percent: int = 80
-    #: SimHash bits in which a pair that is compared may differ.
-    max_bits: int = 16
+    #: Part of a word's letters that an edit is taken to cost when it changes the word.
+    share: float = 0.5
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -49,12 +53,25 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WEIGHT = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))[_FOLD] | _U(1)
 _WEIGHT[~_WORD] = 0
 _NORMAL = bytes(int(_FOLD[b]) if _WORD[b] else 32 for b in range(256))
-_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Letters of a line: cells for a to z, digits and others, by an octet.
+_CELL = np.full(256, -1, dtype=np.int64)
+_CELL[97:123] = _CELL[65:91] = np.arange(26)
+_CELL[48:58] = 26
+_CELL[128:] = 27 + np.arange(128) % 5
+#: Lines of at most so many letters are cut into segments.
+_SEGMENTED = 24
+#: Words are keys below the second length, pairs of neighbours from the first on.
+_LONG = (100, 125)
+#: Words that a sample shows to occur more often than this are frequent; at most so many are broadcast.
+_OFTEN, _FREQUENT = 8, 262_144
+#: Key ranges that are shuffled one after another, to bound the disk in use.
+_SLICES = 4
 
 
 def scan_lines(data: np.ndarray, bounds: np.ndarray):
-    """Of all lines with a word: document, line number, hash, SimHash, words and
-    characters of the normalised line."""
+    """Of all lines with a word: document, line number and hash; all words' hashes
+    and letters, each line's first word and number of words; characters of the
+    normalised line, and where the line begins."""
     newline = np.flatnonzero(data == 10)
     per_doc = 1 + np.diff(np.searchsorted(newline, bounds))
     edges = np.sort(np.concatenate([bounds[:-1], newline + 1]))
@@ -74,39 +91,181 @@ def scan_lines(data: np.ndarray, bounds: np.ndarray):
     full = np.flatnonzero(np.diff(first) > 0)
     if not len(full):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none
+        return none, none, none, none.view(_U), none, none, none, none, none
     up, down = _power(max(len(data), 1))
     words = mix64(np.add.reduceat(_WEIGHT[data] * up[: len(data)], starts) * down[starts])
     at, n = first[full], np.diff(first)[full]
     total = np.add.reduceat(words * up[: len(words)], at) * down[at]
     hashes = mix64(total + n.astype(_U))
-    length = ends - starts
-    weight = np.clip(length - 2, 1, 10).astype(np.uint8)
-    sims = np.zeros(len(full), _U)
-    step = 1 << 16
-    cut = np.searchsorted(at, np.arange(0, len(words) + step, step))
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        if lo < hi:
-            a, b = at[lo], at[hi] if hi < len(at) else len(words)
-            bits = np.unpackbits(words[a:b, None].view(np.uint8), axis=1)
-            bits *= weight[a:b, None]
-            mass = np.add.reduceat(bits, at[lo:hi] - a, axis=0, dtype=np.int32)
-            heavy = np.add.reduceat(weight[a:b].astype(np.int32), at[lo:hi] - a)
-            sims[lo:hi] = np.packbits(2 * mass > heavy[:, None], axis=1).view(_U)[:, 0]
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    chars = np.add.reduceat(lead[ends] - lead[starts], at) + n - 1
-    return doc[full], line[full], hashes.view(np.int64), sims.view(np.int64), n, chars
+    letters = lead[ends] - lead[starts]
+    chars = np.add.reduceat(letters, at) + n - 1
+    return doc[full], line[full], hashes.view(np.int64), words, letters, at, n, chars, edges[full]
+
+
+def letter_bags(data: np.ndarray, begins: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each line in 32 cells of four bits: what two bags differ in is
+    at most twice the edit distance, for full cells can only hide a difference."""
+    final = _CELL[data]
+    final[:-1][(data[1:] & 0xC0) == 0x80] = -1
+    size = after - begins
+    own = np.repeat(np.arange(len(begins)), size)
+    place = np.arange(len(own)) + np.repeat(begins - (np.cumsum(size) - size), size)
+    final = final[place]
+    own, final = own[final >= 0], final[final >= 0]
+    cells = np.bincount(own * 32 + final, minlength=len(begins) * 32).reshape(-1, 32)
+    nibbles = np.minimum(cells, 15).astype(_U) << (_U(4) * np.tile(np.arange(16, dtype=_U), 2))
+    return nibbles[:, :16].sum(1, dtype=_U).view(np.int64), nibbles[:, 16:].sum(1, dtype=_U).view(np.int64)
+
+
+def _bags_differ(x, y) -> np.ndarray:
+    """What two arrays of bags (two longs each) differ in."""
+    total = np.zeros(x.shape[1], np.int64)
+    for half in (0, 1):
+        p, q = x[half].view(_U), y[half].view(_U)
+        for shift in range(0, 64, 4):
+            total += np.abs((p >> _U(shift) & _U(15)).astype(np.int64) - (q >> _U(shift) & _U(15)).astype(np.int64))
+    return total
+
+
+def word_keys(words, letters, at, n, chars, frequent: tuple[np.ndarray, np.ndarray], params: LineDedup):
+    """Line and key of each line's keys by words.
+
+    ``frequent``: hashes, sorted, and counts.  Any order of words that is the same
+    for all lines finds the same pairs, for the rarest word that two lines share
+    comes after no more of either line's words than an edit may change."""
+    line = np.repeat(np.arange(len(at)), n)
+    budget = (100 - params.percent) * chars // 100
+    known, counts = frequent
+    rank = np.zeros(len(words), np.int64)
+    if len(known):
+        near = np.minimum(np.searchsorted(known, words.view(np.int64)), len(known) - 1)
+        rank = np.where(known[near] == words.view(np.int64), counts[near], 0)
+    own, keys = [], []
+
+    def add(where, value):
+        own.append(where)
+        keys.append(mix64(value))
+
+    # A changed word breaks two pairs of neighbours, each of which has half its cost.
+    i = np.flatnonzero((line[1:] == line[:-1]) & (chars[line[1:]] >= _LONG[0]))
+    cost = 2 * params.share * (letters[i] + letters[i + 1]) / 4
+    pair = mix64(words[i]) * _U(5) + words[i + 1]
+    order = np.lexsort((pair, (rank[i] + 1.0) * (rank[i + 1] + 1.0), line[i]))
+    where, pair, cost = line[i][order], pair[order], cost[order]
+    before = np.cumsum(cost) - cost
+    before -= before[np.searchsorted(where, where)]
+    chosen = before <= budget[where]
+    add(where[chosen], pair[chosen])
+
+    few = (chars < _LONG[1])[line]
+    line, words, rank, letters = line[few], words[few], rank[few], letters[few]
+    order = np.lexsort((words, rank, line))
+    line, word, rank, cost = line[order], words[order], rank[order], letters[order]
+    new = np.ones(len(word), dtype=bool)
+    new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
+    line, word, rank, cost = line[new], word[new], rank[new], np.maximum(1, params.share * cost[new])
+    first = np.searchsorted(line, line)
+    before = np.cumsum(cost) - cost
+    before -= before[first]
+    base = line * float(1 << 32)
+    most = np.concatenate([np.zeros(min(1, len(line))), np.maximum.accumulate(base + cost)[:-1]]) - base
+    most[first] = 0
+    often = rank > 0
+    alone = ~often & (before <= budget[line])
+    add(line[alone], word[alone])
+    both = often & (before - most <= budget[line])
+    l, w = line[both], word[both]
+    for step in range(1, len(l)):
+        i = np.flatnonzero(l[step:] == l[:-step])
+        if not len(i):
+            break
+        add(l[i], mix64(w[i]) * _U(3) + w[i + step])
+    return np.concatenate(own), np.concatenate(keys)
+
+
+def segment_keys(line: str, percent: int) -> set[int]:
+    """Of a short line: its segments, for lines as long or longer, and the parts
+    that can equal a segment of lines as long or shorter.  With one segment more
+    than edits, one stays whole, moved by no more than half of the edits and of
+    the lengths' difference."""
+    size, out = len(line), set()
+    edits = lambda longest: (100 - percent) * longest // 100
+
+    def add(length, d, i, part):
+        out.add(((length * 64 + d) * 64 + i << 32) + crc32(part.encode()))
+
+    for d in {edits(x) for x in range(size, size * 100 // percent + 1)}:
+        for i in range(d + 1):
+            add(size, d, i, line[size * i // (d + 1) : size * (i + 1) // (d + 1)])
+    d = edits(size)
+    for shorter in range(-(-size * percent // 100), size + 1):
+        before, behind = (d - size + shorter) // 2, (d + size - shorter) // 2
+        for i in range(d + 1):
+            at, end = shorter * i // (d + 1), shorter * (i + 1) // (d + 1)
+            for place in range(max(0, at - before), min(size - end + at, at + behind) + 1):
+                add(shorter, d, i, line[place : place + end - at])
+    return out
+
+
+def _line_keys(data, begins, stop, h, words, letters, at, n, chars, frequent, params: LineDedup):
+    """Numbers of keys of all lines, and the keys; of equal lines one has them."""
+    own, keys = word_keys(words, letters, at, n, chars, frequent, params)
+    once = np.zeros(len(at), dtype=bool)
+    once[np.unique(h, return_index=True)[1]] = True
+    owners, more = [own[once[own]]], [keys[once[own]]]
+    # A line with a partner of at most 24 letters is at most that long over percent.
+    for i in np.flatnonzero(once & (chars * params.percent <= _SEGMENTED * 100)):
+        found = segment_keys(normal(data[begins[i] : stop[i]].tobytes().decode("utf-8", "replace")), params.percent)
+        owners.append(np.full(len(found), i))
+        more.append(mix64(np.array(list(found), dtype=_U)))
+    own, keys = np.concatenate(owners), np.concatenate(more)
+    order = np.lexsort((keys, own))
+    own, keys = own[order], keys[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])
+    return np.bincount(own[new], minlength=len(at)), keys[new].view(np.int64)
+
+
+def _lines(frequent: tuple[np.ndarray, np.ndarray], params: LineDedup):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, after, data, bounds in slices(batch.column("text")):
+                doc, line, h, words, letters, at, n, chars, begins = scan_lines(data, bounds)
+                if not len(doc):
+                    continue
+                stop = np.append(np.flatnonzero(data == 10), len(data))
+                stop = np.minimum(stop[np.searchsorted(stop, begins)], bounds[doc + 1])
+                s0, s1 = letter_bags(data, begins, stop)
+                count, keys = _line_keys(data, begins, stop, h, words, letters, at, n, chars, frequent, params)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys))
+                where = pa.array(doc + begin)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k").take(where), batch.column("th").take(where), pa.array(line.astype(np.int32)), pa.array(h), pa.array(s0), pa.array(s1), pa.array(chars), lists],
+                    names=["k", "th", "line", "h", "s0", "s1", "chars", "keys"],
+                )
 
+    return run
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _word_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes and counts of words."""
     for batch in batches:
-        for begin, after, data, bounds in slices(batch.column("text")):
-            doc, line, h, sim, n, chars = scan_lines(data, bounds)
-            where = pa.array(doc + begin)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k").take(where), batch.column("th").take(where), pa.array(line.astype(np.int32)), pa.array(h), pa.array(sim), pa.array(chars)],
-                names=["k", "th", "line", "h", "sim", "chars"],
-            )
+        for _, _, data, bounds in slices(batch.column("text")):
+            found, count = np.unique(scan_lines(data, bounds)[3].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], names=["w", "c"])
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent words, by a sample of texts: a table of bounded size, which
+    orders words and bounds buckets."""
+    part = min(64, max(1, docs.count() // 20_000))
+    counts = docs.where(F.pmod("th", F.lit(part)) == 0).mapInArrow(_word_lines, "w long, c long")
+    counts = counts.groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") * part > _OFTEN)
+    top = counts.orderBy(F.desc("c"), "w").limit(_FREQUENT).toArrow()
+    w, c = top.column("w").to_numpy(), top.column("c").to_numpy()
+    order = np.argsort(w)
+    return w[order], c[order]
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -197,10 +356,17 @@ def _verify(percent: int):
 
 
 def _possible(params: LineDedup):
+    """No pair that is similar fails this: lengths and bags of letters."""
+
+    def nibble(side: str, half: int, shift: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"{side}.s{half}"), shift).bitwiseAND(F.lit(15))
+
     def test(x: str, y: str) -> Column:
         cx, cy = F.col(f"{x}.chars"), F.col(f"{y}.chars")
         near = (100 * cx >= params.percent * cy) & (100 * cy >= params.percent * cx)
-        return near & (F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= params.max_bits)
+        cells = [(half, shift) for half in (0, 1) for shift in range(0, 64, 4)]
+        apart = reduce(lambda p, q: p + q, (F.abs(nibble(x, *c) - nibble(y, *c)) for c in cells))
+        return near & (50 * apart <= (100 - params.percent) * F.greatest(cx, cy))
 
     return test
 
@@ -211,20 +377,21 @@ _SHORT = 256
 
 
 def _meet(params: LineDedup):
-    """Rows sorted by key: the pairs of short buckets that are near in bits and
+    """Rows sorted by key: the pairs of short buckets that are near in letters and
     length (``a``, ``b``), and the rows of longer ones (``a`` = id, ``b`` = key,
     ``long``).  At most a short bucket and a batch are held."""
 
-    def pairs(key, ids, sim, chars):
-        at, out = np.arange(1, len(key)), []
+    def pairs(key, ids, chars, s0, s1):
+        at, out, bags = np.arange(1, len(key)), [], np.stack([s0, s1])
         for d in range(1, _SHORT):
             at = at[at >= d]
             at = at[key[at] == key[at - d]]
             if not len(at):
                 break
             x, y = at - d, at
-            near = np.bitwise_count(sim[x] ^ sim[y]) <= params.max_bits
-            near &= (100 * chars[x] >= params.percent * chars[y]) & (100 * chars[y] >= params.percent * chars[x])
+            near = (100 * chars[x] >= params.percent * chars[y]) & (100 * chars[y] >= params.percent * chars[x])
+            x, y = x[near], y[near]
+            near = 50 * _bags_differ(bags[:, x], bags[:, y]) <= (100 - params.percent) * np.maximum(chars[x], chars[y])
             out.append(np.stack([ids[x[near]], ids[y[near]]]))
         return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
@@ -233,11 +400,14 @@ def _meet(params: LineDedup):
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(flags)], names=["a", "b", "long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
         long_key = None
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "id", "sim", "chars")])
+            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "id", "chars", "s0", "s1")])
             rows = np.concatenate([held, rows], axis=1)
+            # Equal lines of several batches have the same keys: rows are sorted by id too.
+            again = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+            rows = rows[:, np.concatenate([[True], ~again])] if again.any() else rows
             if long_key is not None:
                 own = int(np.searchsorted(rows[0] != long_key, True))
                 yield batch_of(rows[1::-1, :own], True)
@@ -272,24 +442,28 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     and ``gone``, the numbers of the lines that go, of documents that lose any."""
     bounded_batches(docs.sparkSession)
     docs = _keyed(docs.select("doc_id", "text").where("text is not null"))
-    lines = written(docs.mapInArrow(_lines, "k long, th long, line int, h long, sim long, chars long"), "lines")
-    classes = lines.groupBy("h").agg(F.min(F.struct("k", "th", "line")).alias("first"), F.min("sim").alias("sim"), F.min("chars").alias("chars"))
+    lines = docs.mapInArrow(_lines(_frequent(docs), params), "k long, th long, line int, h long, s0 long, s1 long, chars long, keys array<long>")
+    lines = written(lines, "lines")
+    classes = lines.groupBy("h").agg(F.min(F.struct("k", "th", "line")).alias("first"), *[F.min(c).alias(c) for c in ("chars", "s0", "s1")])
     classes = written(classes, "classes")
 
-    masks = []
-    for pair in combinations(_BLOCKS, 2):
-        mask = sum(((1 << w) - 1) << s for s, w in pair)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    facts = classes.select(F.col("h").alias("id"), "sim", "chars")
-    entries = facts.withColumn("key", F.explode(keys))
-    heavy = written(heavy_keys(facts.sample(0.01, 7).select(F.explode(keys).alias("key"))), "heavy")
-    dealt = entries.join(F.broadcast(heavy), "key", "left_anti").select("key", "id", "sim", "chars")
-    met = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(params), "a long, b long, long boolean")
-    met = written(met, "met")
+    facts = classes.select(F.col("h").alias("id"), "chars", "s0", "s1")
+    heavy = written(heavy_keys(lines.sample(0.01, 7).select(F.explode("keys").alias("key"))), "heavy")
+    met, entries = [], []
+
+    def keyed(k: int) -> DataFrame:
+        own = F.filter("keys", lambda x: F.pmod(x, F.lit(_SLICES)) == k)
+        return lines.select(F.col("h").alias("id"), "chars", "s0", "s1", F.explode(own).alias("key"))
+
+    for part in map(keyed, range(_SLICES)):
+        dealt = part.join(F.broadcast(heavy), "key", "left_anti").select("key", "id", "chars", "s0", "s1")
+        dealt = dealt.repartition("key").sortWithinPartitions("key", "id")
+        met.append(written(dealt.mapInArrow(_meet(params), "a long, b long, long boolean"), "met"))
+        entries.append(part.join(F.broadcast(heavy), "key", "left_semi").select("id", "key"))
+    met = reduce(DataFrame.unionByName, met)
     near = met.where("not long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     crowded = met.where("long").select(F.col("a").alias("id"), F.col("b").alias("key"))
-    crowded = crowded.unionByName(entries.join(F.broadcast(heavy), "key", "left_semi").select("id", "key"))
+    crowded = reduce(DataFrame.unionByName, [crowded, *entries]).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")

@@ -110,6 +110,30 @@ def test_line_dedup(spark):
     assert sorted(r.doc_id or 0 for r in line_dedup.without_repeats(table(spark, [(1, line, None), (2, line, None)])).collect()) == [1]
 
 
+def test_line_dedup_finds_all_similar_lines(spark):
+    """Equals brute force where words are replaced or letters changed."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 11)))
+    common = [word() for _ in range(60)]
+    lines = []
+    for i in range(240):
+        own = [str(rng.choice(common)) if rng.random() < 0.4 else word() for _ in range(int(rng.integers(6, 13) if i % 2 else rng.integers(20, 31)))]
+        near = list(own)
+        for at in rng.choice(len(own), max(1, len(own) // 10), replace=False):
+            near[at] = word()
+        lines += [" ".join(own), " ".join(near)]
+    for _ in range(60):
+        own = word() + word()
+        at = int(rng.integers(0, len(own)))
+        lines += [own, own[:at] + "q" + own[at + 1 :]]
+    plain = [line_dedup.normal(x) for x in lines]
+    pairs = [(a, b) for b in range(len(plain)) for a in range(b) if line_dedup.similar(plain[a], plain[b], 80)]
+    want = union_find(range(len(lines)), pairs)
+    assert len(pairs) > 200
+    got = {r.doc_id: r._gone for r in line_dedup.dedup_lines(table(spark, [(i, x, None) for i, x in enumerate(lines)])).collect()}
+    assert {i for i, gone in got.items() if gone} == {i for i, first in want.items() if first != i}
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
