@@ -113,19 +113,24 @@ def edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_candidates(units: DataFrame, memories: DataFrame, cutoff: float = CUTOFF, limit: int = LIMIT) -> DataFrame:
     """The best usable memories of the same scope and languages for each unit.
 
-    Lengths bound the score, so pairs that can't reach the cutoff are dropped in
-    the join, before any text is compared."""
+    Equal texts have equal scores, so distinct texts are compared, and of memories
+    with one text only the first ``limit`` can be among the best.  Lengths bound
+    the score, so pairs that can't reach the cutoff are dropped in the join,
+    before any text is compared."""
     same = ["scope_key", "source_language", "target_language"]
     usable = memories.where("kind = 'PREFERRED'").join(memories.where("kind = 'REJECTED'"), [*same, "source", "target"], "left_anti")
     right = usable.select(*same, F.col("id").alias("memory_id"), F.col("source").alias("memory_source"), "target")
+    place = F.row_number().over(Window.partitionBy(*same, "memory_source").orderBy("memory_id"))
+    right = right.withColumn("place", place).where(F.col("place") <= limit).drop("place")
     left = canonical_scope(units).where("automatic").select("id", *same, F.col("source").alias("query"))
     shorter, both = F.least(F.length("query"), F.length("memory_source")), F.length("query") + F.length("memory_source")
-    pairs = left.join(right, same).where(200.0 * shorter >= cutoff * both)
-    scored = pairs.withColumn("raw", similarity_udf("memory_source", "query")).where(F.col("raw") >= cutoff)
-    scored = scored.withColumn("score", F.bround("raw", 2))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "memory_id"))
+    texts = left.select(*same, "query").distinct().join(right.select(*same, "memory_source").distinct(), same)
+    scored = texts.where(200.0 * shorter >= cutoff * both).withColumn("raw", similarity_udf("memory_source", "query")).where(F.col("raw") >= cutoff)
+    scored = scored.withColumn("score", F.bround("raw", 2)).join(right, [*same, "memory_source"])
+    rank = F.row_number().over(Window.partitionBy(*same, "query").orderBy(F.desc("score"), "memory_id"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return best.select("id", "rank", "memory_id", "score", "memory_source", "target", edits("memory_source", "query").alias("differences"))
+    best = best.withColumn("differences", edits("memory_source", "query"))
+    return left.join(best, [*same, "query"]).select("id", "rank", "memory_id", "score", "memory_source", "target", "differences")
 
 
 def rejections(units: DataFrame, records: DataFrame, limit: int = 20) -> DataFrame:

@@ -309,7 +309,7 @@ def memory_exact(spark, d):
 def memory_similar(spark, d):
     units = u.table(spark, d, "part").selectExpr("p_partkey as id", "concat(p_name, ' ', p_type) as source", "'en' as source_language", "'fr' as target_language", "named_struct('vendor', p_brand, 'product', cast(null as string), 'version', cast(null as string), 'domain', cast(null as string), 'text_role', cast(null as string), 'project_id', 'p') as context")
     rows = memory.canonical_scope(units)
-    stored = rows.where(F.col("id") % 20 == 0).select("id", "scope_key", "source_language", "target_language", "source", F.lit("PREFERRED").alias("kind"), F.concat(F.lit("T"), "id").alias("target"))
+    stored = rows.select("id", "scope_key", "source_language", "target_language", "source", F.lit("PREFERRED").alias("kind"), F.concat(F.lit("T"), "id").alias("target"))
     return memory.similar_candidates(units, stored).select("id", "rank", "memory_id", "score")
 
 

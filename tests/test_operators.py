@@ -101,6 +101,18 @@ def test_memory(spark):
     assert memory.canonical_scope(ask.withColumn("context", F.col("context").withField("project_id", F.lit(None)))).first().scope_kind == "LEGACY_UNSCOPED"
 
 
+def test_memory_similar_looks_at_every_memory(spark, tmp_path):
+    parts = [(i, f"{'small' if i % 3 else 'great'} ring{i % 7}", f"Brand#{i % 2}", "ECONOMY") for i in range(1, 43)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"file://{tmp_path}/part.parquet")
+    got = {}
+    for r in __spark_entry__.queries()["memory_similar"](spark, f"file://{tmp_path}").collect():
+        got.setdefault(r.id, []).append((r.rank, r.memory_id, r.score))
+    for i, name, brand, kind in parts:
+        scores = [(-round(memory.similarity(f"{n} {k}", f"{name} {kind}"), 2), j) for j, n, b, k in parts if b == brand]
+        best = sorted(x for x in scores if -x[0] >= memory.CUTOFF)[: memory.LIMIT]
+        assert sorted(got[i]) == [(rank, j, -score) for rank, (score, j) in enumerate(best, 1)]
+
+
 def test_review_and_gate(spark):
     rows = spark.createDataFrame([("A", 1, "s", "c", "g", "ALIGNED"), ("B", 2, "s", "c", "", "ALIGNED")], "id string, ordinal int, source string, current_target string, suggested_target string, alignment string")
     asked = spark.createDataFrame([("A", "ACCEPT_SUGGESTION", None, None), ("B", "ACCEPT_SUGGESTION", None, None)], "unit_id string, status string, approved_target string, waiver_reason string")
