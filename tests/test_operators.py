@@ -40,6 +40,15 @@ def test_literal_checks(spark, check, source, bad, good):
     assert [r.id for r in found.collect()] == ["U1"]
 
 
+def test_protected_literals_of_all_lines(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con, name, d = duckdb.connect(), "protected_literals_all", "/root/testdata/sf0.001"
+    con.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+    want = sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+    assert sorted(map(tuple, __spark_entry__.queries()[name](spark, d).collect())) == want
+    assert {x[0][-1] for x in want} == set("1234567")
+
+
 def test_han_residue_and_numbering(spark):
     rows = units(spark, ("打开 状态", "Open 状态"), ("打开 /p/状态", "Open /p/状态"), languages=("zh-CN", "en"))
     issues = qa.run_qa(rows)
