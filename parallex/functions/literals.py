@@ -1,20 +1,19 @@
 """Literal extractors: a string column to an array of its protected literals.
 
-All but the masked ones stay in the JVM.  The patterns are written for Java's
-engine so that they accept what Unicode-aware patterns accept: word characters
-are letters, numbers and ``_``, and ends of words are look-arounds.
+All stay in the JVM.  The patterns are written for Java's engine so that they
+accept what Unicode-aware patterns accept: word characters are letters, numbers
+and ``_``, and ends of words are look-arounds.  The ``*_of`` functions are the
+masked extractors for one Python text, for providers and as a check on the columns.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parallex.functions.types import TEXTS, fields
-
 _W = r"\p{L}\p{N}_"
 _END = rf"(?![{_W}])"
 _START = rf"(?<![{_W}])"
@@ -36,7 +35,7 @@ ABUSE_ZH = "傻逼|傻屄|操你|艹你|妈的|去死"
 SOURCE_TYPO = "操用户"
 
 _PATH_STOP = "\\s/→←↔“”‘’\"'，。；：！？"
-# The same fixed values for the masked extractors, which run in Python.
+# The same fixed values for the masked extractors of one Python text.
 _PY_URL = re.compile(r"(?i)\b(?:https?|ftp)://[^\s<>\"']+")
 _PY_DRIVE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]:\\(?:[^\\/:*?\"<>|\r\n]+\\)*[^\\/:*?\"<>|\r\n]*")
 _PY_UNIX = re.compile(rf"(?<![\w:])/(?:[^{_PATH_STOP}]+/)*[^{_PATH_STOP}]+")
@@ -48,8 +47,21 @@ _PY_NUMBER = re.compile(rf"(?<![\w.]){_NUMBER}(?![\w.])")
 _PY_STOP = re.compile(r"(?<=\d)\.(?=$|[\s)\]}>\"'])")
 
 
+#: What a text must hold for a pattern to match at all.
+_HINTS = {PLACEHOLDER: "{%", URL: (":/",), CLI_OPTION: "-", ENV_VAR: "$%", SQL_IDENTIFIER: "_$", VERSION: "vV"}
+
+
+def likely(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` may match: a search for letters, cheaper than a scan."""
+    hints = _HINTS.get(pattern)
+    if hints is None:
+        return F.lit(True)
+    return reduce(lambda p, q: p | q, [F.contains(text, F.lit(h)) for h in hints])
+
+
 def all_of(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
+    return F.when(likely(text, pattern), found).otherwise(F.array().cast("array<string>")) if pattern in _HINTS else found
 
 
 def placeholders(text: Column) -> Column:
@@ -134,13 +146,77 @@ def plain_numbers_of(text: str, units=UNITS) -> list[str]:
     return [m.group().strip() for m in _PY_NUMBER.finditer(masked)]
 
 
-@F.pandas_udf(fields(paths=TEXTS, filenames=TEXTS, numbers=TEXTS))
-def masked_literals(text: pd.Series) -> pd.DataFrame:
-    """The extractors that blank other literals first, in one pass."""
-    text = text.fillna("")
-    return pd.DataFrame(
-        {"paths": text.map(paths_of), "filenames": text.map(filenames_of), "numbers": text.map(plain_numbers_of)}
-    )
+# The masked extractors as columns.  Same patterns, Java's engine; a mask keeps
+# the text's length, so what stands around a mask is found as before.
+_S = r"[\s\x1c-\x1f]"
+_JVM_DRIVE = r"(?<![A-Za-z0-9_])[A-Za-z]:\\(?:[^\\/:*?\"<>|\r\n]+\\)*[^\\/:*?\"<>|\r\n]*"
+_JVM_UNIX = rf"(?<![{_W}:])/(?:[^\x1c-\x1f{_PATH_STOP}]+/)*[^\x1c-\x1f{_PATH_STOP}]+"
+_JVM_FILE = rf"(?<![{_W}./\\-])(?:[A-Za-z0-9_.-]+\.[A-Za-z][A-Za-z0-9]{{0,9}})(?![{_W}/\\-])"
+_JVM_NUMBER = r"[-+]?\p{Nd}(?:[\p{Nd}\s\x1c-\x1f\u00A0\u202F,.]*\p{Nd})?"
+_JVM_STOP = rf"(?<=\p{{Nd}})\.(?=$|{_S}|[)\]}}>\"'])"
+_HINTS |= {_JVM_DRIVE: (":\\",), _JVM_UNIX: "/"}
+
+
+def masked(text: Column, *patterns: str) -> Column:
+    """``text`` with all matches of each pattern, found on ``text`` itself, blanked."""
+
+    def one(pattern: str) -> Column:
+        def blanked(hits: Column) -> Column:
+            rest = F.split(text, "(?U)" + pattern, -1)
+            gaps = F.transform(hits, lambda m: F.repeat(F.lit(" "), F.length(m)))
+            joined = F.concat(F.array_join(F.zip_with(F.slice(rest, 1, F.size(gaps)), gaps, lambda a, b: F.concat(a, b)), ""), F.element_at(rest, -1))
+            return F.when(F.size(hits) > 0, joined).otherwise(text)
+
+        return F.when(likely(text, pattern), _once(all_of(text, pattern), blanked)).otherwise(text)
+
+    def both(x: Column, y: Column) -> Column:
+        letters = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.when(p == " ", p).otherwise(q))
+        return F.when(y == text, x).when(x == text, y).otherwise(F.array_join(letters, ""))
+
+    out = one(patterns[0])
+    for pattern in patterns[1:]:
+        out = F.transform(F.array(F.struct(out.alias("x"), one(pattern).alias("y"))), lambda s: both(s["x"], s["y"]))[0]
+    return out
+
+
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def paths(text: Column) -> Column:
+    """Drive paths, then rooted paths, outside URLs."""
+    tail = "[" + re.escape(TRAILING) + "]+$"
+
+    def found(body: Column) -> Column:
+        every = F.transform(F.concat(all_of(body, _JVM_DRIVE), all_of(body, _JVM_UNIX)), lambda v: F.regexp_replace(v, tail, ""))
+        return F.filter(every, lambda v: v != "")
+
+    return F.when(text.contains("/") | text.contains("\\"), _once(masked(text, URL), found)).otherwise(F.array().cast("array<string>"))
+
+
+def filenames(text: Column) -> Column:
+    """Names with an extension, outside URLs and paths."""
+    slashes = F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\"))
+    bare = F.when(slashes, _once(masked(text, URL), lambda body: masked(body, _JVM_DRIVE, _JVM_UNIX))).otherwise(text)
+    return F.when(text.contains("."), _once(bare, lambda body: all_of(body, _JVM_FILE))).otherwise(F.array().cast("array<string>"))
+
+
+def plain_numbers(text: Column, units=UNITS) -> Column:
+    """Numbers that stand alone: outside URLs, paths, placeholders, versions and
+    number-unit pairs."""
+    patterns = [URL, _JVM_DRIVE, _JVM_UNIX, PLACEHOLDER, VERSION]
+    if units:
+        patterns.append(rf"(?<![{_W}.]){_JVM_NUMBER}{_S}*(?:{_unit_pattern(units)})(?![A-Za-z])")
+    alone = rf"(?<![{_W}.]){_JVM_NUMBER}(?![{_W}.])"
+    found = lambda body: all_of(F.regexp_replace(body, "(?U)" + _JVM_STOP, " "), alone)
+    return F.when(text.rlike(r"\p{Nd}"), _once(masked(text, *patterns), found)).otherwise(F.array().cast("array<string>"))
+
+
+def masked_literals(text) -> Column:
+    """The extractors that blank other literals first; a null text has none."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.struct(paths(text).alias("paths"), filenames(text).alias("filenames"), plain_numbers(text).alias("numbers"))
 
 
 #: Extractors by check, in the order in which the checks report.

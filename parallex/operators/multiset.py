@@ -11,7 +11,8 @@ def minus(left: Column, right: Column) -> Column:
     first occurrence of each value, as a counter's difference lists them."""
     values = F.array_distinct(left)
     count = lambda items, v: F.size(F.filter(items, lambda y: y == v))
-    return F.flatten(F.transform(values, lambda v: F.array_repeat(v, F.greatest(count(left, v) - count(right, v), F.lit(0)))))
+    rest = F.flatten(F.transform(values, lambda v: F.array_repeat(v, F.greatest(count(left, v) - count(right, v), F.lit(0)))))
+    return F.when(left == right, F.slice(left, 1, 0)).otherwise(rest)
 
 
 def differs(left: Column, right: Column) -> Column:

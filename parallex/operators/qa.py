@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from parallex.functions import literals, numbers, text
 from parallex.operators import multiset
 from parallex.operators.glossary import in_scope
+from parallex.shared import written
 
 #: Checks in the order in which they report, with severities.
 CHECKS = {
@@ -67,30 +68,51 @@ def _han_residue(units: DataFrame, glossary: DataFrame | None) -> DataFrame:
     return units.withColumn("_han", F.when(wanted, literals.han_runs(masked)).otherwise(F.array().cast("array<string>"))).drop("_allowed")
 
 
-def literal_issues(units: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
-    """``id``, ``ordinal``, ``location`` and one row for each literal or number
-    issue.  Row-local: the units are scanned once and nothing is shuffled."""
+def _literal_differences(units: DataFrame, glossary: DataFrame | None, checks) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """``units`` with what the asked literal and number checks need, and what each
+    misses and finds too much.  Nothing is made for checks that aren't asked."""
+    wanted = [c for c in CHECKS if c not in _GLOSSARY_CHECKS and (checks is None or c in checks)]
+    none, found = F.array().cast("array<string>"), {}
     units = units.withColumns({"_ms": literals.masked_literals("source"), "_mt": literals.masked_literals("target")})
-    units = units.withColumns(
-        {
-            "_units": numbers.number_unit_difference(literals.number_units(F.col("source")), literals.number_units(F.col("target"))),
-            "_plain": numbers.number_difference("_ms.numbers", "_mt.numbers"),
-        }
-    )
-    units = _han_residue(units, glossary)
-    source = literals.extracted(F.col("source"), F.col("_ms"))
-    target = literals.extracted(F.col("target"), F.col("_mt"))
-    units = units.withColumns({f"_s_{k}": v for k, v in source.items()} | {f"_t_{k}": v for k, v in target.items()})
-    found = [_issue("UNTRANSLATED_SOURCE_TEXT", F.array().cast("array<string>"), F.col("_han"))]
-    for check in source:
-        a, b = F.col(f"_s_{check}"), F.col(f"_t_{check}")
-        found.append(_issue(check, multiset.minus(a, b), multiset.minus(b, a)))
-    found.append(_issue("NUMBER_UNIT_INTEGRITY", F.col("_units.missing"), F.col("_units.extra")))
-    found.append(_issue("NUMBER_INTEGRITY", F.col("_plain.missing"), F.col("_plain.extra")))
-    kept = F.filter(F.array(*found), lambda x: (F.size(x["source_items"]) > 0) | (F.size(x["target_items"]) > 0))
+    source, target = (literals.extracted(F.col(c), F.col(m)) for c, m in (("source", "_ms"), ("target", "_mt")))
+    columns = {}
+    for check in wanted:
+        if check in source:
+            columns |= {f"_s_{check}": source[check], f"_t_{check}": target[check]}
+            a, b = F.col(f"_s_{check}"), F.col(f"_t_{check}")
+            found[check] = multiset.minus(a, b), multiset.minus(b, a)
+    if "NUMBER_UNIT_INTEGRITY" in wanted:
+        columns["_units"] = numbers.number_unit_difference(literals.number_units(F.col("source")), literals.number_units(F.col("target")))
+        found["NUMBER_UNIT_INTEGRITY"] = F.col("_units.missing"), F.col("_units.extra")
+    if "NUMBER_INTEGRITY" in wanted:
+        columns["_plain"] = numbers.number_difference("_ms.numbers", "_mt.numbers")
+        found["NUMBER_INTEGRITY"] = F.col("_plain.missing"), F.col("_plain.extra")
+    if "UNTRANSLATED_SOURCE_TEXT" in wanted:
+        units = _han_residue(units, glossary)
+        found["UNTRANSLATED_SOURCE_TEXT"] = none, F.col("_han")
+    return units.withColumns(columns), {c: found[c] for c in wanted}
+
+
+def literal_issues(units: DataFrame, glossary: DataFrame | None = None, checks: list[str] | None = None) -> DataFrame:
+    """``id``, ``ordinal``, ``location`` and one row for each literal or number
+    issue of the asked ``checks`` (all by default).  Row-local: the units are
+    scanned once and nothing is shuffled."""
+    units, found = _literal_differences(units, glossary, checks)
+    issues = F.array(*[_issue(c, *sides) for c, sides in found.items()])
+    kept = F.filter(issues, lambda x: (F.size(x["source_items"]) > 0) | (F.size(x["target_items"]) > 0))
     return units.select("id", "ordinal", "location", F.inline(kept))
 
 
+def literal_summary(units: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
+    """Units and literal issues by severity, counted in the row: no issue is built."""
+    units, found = _literal_differences(units, glossary, None)
+    hit = lambda sides: F.when((F.size(sides[0]) > 0) | (F.size(sides[1]) > 0), 1).otherwise(0)
+    total = lambda level: sum((hit(s) for c, s in found.items() if CHECKS[c] == level), F.lit(0))
+    rows = units.select(total("ERROR").alias("e"), total("WARNING").alias("w"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("e", "error_count"), ("w", "warning_count"))]
+    return rows.agg(F.count("*").alias("units_checked"), *sums)
+
+
 def glossary_issues(units: DataFrame, glossary: DataFrame) -> DataFrame:
     """Protected, forbidden and preferred designations of approved entries."""
     entries = glossary.where("approval = 'PROJECT_APPROVED'").select(
@@ -136,24 +158,26 @@ def glossary_issues(units: DataFrame, glossary: DataFrame) -> DataFrame:
 
 def run_qa(units: DataFrame, glossary: DataFrame | None = None, checks: list[str] | None = None) -> DataFrame:
     """All issues, not yet numbered."""
-    out = literal_issues(units, glossary)
-    if glossary is not None:
+    out = literal_issues(units, glossary, checks)
+    if glossary is not None and (checks is None or {*checks} & {*_GLOSSARY_CHECKS}):
         out = out.unionByName(glossary_issues(units, glossary))
     return out if checks is None else out.where(F.col("check_id").isin(*checks))
 
 
 def numbered(issues: DataFrame) -> DataFrame:
-    """``issue_id`` Q0001, Q0002, ... in the order of units, checks and entries.
+    """``issue_id`` Q0001, Q0002, ... in the order of units, checks and entries,
+    then of items.
 
     Ranges of the order are numbered apart and shifted by the ranges' sizes, so
-    no task holds all issues."""
-    order = ["ordinal", "seq", "entry", "check_id", "id"]
+    no task holds all issues.  The ranged rows are written once: sizes and rows
+    are read from one table, for a second sampling would cut other ranges."""
+    order = ["ordinal", "seq", "entry", "check_id", "id", "source_items", "target_items"]
     ranged = issues.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    ranged = written(ranged.withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranged_issues")
     sizes = ranged.groupBy("_p").count()
     shift = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranged.withColumn("_n", within).join(F.broadcast(shift.select("_p", "_before")), "_p")
-    return out.withColumn("issue_id", F.format_string("Q%04d", F.col("_before") + F.col("_n"))).drop("_p", "_n", "_before")
+    out = ranged.join(F.broadcast(shift.select("_p", "_before")), "_p")
+    return out.withColumn("issue_id", F.format_string("Q%04d", F.col("_before") + F.col("_n") + 1)).select(*issues.columns, "issue_id")
 
 
 def summary(units: DataFrame, issues: DataFrame) -> DataFrame:

@@ -70,9 +70,9 @@ def _order_sql(check: str) -> str:
 
 def _register_checks() -> None:
     for check in _QA:
-        _add(f"qa_{check.lower()}", lambda spark, d, c=check: _flat(qa.literal_issues(u.literal_units(spark, d)).where(F.col("check_id") == c)), _line_sql(check))
+        _add(f"qa_{check.lower()}", lambda spark, d, c=check: _flat(qa.literal_issues(u.literal_units(spark, d), checks=[c])), _line_sql(check))
     for check in _QA_ORDERS:
-        _add(f"qa_{check.lower()}", lambda spark, d, c=check: _flat(qa.literal_issues(u.order_units(spark, d)).where(F.col("check_id") == c)), _order_sql(check))
+        _add(f"qa_{check.lower()}", lambda spark, d, c=check: _flat(qa.literal_issues(u.order_units(spark, d), checks=[c])), _order_sql(check))
     for check in ("PROTECTED_LITERAL", "FORBIDDEN_TERM", "PREFERRED_TERM"):
         _add(f"qa_{check.lower()}", lambda spark, d, c=check: _terms(spark, d).where(F.col("check_id") == c), _term_sql(check))
 
@@ -103,17 +103,19 @@ _ALL_QA = " union all ".join([_line_sql(c) for c in _QA])
 _register_checks()
 
 
-@query(f"""select 'Q' || lpad(row_number() over (order by o, s)::varchar, greatest(4, length((row_number() over (order by o, s))::varchar))::int, '0') as issue_id, unit_id, check_id
-  from (select unit_id, check_id, split_part(unit_id[2:], '-', 1)::bigint * 10 + split_part(unit_id, '-', 2)::bigint as o,
+@query(f"""select 'Q' || lpad(row_number() over (order by o, s, source_items, target_items)::varchar, greatest(4, length((row_number() over (order by o, s, source_items, target_items))::varchar))::int, '0') as issue_id,
+    unit_id, o as ordinal, 'line:' || split_part(unit_id, '-', 2) as location, check_id, severity, source_items, target_items
+  from (select *, split_part(unit_id[2:], '-', 1)::bigint * 10 + split_part(unit_id, '-', 2)::bigint as o,
     list_position({list(qa.CHECKS)}, check_id) as s from ({_ALL_QA}))""")
 def qa_report(spark: SparkSession, d: str) -> DataFrame:
-    return qa.numbered(qa.literal_issues(u.literal_units(spark, d))).select("issue_id", F.col("id").alias("unit_id"), "check_id")
+    issues = qa.numbered(qa.literal_issues(u.literal_units(spark, d)))
+    items = [F.array_join(c, "|").alias(c) for c in ("source_items", "target_items")]
+    return issues.select("issue_id", F.col("id").alias("unit_id"), "ordinal", "location", "check_id", "severity", *items)
 
 
 @query(f"select (select count(*) from lineitem) as units_checked, count(*) filter (severity = 'ERROR') as error_count, count(*) filter (severity = 'WARNING') as warning_count from ({_ALL_QA})")
 def qa_summary(spark, d):
-    rows = u.literal_units(spark, d)
-    return qa.summary(rows, qa.literal_issues(rows))
+    return qa.literal_summary(u.literal_units(spark, d))
 
 
 @query("select 'O' || o_orderkey as unit_id, case when o_orderkey % 5 = 0 then 'APPROVED' when o_orderkey % 5 = 1 then 'SUGGESTED' when o_orderkey % 5 = 2 then 'KEPT' when o_orderkey % 5 = 3 then 'CURRENT' else 'ERROR' end as selection from orders")

@@ -7,13 +7,14 @@ then time, then place in the log, whatever order events arrive in.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parallex.shared import shared_dir
+
 
 def latest(events: DataFrame) -> DataFrame:
     """One row for each unit of a stream (or table) of ``unit_id``, ``status``,
@@ -48,9 +49,7 @@ def current(spark: SparkSession, table_dir: str) -> DataFrame:
 
 def replayed(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs a stored log through the stream until nothing is left."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or "file://" + tempfile.mkdtemp(prefix="parallex-stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     parent, _, name = path.rstrip("/").rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from parallex.functions import literals, numbers
 from parallex.operators import align, batching, glossary, memory, qa, review, routing, signals, trail
 from parallex.sources import records, segments
 from parallex.streaming import decisions
@@ -251,3 +252,42 @@ def test_workflow(spark, tmp_path):
     context = F.struct(*[F.lit(None).cast("string").alias(c) for c in memory.FIELDS])
     row = workflow.precheck(segments_, none, "en", "fr", context).first()
     assert (row.extracted, row.repeated, row.protected_literals, row.memory_hits, row.typo_locations) == (3, 1, 2, 0, ["l3"])
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_keeps_every_issue(spark, adaptive):
+    n = 120_000
+    issues = spark.range(n).selectExpr(
+        "concat('u', id % 7000) as id", "id % 7000 as ordinal", "repeat('x', 20) as location", "'C' as check_id", "cast(id % 11 as int) as seq", "0 as entry",
+        "'ERROR' as severity", "array(cast(id as string)) as source_items", "array('y') as target_items", "cast(null as string) as glossary_entry_id", "repeat('z', 30) as note",
+    )
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        out = qa.numbered(issues).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    numbers = out["issue_id"].str[1:].astype(int)
+    assert len(out) == n and sorted(numbers) == list(range(1, n + 1)) and list(out.columns) == [*issues.columns, "issue_id"]
+    ordered = out.assign(n=numbers).sort_values("n")
+    assert ordered["ordinal"].is_monotonic_increasing and out["source_items"].map(lambda x: x[0]).nunique() == n
+
+
+def test_masked_columns_equal_their_text_forms(spark):
+    texts = [
+        "C:\\dir\\f.txt and /var/log/x.log.", "Use r1.csv not /a/b.txt or http://x.y/z.htm, c.d", "Wait 5 ms on port 5237. See /p/77 and {3} or v1.2, value 3.14.",
+        "http://a.b/c 12 http://d.e/f 13", "", "no literal", "x/y 1,234.50 and 1 2 3", "at 10 % or 12% of {x} version 3.4.5 \u0663\u0664", "D:\\a b\\c http://q.r/s 9", "(5.) [6.] 7.", "//x ://y /z:1", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", literals.masked_literals("t").alias("m")).collect()
+    for row in rows:
+        t = row.t or ""
+        assert (row.m.paths, row.m.filenames, row.m.numbers) == (literals.paths_of(t), literals.filenames_of(t), literals.plain_numbers_of(t)), t
+
+
+def test_number_differences_equal_their_text_forms(spark):
+    tokens = ["1,234", "1234", "1.234", "1.2340", "-5", "+5", "5", "005", "1.000,50", "1,000.50", "1000.5", "1.2.3", "", "-0", "0", "1 2", "12", "1,", "1,2,3", "1,234,567", "1234567", "\u0663", "3", "1.,2"]
+    pairs = [(tokens[i:i + 5], [tokens[(i * 7 + k * 3) % len(tokens)] for k in range(5)]) for i in range(len(tokens))] + [(["1.2.3"], ["1.2.3"]), ([], ["4"]), (["4"], [])]
+    rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", numbers.number_difference("a", "b").alias("d")).collect()
+    for row in rows:
+        assert (row.d.missing, row.d.extra) == numbers.greedy_difference(row.a, row.b, numbers.equivalent), row
