@@ -1,36 +1,40 @@
-"""Fuzzy line dedup: rarest words as keys, edit similarity, components.
+"""Fuzzy line dedup: SimHash by blocks, pigeonhole blocks, edit similarity, components.
 
 Lines are normalised (A-Z lowered, all digits alike, ASCII punctuation parts
-words) and equal ones form classes.  A class's keys are its rarest words: so many
-that an edit within the threshold can't change them all, if a changed word costs
-``share`` of its letters.  Frequent words are keys in pairs; long lines have their
-rarest pairs of neighbouring words instead, and lines of at most 24 letters also
-segments of letters, one of which every similar line holds.  Classes that share a key meet, pairs too
-far apart in length or letters to be similar are put aside, the others' normalised
-lines are compared by edit similarity, and of each connected group the first
-occurrence stays, by ``doc_id`` and line.
+words) and equal ones form classes.  A class's words are dealt over blocks by
+their hashes, and a block's 64 bits are the SimHash of its own words.  A changed
+word touches two blocks at most, so of lines that differ in few words most blocks
+agree (pigeonhole).  Frequent words say little: a block is joined with those that
+follow it until the words' frequencies, counted over all texts, make an agreement
+by chance unlikely; that is a key.  Long lines use a fixed part of the hashes, so
+that blocks stay small; short ones have blocks of letter pairs besides.  Classes
+that share a key meet, first with the smallest of the bucket; buckets that still
+hold several components compare across them.  Pairs too far apart in letters to be
+similar are put aside, the others are compared by edit similarity, and of each
+connected group the first occurrence stays, by ``doc_id`` and line.
 
 Defined cases: lines without a letter or digit stay; a null text has no lines
 and stays null; null ids sort first; rows with the same id and text count as
 one document, so they keep the same lines; an empty table gives an empty
-result; extra columns pass through ``dedup_lines``.
+result; lines and texts of any length are compared whole (long ones cost edit
+distances of their length squared over 64); among similar lines the smallest
+``doc_id`` and line number stays, so ties don't depend on the run; extra columns
+pass through ``dedup_lines``, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallex.llm.buckets import heavy_keys, linked
+from parallex.llm.buckets import heavy_keys
 from parallex.llm.graph import components
-from parallex.llm.scratch import bounded_batches, written
+from parallex.llm.scratch import bounded_batches, discard, written
 from parallex.llm.textscan import _power, mix64, slices
 
 _U = np.uint64
@@ -40,8 +44,15 @@ _NO_ID = -(1 << 63)
 @dataclass(frozen=True)
 class LineDedup:
     percent: int = 80
-    #: Part of a word's letters that an edit is taken to cost when it changes the word.
-    share: float = 0.5
+    #: Blocks of a line, each of which may begin a key.
+    blocks: int = 12
+    #: Lines of at most so many letters have all their words in blocks; twice as
+    #: long ones half of the hashes, and so on.
+    whole: int = 500
+    #: Lines of at most so many letters have keys by pairs of letters besides.
+    lettered: int = 30
+    #: A key's words agree by chance with fewer than 2**-slack lines.
+    slack: float = 6.0
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -53,30 +64,15 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WEIGHT = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))[_FOLD] | _U(1)
 _WEIGHT[~_WORD] = 0
 _NORMAL = bytes(int(_FOLD[b]) if _WORD[b] else 32 for b in range(256))
-#: Letters of a line: cells for a to z, digits and others, by an octet.
-_CELL = np.full(256, -1, dtype=np.int64)
-_CELL[97:123] = _CELL[65:91] = np.arange(26)
-_CELL[48:58] = 26
-_CELL[128:] = 27 + np.arange(128) % 5
-#: Lines of at most so many letters are cut into segments.
-_SEGMENTED = 24
-#: Words are keys below the second length, pairs of neighbours from the first on.
-_LONG = (100, 125)
-#: Words that a sample shows to occur more often than this are frequent; at most so many are broadcast.
-_OFTEN, _FREQUENT = 8, 262_144
-#: Key ranges that are shuffled one after another, to bound the disk in use.
-_SLICES = 4
+#: Words are counted in so many cells (a power of two); sharing one only makes a
+#: word look more frequent.
+_CELLS = 15
+#: Bits that a pair of letters is taken to tell.
+_PAIR_BITS = 4.0
 
 
-def scan_lines(data: np.ndarray, bounds: np.ndarray):
-    """Of all lines with a word: document, line number and hash; all words' hashes
-    and letters, each line's first word and number of words; characters of the
-    normalised line, and where the line begins."""
-    newline = np.flatnonzero(data == 10)
-    per_doc = 1 + np.diff(np.searchsorted(newline, bounds))
-    edges = np.sort(np.concatenate([bounds[:-1], newline + 1]))
-    doc = np.repeat(np.arange(len(bounds) - 1), per_doc)
-    line = np.arange(len(edges)) - (np.cumsum(per_doc) - per_doc)[doc]
+def scan_words(data: np.ndarray, bounds: np.ndarray):
+    """Starts, ends and hashes of all words."""
     word = _WORD[data]
     rise = word.copy()
     rise[1:] &= ~word[:-1]
@@ -87,185 +83,179 @@ def scan_lines(data: np.ndarray, bounds: np.ndarray):
     rise[inner] = word[inner]
     fall[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(rise), np.flatnonzero(fall) + 1
+    if not len(starts):
+        return starts, ends, np.zeros(0, _U)
+    up, down = _power(len(data))
+    terms = _WEIGHT[data]
+    terms *= up[: len(data)]
+    return starts, ends, mix64(np.add.reduceat(terms, starts) * down[starts])
+
+
+def scan_lines(data: np.ndarray, bounds: np.ndarray):
+    """Of all lines with a word: document, line number and hash, the line's first
+    word and number of words, and the normalised line's characters; and all
+    words' starts, ends and hashes."""
+    newline = np.flatnonzero(data == 10)
+    per_doc = 1 + np.diff(np.searchsorted(newline, bounds))
+    edges = np.sort(np.concatenate([bounds[:-1], newline + 1]))
+    doc = np.repeat(np.arange(len(bounds) - 1), per_doc)
+    line = np.arange(len(edges)) - (np.cumsum(per_doc) - per_doc)[doc]
+    starts, ends, words = scan_words(data, bounds)
     first = np.searchsorted(starts, np.append(edges, len(data)))
+    # An empty document's edge is the next one's too: words belong to the last.
     full = np.flatnonzero(np.diff(first) > 0)
+    at, n = first[full], np.diff(first)[full]
     if not len(full):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.view(_U), none, none, none, none, none
+        return doc[full], line[full], words[:0].view(np.int64), at, n, at, starts, ends, words
     up, down = _power(max(len(data), 1))
-    words = mix64(np.add.reduceat(_WEIGHT[data] * up[: len(data)], starts) * down[starts])
-    at, n = first[full], np.diff(first)[full]
     total = np.add.reduceat(words * up[: len(words)], at) * down[at]
     hashes = mix64(total + n.astype(_U))
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    letters = lead[ends] - lead[starts]
-    chars = np.add.reduceat(letters, at) + n - 1
-    return doc[full], line[full], hashes.view(np.int64), words, letters, at, n, chars, edges[full]
-
-
-def letter_bags(data: np.ndarray, begins: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of each line in 32 cells of four bits: what two bags differ in is
-    at most twice the edit distance, for full cells can only hide a difference."""
-    final = _CELL[data]
-    final[:-1][(data[1:] & 0xC0) == 0x80] = -1
-    size = after - begins
-    own = np.repeat(np.arange(len(begins)), size)
-    place = np.arange(len(own)) + np.repeat(begins - (np.cumsum(size) - size), size)
-    final = final[place]
-    own, final = own[final >= 0], final[final >= 0]
-    cells = np.bincount(own * 32 + final, minlength=len(begins) * 32).reshape(-1, 32)
-    nibbles = np.minimum(cells, 15).astype(_U) << (_U(4) * np.tile(np.arange(16, dtype=_U), 2))
-    return nibbles[:, :16].sum(1, dtype=_U).view(np.int64), nibbles[:, 16:].sum(1, dtype=_U).view(np.int64)
-
-
-def _bags_differ(x, y) -> np.ndarray:
-    """What two arrays of bags (two longs each) differ in."""
-    total = np.zeros(x.shape[1], np.int64)
-    for half in (0, 1):
-        p, q = x[half].view(_U), y[half].view(_U)
-        for shift in range(0, 64, 4):
-            total += np.abs((p >> _U(shift) & _U(15)).astype(np.int64) - (q >> _U(shift) & _U(15)).astype(np.int64))
-    return total
-
-
-def word_keys(words, letters, at, n, chars, frequent: tuple[np.ndarray, np.ndarray], params: LineDedup):
-    """Line and key of each line's keys by words.
-
-    ``frequent``: hashes, sorted, and counts.  Any order of words that is the same
-    for all lines finds the same pairs, for the rarest word that two lines share
-    comes after no more of either line's words than an edit may change."""
-    line = np.repeat(np.arange(len(at)), n)
-    budget = (100 - params.percent) * chars // 100
-    known, counts = frequent
-    rank = np.zeros(len(words), np.int64)
-    if len(known):
-        near = np.minimum(np.searchsorted(known, words.view(np.int64)), len(known) - 1)
-        rank = np.where(known[near] == words.view(np.int64), counts[near], 0)
-    own, keys = [], []
-
-    def add(where, value):
-        own.append(where)
-        keys.append(mix64(value))
-
-    # A changed word breaks two pairs of neighbours, each of which has half its cost.
-    i = np.flatnonzero((line[1:] == line[:-1]) & (chars[line[1:]] >= _LONG[0]))
-    cost = 2 * params.share * (letters[i] + letters[i + 1]) / 4
-    pair = mix64(words[i]) * _U(5) + words[i + 1]
-    order = np.lexsort((pair, (rank[i] + 1.0) * (rank[i + 1] + 1.0), line[i]))
-    where, pair, cost = line[i][order], pair[order], cost[order]
-    before = np.cumsum(cost) - cost
-    before -= before[np.searchsorted(where, where)]
-    chosen = before <= budget[where]
-    add(where[chosen], pair[chosen])
-
-    few = (chars < _LONG[1])[line]
-    line, words, rank, letters = line[few], words[few], rank[few], letters[few]
-    order = np.lexsort((words, rank, line))
-    line, word, rank, cost = line[order], words[order], rank[order], letters[order]
-    new = np.ones(len(word), dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
-    line, word, rank, cost = line[new], word[new], rank[new], np.maximum(1, params.share * cost[new])
-    first = np.searchsorted(line, line)
-    before = np.cumsum(cost) - cost
-    before -= before[first]
-    base = line * float(1 << 32)
-    most = np.concatenate([np.zeros(min(1, len(line))), np.maximum.accumulate(base + cost)[:-1]]) - base
-    most[first] = 0
-    often = rank > 0
-    alone = ~often & (before <= budget[line])
-    add(line[alone], word[alone])
-    both = often & (before - most <= budget[line])
-    l, w = line[both], word[both]
-    for step in range(1, len(l)):
-        i = np.flatnonzero(l[step:] == l[:-step])
-        if not len(i):
-            break
-        add(l[i], mix64(w[i]) * _U(3) + w[i + step])
-    return np.concatenate(own), np.concatenate(keys)
+    lead = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+    chars = np.add.reduceat(lead[ends] - lead[starts], at) + n - 1
+    return doc[full], line[full], hashes.view(np.int64), at, n, chars, starts, ends, words
+
+
+def simhashes(features: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of features: of every bit the majority, ones in a draw."""
+    out = features[first].copy()
+    two = np.flatnonzero(count == 2)
+    out[two] |= features[first[two] + 1]
+    many = np.flatnonzero(count > 2)
+    many = many[np.argsort(-count[many], kind="stable")]
+    if len(many):
+        ones = np.zeros((len(many), 64), np.int32)
+        for r in range(int(count[many[0]])):
+            rows = int(np.searchsorted(-count[many], -r, side="left"))
+            octets = np.ascontiguousarray(features[first[many[:rows]] + r]).view(np.uint8).reshape(rows, 8)
+            ones[:rows] += np.unpackbits(octets, axis=1)
+        out[many] = np.packbits(2 * ones >= count[many][:, None], axis=1).view(_U).ravel()
+    return out
 
 
-def segment_keys(line: str, percent: int) -> set[int]:
-    """Of a short line: its segments, for lines as long or longer, and the parts
-    that can equal a segment of lines as long or shorter.  With one segment more
-    than edits, one stays whole, moved by no more than half of the edits and of
-    the lengths' difference."""
-    size, out = len(line), set()
-    edits = lambda longest: (100 - percent) * longest // 100
-
-    def add(length, d, i, part):
-        out.add(((length * 64 + d) * 64 + i << 32) + crc32(part.encode()))
-
-    for d in {edits(x) for x in range(size, size * 100 // percent + 1)}:
-        for i in range(d + 1):
-            add(size, d, i, line[size * i // (d + 1) : size * (i + 1) // (d + 1)])
-    d = edits(size)
-    for shorter in range(-(-size * percent // 100), size + 1):
-        before, behind = (d - size + shorter) // 2, (d + size - shorter) // 2
-        for i in range(d + 1):
-            at, end = shorter * i // (d + 1), shorter * (i + 1) // (d + 1)
-            for place in range(max(0, at - before), min(size - end + at, at + behind) + 1):
-                add(shorter, d, i, line[place : place + end - at])
-    return out
+def block_keys(view: np.ndarray, level: np.ndarray, feature: np.ndarray, bits: np.ndarray, n_views: int, need: float, blocks: int):
+    """View and key of each key of ``n_views`` sets of features.
+
+    ``view``, ``level``, ``feature`` and ``bits`` (how telling it is) by feature:
+    ``blocks << level`` parts of the hashes, of which the first are blocks."""
+    spread = (feature * _U(0xD6E8FEB86659FD93)) >> _U(32)
+    part = ((spread * (_U(blocks) << level.astype(_U))) >> _U(32)).astype(np.int64)
+    used = part < blocks
+    slot, feature, bits = (view * blocks + part)[used], feature[used], bits[used]
+    order = np.argsort((slot << 24) | (feature >> _U(40)).astype(np.int64), kind="stable")
+    slot, feature, bits = slot[order], feature[order], bits[order]
+    new = np.ones(len(slot), dtype=bool)
+    new[1:] = (slot[1:] != slot[:-1]) | (feature[1:] != feature[:-1])
+    slot, feature, bits = slot[new], feature[new], bits[new]
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+    value, told = np.zeros(n_views * blocks, _U), np.zeros(n_views * blocks, np.float32)
+    if len(first):
+        count = np.diff(np.append(first, len(slot)))
+        value[slot[first]] = simhashes(feature, first, count)
+        told[slot[first]] = np.add.reduceat(bits, first)
+    value, told = value.reshape(-1, blocks), told.reshape(-1, blocks)
+    whole = told.sum(1)
+    own, keys = [], []
+    # Lines that tell little have keys of about 0.6 of it, cut for two steps of
+    # eight bits so that similar lines have one of them in common.
+    steps = np.floor(whole / 8)
+    for shift in (0, 1):
+        limit = np.minimum(need, 0.6 * 8 * np.maximum(steps + shift, 0.5))
+        rows = np.flatnonzero((whole > 0) & ((shift == 0) | (limit < need) | (0.6 * 8 * steps < need)))
+        if not len(rows):
+            continue
+        v, t, limit = value[rows], told[rows], limit[rows]
+        for b in range(blocks):
+            live = np.flatnonzero(v[:, b] != 0)
+            key = mix64(v[live, b] + _U(b + 1))
+            have, cut = t[live, b].copy(), limit[live]
+            for step in range(1, blocks):
+                open_ = np.flatnonzero(have < cut)
+                if not len(open_):
+                    break
+                c = (b + step) % blocks
+                at = live[open_]
+                key[open_] = mix64(key[open_] * _U(0x2545F4914F6CDD1D) + v[at, c] + _U(step))
+                have[open_] += t[at, c]
+            own.append(rows[live])
+            keys.append(key)
+    if not own:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    return np.concatenate(own), np.concatenate(keys)
 
 
-def _line_keys(data, begins, stop, h, words, letters, at, n, chars, frequent, params: LineDedup):
-    """Numbers of keys of all lines, and the keys; of equal lines one has them."""
-    own, keys = word_keys(words, letters, at, n, chars, frequent, params)
-    once = np.zeros(len(at), dtype=bool)
-    once[np.unique(h, return_index=True)[1]] = True
-    owners, more = [own[once[own]]], [keys[once[own]]]
-    # A line with a partner of at most 24 letters is at most that long over percent.
-    for i in np.flatnonzero(once & (chars * params.percent <= _SEGMENTED * 100)):
-        found = segment_keys(normal(data[begins[i] : stop[i]].tobytes().decode("utf-8", "replace")), params.percent)
-        owners.append(np.full(len(found), i))
-        more.append(mix64(np.array(list(found), dtype=_U)))
-    own, keys = np.concatenate(owners), np.concatenate(more)
-    order = np.lexsort((keys, own))
-    own, keys = own[order], keys[order]
-    new = np.ones(len(own), dtype=bool)
-    new[1:] = (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])
-    return np.bincount(own[new], minlength=len(at)), keys[new].view(np.int64)
-
-
-def _lines(frequent: tuple[np.ndarray, np.ndarray], params: LineDedup):
+def line_keys(data, at, n, chars, starts, ends, words, telling: np.ndarray, need: float, params: LineDedup):
+    """Line and key of all lines' keys, by line."""
+    line = np.repeat(np.arange(len(at)), n)
+    levels = np.maximum(0, np.ceil(np.log2(np.maximum(chars + 1, 1) / params.whole))).astype(np.int64)
+    # A similar line may be longer and have the next level.
+    near = np.flatnonzero(chars * 100 >= params.percent * (params.whole << levels))
+    again = np.isin(line, near) if len(near) else np.zeros(len(line), bool)
+    place = np.zeros(len(at), np.int64)
+    place[near] = len(at) + np.arange(len(near))
+    view = np.concatenate([line, place[line[again]]])
+    feature = np.concatenate([words, words[again]])
+    level = np.concatenate([levels[line], levels[line[again]] + 1])
+    bits = telling[(feature >> _U(64 - _CELLS)).astype(np.int64)]
+    feature = mix64(feature + level.astype(_U))
+    own, keys = block_keys(view, level, feature, bits, len(at) + len(near), need, params.blocks)
+    own = np.concatenate([np.arange(len(at)), near])[own]
+    short = chars * params.percent <= params.lettered * 100
+    if short.any():
+        pick = np.flatnonzero(short[line])
+        size = ends[pick] - starts[pick]
+        first = np.cumsum(size) - size
+        spot = np.arange(int(size.sum())) + np.repeat(starts[pick] - first, size)
+        letter = _FOLD[data[spot]].astype(_U)
+        before = np.concatenate([np.zeros(min(1, len(letter)), _U), letter[:-1]])
+        before[first] = 32
+        pairs = mix64(before * _U(256) + letter + _U(1 << 20))
+        where = np.repeat(line[pick], size)
+        lo, lk = block_keys(where, np.zeros(len(where), np.int64), pairs, np.full(len(where), _PAIR_BITS, np.float32), len(at), need, 2 * params.blocks)
+        own, keys = np.concatenate([own, lo]), np.concatenate([keys, mix64(lk + _U(7))])
+    order = np.argsort(own, kind="stable")
+    return own[order], keys[order].view(np.int64)
+
+
+def _lines(telling: np.ndarray, need: float, params: LineDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, after, data, bounds in slices(batch.column("text")):
-                doc, line, h, words, letters, at, n, chars, begins = scan_lines(data, bounds)
+            for begin, _, data, bounds in slices(batch.column("text")):
+                doc, line, h, at, n, chars, starts, ends, words = scan_lines(data, bounds)
                 if not len(doc):
                     continue
-                stop = np.append(np.flatnonzero(data == 10), len(data))
-                stop = np.minimum(stop[np.searchsorted(stop, begins)], bounds[doc + 1])
-                s0, s1 = letter_bags(data, begins, stop)
-                count, keys = _line_keys(data, begins, stop, h, words, letters, at, n, chars, frequent, params)
+                own, keys = line_keys(data, at, n, chars, starts, ends, words, telling, need, params)
+                count = np.bincount(own, minlength=len(at))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys))
                 where = pa.array(doc + begin)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").take(where), batch.column("th").take(where), pa.array(line.astype(np.int32)), pa.array(h), pa.array(s0), pa.array(s1), pa.array(chars), lists],
-                    names=["k", "th", "line", "h", "s0", "s1", "chars", "keys"],
+                    [batch.column("k").take(where), batch.column("th").take(where), pa.array(line.astype(np.int32)), pa.array(h), lists], names=["k", "th", "line", "h", "keys"]
                 )
 
     return run
 
 
-def _word_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes and counts of words."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by cell, and lines as cell -1: a row for each cell and task at most."""
+    total, lines = np.zeros(1 << _CELLS, np.int64), 0
     for batch in batches:
         for _, _, data, bounds in slices(batch.column("text")):
-            found, count = np.unique(scan_lines(data, bounds)[3].view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], names=["w", "c"])
+            words = scan_words(data, bounds)[2]
+            total += np.bincount((words >> _U(64 - _CELLS)).astype(np.int64), minlength=1 << _CELLS)
+            lines += int((data == 10).sum()) + len(bounds) - 1
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1).astype(np.int32)), pa.array(np.append(total[cells], lines))], names=["cell", "c"])
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent words, by a sample of texts: a table of bounded size, which
-    orders words and bounds buckets."""
-    part = min(64, max(1, docs.count() // 20_000))
-    counts = docs.where(F.pmod("th", F.lit(part)) == 0).mapInArrow(_word_lines, "w long, c long")
-    counts = counts.groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") * part > _OFTEN)
-    top = counts.orderBy(F.desc("c"), "w").limit(_FREQUENT).toArrow()
-    w, c = top.column("w").to_numpy(), top.column("c").to_numpy()
-    order = np.argsort(w)
-    return w[order], c[order]
+def _telling(docs: DataFrame, params: LineDedup) -> tuple[np.ndarray, float]:
+    """Bits that words tell, by cell, and the bits that a key needs.  At most
+    32,769 sums reach the driver."""
+    sums = docs.select("text").mapInArrow(_counted, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    cell, c = sums.column("cell").to_numpy(), sums.column("c").to_numpy()
+    lines = max(1, int(c[cell < 0].sum()))
+    telling = np.full(1 << _CELLS, np.log2(lines + 1), np.float32)
+    telling[cell[cell >= 0]] = np.maximum(0, np.log2(lines / np.maximum(1, c[cell >= 0])))
+    return telling, float(np.log2(lines) + params.slack)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -340,180 +330,208 @@ def _enough_grams(left: list[str], right: list[str], percent: int) -> np.ndarray
     return shared >= longest - 2 - 3 * ((100 - percent) * longest // 100)
 
 
+def _surplus(lines: list[bytes]) -> np.ndarray:
+    """Letters of each line by the octet that begins them, but for blanks: what
+    one line has beyond another is no more than their edit distance."""
+    data = np.frombuffer(b"".join(lines), dtype=np.uint8)
+    own = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    letter = ((data & 0xC0) != 0x80) & (data != 32)
+    cell = np.where(data[letter] < 128, data[letter] - 48, 80 + (data[letter] & 31)).astype(np.int64)
+    return np.bincount(own[letter] * 112 + cell, minlength=len(lines) * 112).reshape(-1, 112)
+
+
+def _near_letters(left: list[str], right: list[str], percent: int) -> np.ndarray:
+    """Pairs that lengths and counts of letters don't rule out."""
+    size = np.array([[len(x) for x in side] for side in (left, right)])
+    bags = _surplus([x.encode() for x in left + right]).astype(np.int32)
+    differ = bags[: len(left)] - bags[len(left) :]
+    apart = np.maximum(np.maximum(differ, 0).sum(1), np.maximum(-differ, 0).sum(1))
+    longest = size.max(0)
+    return (100 * (longest - size.min(0)) <= (100 - percent) * longest) & (100 * apart <= (100 - percent) * longest)
+
+
+def similar_pairs(left: list[str], right: list[str], percent: int) -> np.ndarray:
+    """Which pairs of normalised lines are similar; bounds settle most of them."""
+    keep = _near_letters(left, right, percent)
+    left_open = []
+    for i in np.flatnonzero(keep).tolist():
+        x, y = left[i].split(" "), right[i].split(" ")
+        # Replacing the words that differ in place is one way to edit.
+        if len(x) != len(y) or 100 * sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) > (100 - percent) * max(len(left[i]), len(right[i])):
+            left_open.append(i)
+    for first in range(0, len(left_open), 64):
+        part = left_open[first : first + 64]
+        likely = _enough_grams([left[i] for i in part], [right[i] for i in part], percent)
+        for i, ok in zip(part, likely.tolist()):
+            keep[i] = ok and similar(left[i], right[i], percent)
+    return keep
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
                 left, right = ([normal(x) for x in part.column(c).to_pylist()] for c in ("ta", "tb"))
-                likely = _enough_grams(left, right, percent).tolist()
-                keep += [ok and similar(x, y, percent) for ok, x, y in zip(likely, left, right)]
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+                keep = pa.array(similar_pairs(left, right, percent))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def _possible(params: LineDedup):
-    """No pair that is similar fails this: lengths and bags of letters."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``key``, ``salt``, ``id``: each id with the smallest of its
+    bucket; of heavy buckets that one with itself too.  Holds one batch."""
+    last = np.zeros((4, 0), np.int64)  # key, salt, id and smallest id of the row before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, ids = (batch.column(c).to_numpy() for c in ("key", "salt", "id"))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        if last.shape[1]:
+            new[0] = key[0] != last[0, 0] or salt[0] != last[1, 0]
+        place = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        least = np.where(place >= 0, ids[place], last[3, 0] if last.shape[1] else 0)
+        before = np.concatenate([last[2] if last.shape[1] else ids[:1] - 1, ids[:-1]])
+        again = ~new & (ids == before)
+        keep = ~again & ((ids != least) | (new & (salt >= 0)))
+        last = np.array([[key[-1]], [salt[-1]], [ids[-1]], [least[-1]]])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, least, key)], names=["a", "b", "key"])
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lengths and letters of lines, in 32 cells of four bits."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 4096):
+            part = batch.slice(first, 4096)
+            lines = [normal(x) for x in part.column("t").to_pylist()]
+            cells = _surplus([x.encode() for x in lines])
+            fold = np.zeros((len(lines), 32), np.int64)
+            for c in range(112):
+                fold[:, c % 32] += cells[:, c]
+            nibbles = np.minimum(fold, 15).astype(_U) << (_U(4) * np.tile(np.arange(16, dtype=_U), 2))
+            s0, s1 = (np.bitwise_or.reduce(x, axis=1).view(np.int64) for x in (nibbles[:, :16], nibbles[:, 16:]))
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array([len(x) for x in lines], pa.int64()), pa.array(s0), pa.array(s1)], names=["id", "chars", "s0", "s1"])
+
+
+def _possible(percent: int) -> Column:
+    """No pair of lines ``x`` and ``y`` that is similar fails this: lengths and
+    bags of letters, whose full cells can only hide a difference."""
 
     def nibble(side: str, half: int, shift: int) -> Column:
         return F.shiftrightunsigned(F.col(f"{side}.s{half}"), shift).bitwiseAND(F.lit(15))
 
-    def test(x: str, y: str) -> Column:
-        cx, cy = F.col(f"{x}.chars"), F.col(f"{y}.chars")
-        near = (100 * cx >= params.percent * cy) & (100 * cy >= params.percent * cx)
-        cells = [(half, shift) for half in (0, 1) for shift in range(0, 64, 4)]
-        apart = reduce(lambda p, q: p + q, (F.abs(nibble(x, *c) - nibble(y, *c)) for c in cells))
-        return near & (50 * apart <= (100 - params.percent) * F.greatest(cx, cy))
-
-    return test
-
-
-#: Buckets of at most so many lines compare all of theirs in place; larger ones
-#: go through the rounds of ``linked``, which find the same components.
-_SHORT = 256
-
-
-def _meet(params: LineDedup):
-    """Rows sorted by key: the pairs of short buckets that are near in letters and
-    length (``a``, ``b``), and the rows of longer ones (``a`` = id, ``b`` = key,
-    ``long``).  At most a short bucket and a batch are held."""
-
-    def pairs(key, ids, chars, s0, s1):
-        at, out, bags = np.arange(1, len(key)), [], np.stack([s0, s1])
-        for d in range(1, _SHORT):
-            at = at[at >= d]
-            at = at[key[at] == key[at - d]]
-            if not len(at):
-                break
-            x, y = at - d, at
-            near = (100 * chars[x] >= params.percent * chars[y]) & (100 * chars[y] >= params.percent * chars[x])
-            x, y = x[near], y[near]
-            near = 50 * _bags_differ(bags[:, x], bags[:, y]) <= (100 - params.percent) * np.maximum(chars[x], chars[y])
-            out.append(np.stack([ids[x[near]], ids[y[near]]]))
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-
-    def batch_of(found, long):
-        flags = np.full(found.shape[1], long)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(flags)], names=["a", "b", "long"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
-        long_key = None
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "id", "chars", "s0", "s1")])
-            rows = np.concatenate([held, rows], axis=1)
-            # Equal lines of several batches have the same keys: rows are sorted by id too.
-            again = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
-            rows = rows[:, np.concatenate([[True], ~again])] if again.any() else rows
-            if long_key is not None:
-                own = int(np.searchsorted(rows[0] != long_key, True))
-                yield batch_of(rows[1::-1, :own], True)
-                rows = rows[:, own:]
-                long_key = None if rows.shape[1] else long_key
-            if not rows.shape[1]:
-                held = rows
-                continue
-            edge = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
-            size = np.diff(np.append(edge, rows.shape[1]))
-            last = edge[-1]
-            if size[-1] > _SHORT:
-                long_key, held = rows[0][-1], rows[:, :0]
-                big = np.repeat(size > _SHORT, size)
-            else:
-                held, rows = rows[:, last:], rows[:, :last]
-                big = np.repeat(size[:-1] > _SHORT, size[:-1])
-            if big.any():
-                yield batch_of(rows[1::-1, big], True)
-            yield batch_of(pairs(*rows[:, ~big]), False)
-        yield batch_of(pairs(*held), False)
-
-    return run
+    cx, cy = F.col("x.chars"), F.col("y.chars")
+    near = (100 * cx >= percent * cy) & (100 * cy >= percent * cx)
+    apart = sum((F.abs(nibble("x", *c) - nibble("y", *c)) for c in ((half, shift) for half in (0, 1) for shift in range(0, 64, 4))), F.lit(0))
+    return near & (50 * apart <= (100 - percent) * F.greatest(cx, cy))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64("text")})
 
 
+def _met(lines: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a``, ``b``, ``key``: classes and the smallest class of their buckets.
+    Buckets that a sample shows to be heavy are dealt over salts first.  And
+    the written table behind it."""
+    entries = lines.select(F.col("h").alias("id"), F.explode("keys").alias("key")).join(F.broadcast(heavy), "key", "left")
+    entries = entries.select("key", "id", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(-1)).cast("long").alias("salt"))
+    dealt = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
+    found = written(dealt.mapInArrow(_stars, "a long, b long, key long"), "stars")
+    heads = found.where("a = b").select(F.col("a").alias("id"), "key").distinct()
+    lowest = heads.groupBy("key").agg(F.min("id").alias("b"))
+    rest = heads.join(lowest, "key").select(F.col("id").alias("a"), "b", "key")
+    return found.where("a <> b").unionByName(rest.where("a <> b")), found
+
+
+def _across(met: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that only share buckets with lines of other components: of buckets
+    that hold several, those pairs across components that may be similar."""
+    members = met.select(F.col("a").alias("id"), "key").unionByName(met.select(F.col("b").alias("id"), "key").distinct())
+    label = label.withColumnRenamed("node", "id")
+    members = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    facts = texts.mapInArrow(_bags, "id long, chars long, s0 long, s1 long")
+    members = written(members.join(mixed, "key").join(facts, "id"), "mixed")
+    both = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _possible(percent)
+    return members.alias("x").join(members.alias("y"), both).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), members
+
+
 def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFrame:
     """``k`` (``doc_id``, null as the smallest long), ``th`` (the text's hash)
     and ``gone``, the numbers of the lines that go, of documents that lose any."""
     bounded_batches(docs.sparkSession)
     docs = _keyed(docs.select("doc_id", "text").where("text is not null"))
-    lines = docs.mapInArrow(_lines(_frequent(docs), params), "k long, th long, line int, h long, s0 long, s1 long, chars long, keys array<long>")
-    lines = written(lines, "lines")
-    classes = lines.groupBy("h").agg(F.min(F.struct("k", "th", "line")).alias("first"), *[F.min(c).alias(c) for c in ("chars", "s0", "s1")])
-    classes = written(classes, "classes")
-
-    facts = classes.select(F.col("h").alias("id"), "chars", "s0", "s1")
+    telling, need = _telling(docs, params)
+    lines = written(docs.mapInArrow(_lines(telling, need, params), "k long, th long, line int, h long, keys array<long>"), "lines")
     heavy = written(heavy_keys(lines.sample(0.01, 7).select(F.explode("keys").alias("key"))), "heavy")
-    met, entries = [], []
-
-    def keyed(k: int) -> DataFrame:
-        own = F.filter("keys", lambda x: F.pmod(x, F.lit(_SLICES)) == k)
-        return lines.select(F.col("h").alias("id"), "chars", "s0", "s1", F.explode(own).alias("key"))
-
-    for part in map(keyed, range(_SLICES)):
-        dealt = part.join(F.broadcast(heavy), "key", "left_anti").select("key", "id", "chars", "s0", "s1")
-        dealt = dealt.repartition("key").sortWithinPartitions("key", "id")
-        met.append(written(dealt.mapInArrow(_meet(params), "a long, b long, long boolean"), "met"))
-        entries.append(part.join(F.broadcast(heavy), "key", "left_semi").select("id", "key"))
-    met = reduce(DataFrame.unionByName, met)
-    near = met.where("not long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crowded = met.where("long").select(F.col("a").alias("id"), F.col("b").alias("key"))
-    crowded = reduce(DataFrame.unionByName, [crowded, *entries]).distinct()
+    met, stars = _met(lines, heavy)
+    pairs = written(met.select("a", "b").distinct(), "pairs")
+    classes = lines.groupBy("h").agg(F.min(F.struct("k", "th", "line")).alias("first"), F.count("*").alias("n"))
+    used = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    classes = written(classes.join(used.withColumn("met", F.lit(True)), "h", "left").where("met or n > 1"), "classes")
+
+    # The texts of lines that met: a row for each document holds what to take.
+    wanted = classes.where("met").select("h", "first.*").groupBy("k", "th").agg(F.collect_list(F.struct("h", "line")).alias("take"))
+    text = wanted.join(docs.select("k", "th", F.split("text", "\n").alias("parts")), ["k", "th"])
+    text = text.select("parts", F.explode("take").alias("l")).select(F.col("l.h").alias("h"), F.get("parts", F.col("l.line")).alias("t"))
+    texts = written(text.groupBy("h").agg(F.min("t").alias("t")), "line_texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        used = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        used = used.join(classes, "h").select("h", "first.*")
-        text = used.join(docs, ["k", "th"]).select("h", F.split("text", "\n")[F.col("line")].alias("t")).dropDuplicates(["h"])
-        text = written(text, "line_texts")
-        pairs = pairs.join(text.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a")
-        pairs = pairs.join(text.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b")
+        pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a")
+        pairs = pairs.join(texts.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b")
         return pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(params.percent), "a long, b long")
 
-    links = written(verify(near), "links")
-    if not crowded.isEmpty():
-        rounds = linked([crowded], heavy, facts, _possible(params), verify)
-        links = written(links.unionByName(rounds.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
-    label = components(links)
+    links = written(verify(pairs), "links")
+    label = written(components(links), "label")
+    apart, members = _across(met, label, texts, params.percent)
+    more = written(verify(apart), "links")
+    if not more.isEmpty():
+        label = written(components(links.unionByName(more)), "label")
+    discard(stars, heavy, pairs, texts, links, more, members)
+
     grouped = classes.select("h", "first").join(label.withColumnRenamed("node", "h"), "h", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "h"))
     stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
     stays = grouped.join(stays, "component").select("h", "stays")
-    gone = lines.join(stays, "h").where(F.struct("k", "th", "line") != F.col("stays"))
-    return gone.groupBy("k", "th").agg(F.collect_set("line").alias("gone"))
+    gone = lines.select("k", "th", "line", "h").join(stays, "h").where(F.struct("k", "th", "line") != F.col("stays"))
+    gone = written(gone.groupBy("k", "th").agg(F.collect_set("line").alias("gone")), "gone")
+    discard(lines, classes)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text`` (``n_chars`` follows),
-    and ``_n_lines``, ``_gone`` (the numbers of the lines that went)."""
-    gone = repeated_lines(docs, params).select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64("text")})
-    out = keyed.join(gone, ["_k", "_th"], "left")
-    lines = F.split("text", "\n")
-    out = out.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
-    left = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), F.col("_gone"))
-    text = F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n"))[0]
-    out = out.withColumn("text", F.when((F.size("_gone") == 0) | F.col("text").isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "_n_lines", "_gone")
+    and two columns more: ``n_lines`` and ``removed_lines``, the sorted numbers of
+    the lines that went; where ``docs`` has such columns, they are replaced."""
+    own = {"n_lines", "removed_lines"}
+    names = [c for c in docs.columns if c not in own]
+    gone = repeated_lines(docs, params)
+    # All of a row travels in one struct, so that no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = rows.withColumns({"k": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64("row.text")})
+    rows = rows.join(gone, ["k", "th"], "left").select("row", F.split("row.text", "\n").alias("parts"), F.coalesce(F.array_sort("gone"), F.array().cast("array<int>")).alias("gone"))
+    left = F.filter("parts", lambda _, i: ~F.array_contains("gone", i))
+    text = F.when(F.size("gone") == 0, F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    rows = rows.select("row", "gone", F.coalesce(F.size("parts"), F.lit(0)).alias("n"), text.alias("text"))
+    out = {c: F.col("row").getField(c) for c in names} | {"text": F.col("text")}
+    if "n_chars" in names:
+        out["n_chars"] = F.when(F.size("gone") == 0, out["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[v.alias(c) for c, v in out.items()], F.greatest(F.lit(0), F.col("n")).cast("long").alias("n_lines"), F.col("gone").alias("removed_lines"))
 
 
 def without_repeats(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFrame:
     """Columns as those of ``docs``; documents that lose all their words go."""
-    out = dedup_lines(docs, params)
-    return out.where((F.size("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else []))
+    out = dedup_lines(kept, params)
+    out = out.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    now = {"text", "n_chars"}
+    return out.select(*[(F.col(c) if c in now else F.col("whole").getField(c)).alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Query: the lines of all whole ``documents``."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select(
-        "doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"),
-        F.array_sort("_gone").alias("removed_lines"), "text",
-    )
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "text")
