@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallex.llm.buckets import heavy_keys, linked
-from parallex.llm.scratch import bounded_batches, written
+from parallex.llm.scratch import bounded_batches, discard, written
 from parallex.llm.textscan import mix64, scan_words, shingle_sets, slices
 
 _U = np.uint64
@@ -252,21 +252,26 @@ def join(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> DataFrame:
     heavy = written(heavy_keys(sampled), "heavy")
     texts = docs.where("doc_id is not null")
     label = linked(entries, heavy, facts, lambda x, y: _possible(x, y, params.percent), lambda pairs: _links(pairs, texts, params))
+    discard(sets, heavy)
 
     out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(
+    out = out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
     )
+    out._scratch = [rows, classes, label]
+    return out
 
 
 def one_of_each(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> DataFrame:
     """``docs`` without all but the smallest ``doc_id`` of each component; of
     repeated rows with that id one stays; rows without an id all stay."""
-    found = join(docs, params).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count("*").alias("_n"))
+    joined = join(docs, params)
+    found = joined.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count("*").alias("_n"))
     found = written(found.where("_c <> doc_id or _n > 1"), "dropped")
+    discard(*joined._scratch)
     rest = docs.join(found.select("doc_id"), "doc_id", "left_anti")
     twice = docs.join(found.where("_c = doc_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rest.unionByName(twice).select(*docs.columns)

@@ -24,6 +24,8 @@ pass through ``dedup_lines``, whatever they are called.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -309,25 +311,72 @@ def similar(a: str, b: str, percent: int) -> bool:
     return 100 * edit_distance(a, b) <= (100 - percent) * longest
 
 
-_GRAMS = 2048
-
-
-def _enough_grams(left: list[str], right: list[str], percent: int) -> np.ndarray:
-    """Pairs that three-letter grams don't rule out.  An edit changes at most
-    three of a line's grams, so similar lines share many; grams are counted in
-    cells, which can only overstate what is shared."""
-    lines = left + right
-    size = np.array([len(x) for x in lines])
-    letters = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    cells = ((letters[:-2] * _U(0x9E3779B1) + letters[1:-1] * _U(0x85EBCA77) + letters[2:] * _U(0xC2B2AE3D)) >> _U(13)).astype(np.int64) % _GRAMS if len(letters) > 2 else np.zeros(0, np.int64)
-    line = np.repeat(np.arange(len(lines)), size)[: len(cells)]
-    ends = np.cumsum(size)
-    inside = np.arange(len(cells)) + 2 < ends[line] if len(cells) else np.zeros(0, bool)
-    counts = np.bincount(line[inside] * _GRAMS + cells[inside], minlength=len(lines) * _GRAMS).reshape(len(lines), _GRAMS)
-    n = len(left)
-    shared = np.minimum(counts[:n], counts[n:]).sum(1)
-    longest = np.maximum(size[:n], size[n:])
-    return shared >= longest - 2 - 3 * ((100 - percent) * longest // 100)
+#: Lanes for each word that a group needs to be faster than big integers.
+_LANES = 8
+#: Cells of the table of letters that one call of ``edit_distances`` holds.
+_TABLE = 1 << 22
+
+
+def edit_distances(left: list[str], right: list[str]) -> np.ndarray:
+    """Levenshtein distances of pairs: bit-parallel columns, a lane for each pair
+    and 64 letters of its left line a word (Myers' blocks)."""
+    m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+    out = np.maximum(m, n)
+    todo = np.flatnonzero((m > 0) & (n > 0))
+    if not len(todo):
+        return out
+    # Pairs of like sizes go together; of each group the longest right lines first.
+    todo = todo[np.lexsort((-n[todo], -(-m[todo] // 64)))]
+    words = -(-m[todo] // 64)
+    start = 0
+    while start < len(todo):
+        w = int(words[start])
+        group = todo[start : start + int(np.searchsorted(words[start:], w, side="right"))]
+        group = group[: max(16, _TABLE // (w * 96))]
+        start += len(group)
+        rows = len(group)
+        if rows < _LANES * w:
+            out[group] = [edit_distance(left[i], right[i]) for i in group]
+            continue
+        letters = [np.frombuffer("".join(side[i] for i in group).encode("utf-32-le"), dtype=np.uint32) for side in (left, right)]
+        known, codes = np.unique(np.concatenate(letters), return_inverse=True)
+        a, b = codes[: len(letters[0])], codes[len(letters[0]) :]
+        lane = np.repeat(np.arange(rows), m[group])
+        place = np.arange(len(a)) - np.repeat(np.cumsum(m[group]) - m[group], m[group])
+        # Bits of a lane's letter differ, so adding them up is an or.
+        eq = np.zeros(rows * len(known) * w, _U)
+        np.add.at(eq, (lane * len(known) + a) * w + place // 64, _U(1) << (place % 64).astype(_U))
+        eq = eq.reshape(rows * len(known), w)
+        ends = np.cumsum(n[group])
+        first = ends - n[group]
+        pv, mv = np.full((w, rows), ~_U(0)), np.zeros((w, rows), _U)
+        alive, one, top = rows, _U(1), _U(63)
+        for j in range(int(n[group[0]])):
+            while n[group[alive - 1]] <= j:
+                alive -= 1
+            at = np.arange(alive) * len(known) + b[first[:alive] + j]
+            plus, minus = np.ones(alive, _U), np.zeros(alive, _U)
+            for k in range(w):
+                p, q = pv[k, :alive], mv[k, :alive]
+                e = eq[at, k]
+                xv = e | q
+                e |= minus
+                xh = (((e & p) + p) ^ p) | e
+                ph = q | ~(xh | p)
+                mh = p & xh
+                up, down = ph >> top, mh >> top
+                ph = (ph << one) | plus
+                mh = (mh << one) | minus
+                pv[k, :alive] = mh | ~(xv | ph)
+                mv[k, :alive] = ph & xv
+                plus, minus = up, down
+        total = n[group].copy()
+        for k in range(w):
+            inside = np.clip(m[group] - 64 * k, 0, 64).astype(_U)
+            mask = np.where(inside == 64, ~_U(0), (one << (inside & _U(63))) - one)
+            total += np.bitwise_count(pv[k] & mask).astype(np.int64) - np.bitwise_count(mv[k] & mask)
+        out[group] = total
+    return out
 
 
 def _surplus(lines: list[bytes]) -> np.ndarray:
@@ -350,31 +399,81 @@ def _near_letters(left: list[str], right: list[str], percent: int) -> np.ndarray
     return (100 * (longest - size.min(0)) <= (100 - percent) * longest) & (100 * apart <= (100 - percent) * longest)
 
 
+def aligned_cost(x: list[str], y: list[str], enough: int = 0) -> int:
+    """Edits that one way to change words ``x`` into ``y`` takes, a bound on their
+    lines' edit distance: words that both hold once stay, as many as keep their
+    order, and what lies between is replaced; gap by gap, letter by letter, until
+    the sum is no more than ``enough``."""
+    lo, least = 0, min(len(x), len(y))
+    while lo < least and x[lo] == y[lo]:
+        lo += 1
+    hi = 0
+    while hi < least - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    once = {}
+    for j, w in enumerate(y):
+        once[w] = -1 if w in once else j
+    seen = Counter(x)
+    # The longest rising run of places, by the smallest end of each length.
+    ends, chain = [], []
+    for i, w in enumerate(x):
+        j = once.get(w, -1)
+        if j >= 0 and seen[w] == 1:
+            k = bisect_left(ends, j)
+            node = (i, j, chain[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                chain.append(node)
+            else:
+                ends[k], chain[k] = j, node
+    gaps, right, below = [], len(x), len(y)
+    node = chain[-1] if chain else (-1, -1, None)
+    while node:
+        i, j, before = node
+        if i + 1 < right or j + 1 < below:
+            gaps.append((" ".join(x[i + 1 : right]), " ".join(y[j + 1 : below])))
+        right, below = i, j
+        node = before or ((-1, -1, None) if i >= 0 else None)
+    total = sum([max(len(a), len(b)) + (not a or not b) for a, b in gaps])
+    for a, b in gaps:
+        if total <= enough:
+            break
+        if a and b:
+            total += edit_distance(a, b) - max(len(a), len(b))
+    return total
+
+
 def similar_pairs(left: list[str], right: list[str], percent: int) -> np.ndarray:
-    """Which pairs of normalised lines are similar; bounds settle most of them."""
+    """Which pairs of normalised lines are similar; bounds settle many of them."""
     keep = _near_letters(left, right, percent)
-    left_open = []
+    rest = []
     for i in np.flatnonzero(keep).tolist():
-        x, y = left[i].split(" "), right[i].split(" ")
+        a, b = left[i], right[i]
+        most = (100 - percent) * max(len(a), len(b))
+        x, y = a.split(" "), b.split(" ")
         # Replacing the words that differ in place is one way to edit.
-        if len(x) != len(y) or 100 * sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) > (100 - percent) * max(len(left[i]), len(right[i])):
-            left_open.append(i)
-    for first in range(0, len(left_open), 64):
-        part = left_open[first : first + 64]
-        likely = _enough_grams([left[i] for i in part], [right[i] for i in part], percent)
-        for i, ok in zip(part, likely.tolist()):
-            keep[i] = ok and similar(left[i], right[i], percent)
+        if len(x) != len(y) or 100 * sum([max(len(v), len(w)) for v, w in zip(x, y) if v != w]) > most:
+            if 100 * aligned_cost(x, y, most // 100) > most:
+                rest.append(i)
+    a, b = [left[i] for i in rest], [right[i] for i in rest]
+    longest = np.array([max(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
+    keep[rest] = 100 * edit_distances(a, b) <= (100 - percent) * longest
     return keep
 
 
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = pa.array([normal(x) for x in batch.column("t").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("h"), lines], names=["h", "t"])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                left, right = ([normal(x) for x in part.column(c).to_pylist()] for c in ("ta", "tb"))
-                keep = pa.array(similar_pairs(left, right, percent))
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            left, right = (batch.column(c).to_pylist() for c in ("ta", "tb"))
+            keep = pa.array(similar_pairs(left, right, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -405,7 +504,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 4096):
             part = batch.slice(first, 4096)
-            lines = [normal(x) for x in part.column("t").to_pylist()]
+            lines = part.column("t").to_pylist()
             cells = _surplus([x.encode() for x in lines])
             fold = np.zeros((len(lines), 32), np.int64)
             for c in range(112):
@@ -456,7 +555,7 @@ def _across(met: DataFrame, label: DataFrame, texts: DataFrame, percent: int) ->
     facts = texts.mapInArrow(_bags, "id long, chars long, s0 long, s1 long")
     members = written(members.join(mixed, "key").join(facts, "id"), "mixed")
     both = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _possible(percent)
-    return members.alias("x").join(members.alias("y"), both).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), members
+    return members.alias("x").join(members.alias("y"), both).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), members
 
 
 def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFrame:
@@ -477,7 +576,8 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     wanted = classes.where("met").select("h", "first.*").groupBy("k", "th").agg(F.collect_list(F.struct("h", "line")).alias("take"))
     text = wanted.join(docs.select("k", "th", F.split("text", "\n").alias("parts")), ["k", "th"])
     text = text.select("parts", F.explode("take").alias("l")).select(F.col("l.h").alias("h"), F.get("parts", F.col("l.line")).alias("t"))
-    texts = written(text.groupBy("h").agg(F.min("t").alias("t")), "line_texts")
+    texts = text.groupBy("h").agg(F.min("t").alias("t")).mapInArrow(_normalised, "h long, t string")
+    texts = written(texts, "line_texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a")
@@ -487,6 +587,8 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     links = written(verify(pairs), "links")
     label = written(components(links), "label")
     apart, members = _across(met, label, texts, params.percent)
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(verify(apart), "links")
     if not more.isEmpty():
         label = written(components(links.unionByName(more)), "label")

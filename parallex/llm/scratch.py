@@ -57,7 +57,7 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Bound the Arrow batches that Python workers get by bytes, not only by
     rows, unless the session already does: texts may be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

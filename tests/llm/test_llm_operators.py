@@ -151,8 +151,16 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
         longest = max(len(a), len(b))
         assert line_dedup.similar(a, b, 80) == (100 * plain(a, b) <= 20 * longest)
-        if line_dedup.similar(a, b, 80):
-            assert line_dedup._enough_grams([a], [b], 80)[0]
+        assert line_dedup.similar_pairs([line_dedup.normal(a)], [line_dedup.normal(b)], 80)[0] == line_dedup.similar(line_dedup.normal(a), line_dedup.normal(b), 80)
+    sides = [["".join(rng.choice(list("abé漢 "), rng.integers(0, size))) for _ in range(40)] for size in (150, 150)]
+    sides[0][:3], sides[1][:3] = ["a" * 64, "b" * 128, "c" * 63], ["a" * 65, "b" * 127, "d" * 64]
+    assert line_dedup.edit_distances(*sides).tolist() == [line_dedup.edit_distance(a, b) for a, b in zip(*sides)] == [plain(a, b) for a, b in zip(*sides)]
+    for _ in range(300):
+        x, y = ([str(w) for w in rng.choice(["a", "bb", "ccc", "dd", "e", "fgh", "ij"], rng.integers(1, 9))] for _ in range(2))
+        assert line_dedup.aligned_cost(x, y) >= plain(" ".join(x), " ".join(y)) and line_dedup.aligned_cost(x, x) == 0
+    # Few pairs of long lines are compared one by one.
+    long = "word " * 1000
+    assert line_dedup.similar_pairs([long.strip()], [(long + "x").strip()], 80)[0]
 
 
 def test_quality_rules(spark):
