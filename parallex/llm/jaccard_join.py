@@ -50,8 +50,9 @@ class JaccardJoin:
     percent: int = 80
     #: Spare segments for each needed one, so that the least selective can go.
     spare: float = 0.25
-    #: Bits of selectivity that the cost model gives to a shingle.
-    shingle_bits: float = 3.0
+    #: Bits of selectivity that the cost model gives to each word of a shingle;
+    #: candidates are found whatever it is.
+    word_bits: float = 1.0
 
 
 class Schemes:
@@ -88,14 +89,25 @@ class Schemes:
         return self._plans[k]
 
     def _allocate(self, k: int, differ: int):
+        """The cheapest number of one-deletion segments: a document's keys, and the
+        other documents that it meets by chance.  Segments are hash ranges, so their
+        sizes vary as Poisson's; small ones meet most, of which the spare go."""
         p, size, docs = self.params, float(self.starts[k]), self.counts.get(k, 1) + 1
-        one = np.arange(0, (differ + 2) // 2 + 1)
+        bits = p.word_bits * p.width
+        one = np.unique(np.minimum((differ + 2) // 2, np.concatenate([np.arange(33), np.geomspace(33, max(34, (differ + 2) // 2), 32).astype(np.int64)])))
         need = np.maximum(0, differ + 1 - 2 * one)
         spare = np.ceil(p.spare * need)
         weight = need + spare + 2 * one
         per = size / weight
+        s = np.arange(64)
+        logs = np.concatenate([[0], np.cumsum(np.log(np.arange(1, 64)))])
+        poisson = lambda mean: np.exp(s * np.log(mean)[:, None] - mean[:, None] - logs)
+        dropped = spare / np.maximum(1, need + spare)
+        kept = np.diff(np.maximum(np.cumsum(poisson(per), axis=1), dropped[:, None]), axis=1, prepend=dropped[:, None])
+        exact = (kept * 2.0 ** (-bits * s)).sum(1) / (1 - dropped)
+        near = (poisson(2 * per) * (s + 1) * 2.0 ** (-bits * np.maximum(0, s - 1))).sum(1)
         keys = need + one * (1 + 2 * per)
-        lists = docs * (need * 2.0 ** (-p.shingle_bits * per) + one * (1 + 2 * per) * 2.0 ** (-p.shingle_bits * np.maximum(0, 2 * per - 1)))
+        lists = docs * (need * exact + one * near)
         best = int(np.argmin(keys + lists))
         d, c = int(one[best]), int(spare[best])
         m = d + int(need[best]) + c
