@@ -53,8 +53,9 @@ class LineDedup:
     whole: int = 500
     #: Lines of at most so many letters have keys by pairs of letters besides.
     lettered: int = 30
-    #: A key's words agree by chance with fewer than 2**-slack lines.
-    slack: float = 6.0
+    #: A key's words agree by chance with fewer than 2**-slack lines, if words
+    #: were independent; words of one language aren't, which this makes up for.
+    slack: float = 10.0
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -186,8 +187,9 @@ def block_keys(view: np.ndarray, level: np.ndarray, feature: np.ndarray, bits: n
     return np.concatenate(own), np.concatenate(keys)
 
 
-def line_keys(data, at, n, chars, starts, ends, words, telling: np.ndarray, need: float, params: LineDedup):
-    """Line and key of all lines' keys, by line."""
+def line_keys(data, at, n, chars, starts, ends, words, telling: np.ndarray, need: float, params: LineDedup, mean: float = 0.0):
+    """Line and key of all lines' keys, by line.  ``mean``: letters of a line; the
+    words of longer lines tell less, for more lines of their length hold them."""
     line = np.repeat(np.arange(len(at)), n)
     levels = np.maximum(0, np.ceil(np.log2(np.maximum(chars + 1, 1) / params.whole))).astype(np.int64)
     # A similar line may be longer and have the next level.
@@ -199,6 +201,8 @@ def line_keys(data, at, n, chars, starts, ends, words, telling: np.ndarray, need
     feature = np.concatenate([words, words[again]])
     level = np.concatenate([levels[line], levels[line[again]] + 1])
     bits = telling[(feature >> _U(64 - _CELLS)).astype(np.int64)]
+    usual = np.log2(0.75 * params.whole * 2.0 ** np.arange(65) / mean) if mean else np.zeros(65)
+    bits = np.maximum(0, bits - np.maximum(0, usual).astype(np.float32)[level])
     feature = mix64(feature + level.astype(_U))
     own, keys = block_keys(view, level, feature, bits, len(at) + len(near), need, params.blocks)
     own = np.concatenate([np.arange(len(at)), near])[own]
@@ -219,14 +223,14 @@ def line_keys(data, at, n, chars, starts, ends, words, telling: np.ndarray, need
     return own[order], keys[order].view(np.int64)
 
 
-def _lines(telling: np.ndarray, need: float, params: LineDedup):
+def _lines(telling: np.ndarray, need: float, mean: float, params: LineDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, _, data, bounds in slices(batch.column("text")):
                 doc, line, h, at, n, chars, starts, ends, words = scan_lines(data, bounds)
                 if not len(doc):
                     continue
-                own, keys = line_keys(data, at, n, chars, starts, ends, words, telling, need, params)
+                own, keys = line_keys(data, at, n, chars, starts, ends, words, telling, need, params, mean)
                 count = np.bincount(own, minlength=len(at))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys))
                 where = pa.array(doc + begin)
@@ -238,26 +242,27 @@ def _lines(telling: np.ndarray, need: float, params: LineDedup):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words by cell, and lines as cell -1: a row for each cell and task at most."""
-    total, lines = np.zeros(1 << _CELLS, np.int64), 0
+    """Words by cell, lines as cell -1 and octets as -2: a row for each cell and task at most."""
+    total, lines, octets = np.zeros(1 << _CELLS, np.int64), 0, 0
     for batch in batches:
         for _, _, data, bounds in slices(batch.column("text")):
             words = scan_words(data, bounds)[2]
             total += np.bincount((words >> _U(64 - _CELLS)).astype(np.int64), minlength=1 << _CELLS)
             lines += int((data == 10).sum()) + len(bounds) - 1
+            octets += len(data)
     cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1).astype(np.int32)), pa.array(np.append(total[cells], lines))], names=["cell", "c"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, [-1, -2]).astype(np.int32)), pa.array(np.append(total[cells], [lines, octets]))], names=["cell", "c"])
 
 
-def _telling(docs: DataFrame, params: LineDedup) -> tuple[np.ndarray, float]:
-    """Bits that words tell, by cell, and the bits that a key needs.  At most
-    32,769 sums reach the driver."""
+def _telling(docs: DataFrame, params: LineDedup) -> tuple[np.ndarray, float, float]:
+    """Bits that words tell, by cell, the bits that a key needs, and a line's mean
+    length.  At most 32,770 sums reach the driver."""
     sums = docs.select("text").mapInArrow(_counted, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
     cell, c = sums.column("cell").to_numpy(), sums.column("c").to_numpy()
-    lines = max(1, int(c[cell < 0].sum()))
+    lines, octets = (max(1, int(c[cell == k].sum())) for k in (-1, -2))
     telling = np.full(1 << _CELLS, np.log2(lines + 1), np.float32)
     telling[cell[cell >= 0]] = np.maximum(0, np.log2(lines / np.maximum(1, c[cell >= 0])))
-    return telling, float(np.log2(lines) + params.slack)
+    return telling, float(np.log2(lines) + params.slack), max(1.0, octets / lines)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -446,7 +451,8 @@ def aligned_cost(x: list[str], y: list[str], enough: int = 0) -> int:
 
 def similar_pairs(left: list[str], right: list[str], percent: int) -> np.ndarray:
     """Which pairs of normalised lines are similar; bounds settle many of them."""
-    keep = _near_letters(left, right, percent)
+    parts = [(left[i : i + 256], right[i : i + 256]) for i in range(0, len(left), 256)]
+    keep = np.concatenate([np.zeros(0, bool), *[_near_letters(*part, percent) for part in parts]])
     rest = []
     for i in np.flatnonzero(keep).tolist():
         a, b = left[i], right[i]
@@ -468,35 +474,48 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("h"), lines], names=["h", "t"])
 
 
+#: Octets of text that are compared in one call: more lanes take less time each.
+_COMPARED = 16 << 20
+
+
 def _verify(percent: int):
+    def compared(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        keep = pa.array(similar_pairs(table.column("ta").to_pylist(), table.column("tb").to_pylist(), percent))
+        columns = [table.column(c).combine_chunks().filter(keep) for c in ("a", "b")]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, octets = [], 0
         for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in ("ta", "tb"))
-            keep = pa.array(similar_pairs(left, right, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            held.append(batch)
+            octets += batch.nbytes
+            if octets >= _COMPARED:
+                yield compared(held)
+                held, octets = [], 0
+        if held:
+            yield compared(held)
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``key``, ``salt``, ``id``: each id with the smallest of its
-    bucket; of heavy buckets that one with itself too.  Holds one batch."""
-    last = np.zeros((4, 0), np.int64)  # key, salt, id and smallest id of the row before
+    """Rows sorted by ``key``: each id with the first of its bucket.  Which one
+    that is doesn't matter: buckets that stay mixed are compared across components."""
+    last = None  # key and first id of the bucket that goes on
     for batch in batches:
-        if not batch.num_rows:
+        key, ids = (batch.column(c).to_numpy() for c in ("key", "id"))
+        if not len(key):
             continue
-        key, salt, ids = (batch.column(c).to_numpy() for c in ("key", "salt", "id"))
         new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-        if last.shape[1]:
-            new[0] = key[0] != last[0, 0] or salt[0] != last[1, 0]
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        if last is not None and key[0] == last[0]:
+            new[0] = False
         place = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        least = np.where(place >= 0, ids[place], last[3, 0] if last.shape[1] else 0)
-        before = np.concatenate([last[2] if last.shape[1] else ids[:1] - 1, ids[:-1]])
-        again = ~new & (ids == before)
-        keep = ~again & ((ids != least) | (new & (salt >= 0)))
-        last = np.array([[key[-1]], [salt[-1]], [ids[-1]], [least[-1]]])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, least, key)], names=["a", "b", "key"])
+        rep = np.where(place >= 0, ids[place], last[1] if last else 0)
+        last = key[-1], rep[-1]
+        keep = rep != ids
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, rep, key)], names=["a", "b", "key"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,18 +550,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64("text")})
 
 
-def _met(lines: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``a``, ``b``, ``key``: classes and the smallest class of their buckets.
-    Buckets that a sample shows to be heavy are dealt over salts first.  And
-    the written table behind it."""
-    entries = lines.select(F.col("h").alias("id"), F.explode("keys").alias("key")).join(F.broadcast(heavy), "key", "left")
-    entries = entries.select("key", "id", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(-1)).cast("long").alias("salt"))
-    dealt = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
-    found = written(dealt.mapInArrow(_stars, "a long, b long, key long"), "stars")
-    heads = found.where("a = b").select(F.col("a").alias("id"), "key").distinct()
-    lowest = heads.groupBy("key").agg(F.min("id").alias("b"))
-    rest = heads.join(lowest, "key").select(F.col("id").alias("a"), "b", "key")
-    return found.where("a <> b").unionByName(rest.where("a <> b")), found
+def _met(lines: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``key``: classes and another class of each of their buckets.
+    Buckets that a sample shows to be heavy are dealt over salts first, and the
+    salts' first classes meet the smallest."""
+    every = lines.select(F.col("h").alias("id"), F.explode("keys").alias("key"))
+    found = "a long, b long, key long"
+    if heavy.isEmpty():
+        return written(every.select("key", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_stars, found), "stars")
+    light = every.join(F.broadcast(heavy), "key", "left_anti").select("key", "id")
+    out = light.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, found)
+    salted = every.join(F.broadcast(heavy), "key").distinct().select("key", "id", F.pmod(F.xxhash64("id"), "salts").alias("salt"))
+    least = salted.groupBy("key", "salt").agg(F.min("id").alias("b"))
+    out = out.unionByName(salted.join(least, ["key", "salt"]).select(F.col("id").alias("a"), "b", "key"))
+    heads = least.select(F.col("b").alias("a"), "key")
+    out = out.unionByName(heads.join(least.groupBy("key").agg(F.min("b").alias("b")), "key").select("a", "b", "key"))
+    return written(out.where("a <> b"), "stars")
 
 
 def _across(met: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -563,10 +586,10 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     and ``gone``, the numbers of the lines that go, of documents that lose any."""
     bounded_batches(docs.sparkSession)
     docs = _keyed(docs.select("doc_id", "text").where("text is not null"))
-    telling, need = _telling(docs, params)
-    lines = written(docs.mapInArrow(_lines(telling, need, params), "k long, th long, line int, h long, keys array<long>"), "lines")
+    telling, need, mean = _telling(docs, params)
+    lines = written(docs.mapInArrow(_lines(telling, need, mean, params), "k long, th long, line int, h long, keys array<long>"), "lines")
     heavy = written(heavy_keys(lines.sample(0.01, 7).select(F.explode("keys").alias("key"))), "heavy")
-    met, stars = _met(lines, heavy)
+    met = _met(lines, heavy)
     pairs = written(met.select("a", "b").distinct(), "pairs")
     classes = lines.groupBy("h").agg(F.min(F.struct("k", "th", "line")).alias("first"), F.count("*").alias("n"))
     used = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
@@ -592,7 +615,7 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     more = written(verify(apart), "links")
     if not more.isEmpty():
         label = written(components(links.unionByName(more)), "label")
-    discard(stars, heavy, pairs, texts, links, more, members)
+    discard(met, heavy, pairs, texts, links, more, members)
 
     grouped = classes.select("h", "first").join(label.withColumnRenamed("node", "h"), "h", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "h"))
