@@ -16,9 +16,12 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier (7), learnt from the labelled documents: rejects go."""
+    """Quality classifier (7): rejects go.  It learns from the labelled documents
+    without their failing lines, as it gets them here; rows without a text are
+    scored as empty ones."""
     known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = quality_mil.fit(known, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_mil.fit(known, labels, prepared=lambda sample: quality_rules.clean(sample, rejected=True))
     return quality_mil.keep_good(docs, model)
 
 

@@ -53,9 +53,9 @@ class LineDedup:
     whole: int = 500
     #: Lines of at most so many letters have keys by pairs of letters besides.
     lettered: int = 30
-    #: A key's words agree by chance with fewer than 2**-slack lines, if words
-    #: were independent; words of one language aren't, which this makes up for.
-    slack: float = 10.0
+    #: A key tells so many times the bits that number the lines.  Once would do for
+    #: one chance agreement, if words were independent; those of a language aren't.
+    slack: float = 1.5
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -64,14 +64,14 @@ _FOLD[48:58] = 48
 _WORD = np.ones(256, dtype=bool)
 _WORD[:128] = False
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
-_WEIGHT = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))[_FOLD] | _U(1)
-_WEIGHT[~_WORD] = 0
+#: Masks of the first octets of eight.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
 _NORMAL = bytes(int(_FOLD[b]) if _WORD[b] else 32 for b in range(256))
 #: Words are counted in so many cells (a power of two); sharing one only makes a
 #: word look more frequent.
 _CELLS = 15
-#: Bits that a pair of letters is taken to tell.
-_PAIR_BITS = 4.0
+#: Bits that a pair of letters is taken to tell, and any word at least.
+_PAIR_BITS, _LEAST_BITS = 4.0, np.float32(0.25)
 
 
 def scan_words(data: np.ndarray, bounds: np.ndarray):
@@ -86,12 +86,28 @@ def scan_words(data: np.ndarray, bounds: np.ndarray):
     rise[inner] = word[inner]
     fall[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(rise), np.flatnonzero(fall) + 1
+    return starts, ends, word_hashes(data, starts, ends)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of folded words, eight octets at a time."""
+    size = ends - starts
+    hashes = size.astype(_U) * _U(0x9E3779B97F4A7C15)
     if not len(starts):
-        return starts, ends, np.zeros(0, _U)
-    up, down = _power(len(data))
-    terms = _WEIGHT[data]
-    terms *= up[: len(data)]
-    return starts, ends, mix64(np.add.reduceat(terms, starts) * down[starts])
+        return hashes
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(_FOLD, data, out=padded[: len(data)])
+    octets = np.lib.stride_tricks.as_strided(padded[:8].view(_U), (len(data) + 1,), (1,))
+    todo, done = slice(None), 0
+    while True:
+        left = size[todo] - done
+        part = octets[starts[todo] + done] & _KEEP[np.minimum(left, 8)]
+        hashes[todo] = mix64(hashes[todo] * _U(0xD6E8FEB86659FD93) + part)
+        done += 8
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return hashes
+        todo = more if isinstance(todo, slice) else todo[more]
 
 
 def scan_lines(data: np.ndarray, bounds: np.ndarray):
@@ -159,29 +175,27 @@ def block_keys(view: np.ndarray, level: np.ndarray, feature: np.ndarray, bits: n
     value, told = value.reshape(-1, blocks), told.reshape(-1, blocks)
     whole = told.sum(1)
     own, keys = [], []
-    # Lines that tell little have keys of about 0.6 of it, cut for two steps of
+    # Lines that tell little have keys of about 0.4 of it, cut for two steps of
     # eight bits so that similar lines have one of them in common.
     steps = np.floor(whole / 8)
     for shift in (0, 1):
-        limit = np.minimum(need, 0.6 * 8 * np.maximum(steps + shift, 0.5))
-        rows = np.flatnonzero((whole > 0) & ((shift == 0) | (limit < need) | (0.6 * 8 * steps < need)))
+        limit = np.minimum(need, 0.4 * 8 * np.maximum(steps + shift, 0.5))
+        rows = np.flatnonzero((whole > 0) & ((shift == 0) | (0.4 * 8 * steps < need)))
         if not len(rows):
             continue
-        v, t, limit = value[rows], told[rows], limit[rows]
-        for b in range(blocks):
-            live = np.flatnonzero(v[:, b] != 0)
-            key = mix64(v[live, b] + _U(b + 1))
-            have, cut = t[live, b].copy(), limit[live]
-            for step in range(1, blocks):
-                open_ = np.flatnonzero(have < cut)
-                if not len(open_):
-                    break
-                c = (b + step) % blocks
-                at = live[open_]
-                key[open_] = mix64(key[open_] * _U(0x2545F4914F6CDD1D) + v[at, c] + _U(step))
-                have[open_] += t[at, c]
-            own.append(rows[live])
-            keys.append(key)
+        row, start = np.nonzero(value[rows] != 0)
+        row = rows[row]
+        key, have = mix64(value[row, start] + (start + 1).astype(_U)), told[row, start]
+        open_, cut = np.arange(len(row)), limit[row]
+        for step in range(1, blocks):
+            open_ = open_[have[open_] < cut[open_]]
+            if not len(open_):
+                break
+            r, c = row[open_], (start[open_] + step) % blocks
+            key[open_] = mix64(key[open_] * _U(0x2545F4914F6CDD1D) + value[r, c] + _U(step))
+            have[open_] += told[r, c]
+        own.append(row)
+        keys.append(key)
     if not own:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     return np.concatenate(own), np.concatenate(keys)
@@ -201,8 +215,8 @@ def line_keys(data, at, n, chars, starts, ends, words, telling: np.ndarray, need
     feature = np.concatenate([words, words[again]])
     level = np.concatenate([levels[line], levels[line[again]] + 1])
     bits = telling[(feature >> _U(64 - _CELLS)).astype(np.int64)]
-    usual = np.log2(0.75 * params.whole * 2.0 ** np.arange(65) / mean) if mean else np.zeros(65)
-    bits = np.maximum(0, bits - np.maximum(0, usual).astype(np.float32)[level])
+    longer = np.log2(0.75 * params.whole * 2.0 ** np.arange(65) / max(mean, 0.75 * params.whole))
+    bits = np.maximum(_LEAST_BITS, bits - np.maximum(0, longer).astype(np.float32)[level])
     feature = mix64(feature + level.astype(_U))
     own, keys = block_keys(view, level, feature, bits, len(at) + len(near), need, params.blocks)
     own = np.concatenate([np.arange(len(at)), near])[own]
@@ -262,7 +276,7 @@ def _telling(docs: DataFrame, params: LineDedup) -> tuple[np.ndarray, float, flo
     lines, octets = (max(1, int(c[cell == k].sum())) for k in (-1, -2))
     telling = np.full(1 << _CELLS, np.log2(lines + 1), np.float32)
     telling[cell[cell >= 0]] = np.maximum(0, np.log2(lines / np.maximum(1, c[cell >= 0])))
-    return telling, float(np.log2(lines) + params.slack), max(1.0, octets / lines)
+    return telling, float(np.log2(lines) * params.slack), max(1.0, octets / lines)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -587,7 +601,7 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     bounded_batches(docs.sparkSession)
     docs = _keyed(docs.select("doc_id", "text").where("text is not null"))
     telling, need, mean = _telling(docs, params)
-    lines = written(docs.mapInArrow(_lines(telling, need, mean, params), "k long, th long, line int, h long, keys array<long>"), "lines")
+    lines = written(docs.mapInArrow(_lines(telling, need, mean, params), "k long, th long, line int, h long, keys array<long>"), "lines", **{"parquet.enable.dictionary": "false", "compression": "uncompressed"})
     heavy = written(heavy_keys(lines.sample(0.01, 7).select(F.explode("keys").alias("key"))), "heavy")
     met = _met(lines, heavy)
     pairs = written(met.select("a", "b").distinct(), "pairs")

@@ -203,8 +203,11 @@ def _encode(params: MilParams):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, params: MilParams = MilParams()) -> MilModel:
+def fit(docs: DataFrame, labels: DataFrame, params: MilParams = MilParams(), prepared=None) -> MilModel:
+    """Learns from the labelled documents' texts, as ``prepared`` (a function of
+    the sample) leaves them."""
     sample = training_sample(docs, labels, "quality", params.modulus, params.held_out, params.max_train)
+    sample = sample if prepared is None else prepared(sample)
     bags = sample.orderBy("doc_id").select("label", "text").mapInArrow(_encode(params), "label double, bag array<float>").toArrow()
     flat = bags.column("bag").combine_chunks()
     x = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)

@@ -116,6 +116,10 @@ def _any(terms) -> Column:
     return out
 
 
+_SCRATCH = ("_words", "_lines", "_windows", "_all", "_row")
+_RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_ok", "kept_word_chars", "base_failed", "kept"]
+
+
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``line_ok`` (for each
     \\n-split line whether it stays), ``kept_word_chars`` and ``kept``."""
@@ -137,14 +141,15 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     return docs.withColumn("kept", ~F.col("base_failed") & verdict).drop("_words", "_lines", "_all")
 
 
-def clean(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+def clean(docs: DataFrame, rules: QualityRules = QualityRules(), rejected: bool = False) -> DataFrame:
     """The documents that are kept, without their failing lines; ``n_chars``
-    follows the text.  Columns as those of ``docs``."""
+    follows the text; with ``rejected`` the documents that aren't kept too.
+    Columns as those of ``docs``."""
     columns = docs.columns
     out = judge(docs.withColumns({f"_in_{c}": F.col(c) for c in columns}), rules)
     # A numbered row keeps the filter above the measures: pushed below them it
     # would repeat all of them, some inside lambdas.
-    out = out.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
+    out = out.withColumn("_row", F.monotonically_increasing_id()).where((F.col("kept") | F.lit(rejected)) & (F.col("_row") >= 0))
     lines = F.filter(F.arrays_zip(F.split(_text(), "\n").alias("l"), F.col("line_ok").alias("ok")), lambda z: z["ok"])
     text = F.array_join(F.transform(lines, lambda z: z["l"]), "\n")
     values = {c: F.col(f"_in_{c}") for c in columns} | {"text": text}

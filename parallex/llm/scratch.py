@@ -29,16 +29,17 @@ def scratch_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet and read again: lost executors re-read it
     instead of recomputing, and later plans start from it.  The write's shuffle
-    files go when it has ended, for nothing reads them again."""
+    files go when it has ended, for nothing reads them again.  ``options`` are the
+    writer's."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
