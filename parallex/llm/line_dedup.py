@@ -55,7 +55,7 @@ class LineDedup:
     lettered: int = 30
     #: A key tells so many times the bits that number the lines.  Once would do for
     #: one chance agreement, if words were independent; those of a language aren't.
-    slack: float = 1.75
+    slack: float = 1.5
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
