@@ -175,12 +175,12 @@ def block_keys(view: np.ndarray, level: np.ndarray, feature: np.ndarray, bits: n
     value, told = value.reshape(-1, blocks), told.reshape(-1, blocks)
     whole = told.sum(1)
     own, keys = [], []
-    # Lines that tell little have keys of about 0.4 of it, cut for two steps of
+    # Lines that tell little have keys of about 0.6 of it, cut for two steps of
     # eight bits so that similar lines have one of them in common.
     steps = np.floor(whole / 8)
     for shift in (0, 1):
-        limit = np.minimum(need, 0.4 * 8 * np.maximum(steps + shift, 0.5))
-        rows = np.flatnonzero((whole > 0) & ((shift == 0) | (0.4 * 8 * steps < need)))
+        limit = np.minimum(need, 0.6 * 8 * np.maximum(steps + shift, 0.5))
+        rows = np.flatnonzero((whole > 0) & ((shift == 0) | (0.6 * 8 * steps < need)))
         if not len(rows):
             continue
         row, start = np.nonzero(value[rows] != 0)
