@@ -1,11 +1,12 @@
 """Byte-level BPE in Spark higher-order functions.
 
-Texts are split by the vocabulary's pattern.  The distinct words of a batch of
+Texts are split by the vocabulary's pattern.  The distinct words of a task's
 documents go, as arrays of bytes, through a fold of ranked merges: each step
 joins the adjacent pair of lowest rank, the leftmost first, looked up in a
 literal rank map (dealt over small maps by checksum, so a lookup scans few
 entries).  Ids are put back in the words' places; decoding concatenates the
-ids' binary pieces.  Nothing is shuffled: words are shared within a batch.
+ids' binary pieces.  Nothing is shuffled: a task folds each of its words once and
+keeps a dictionary of them, of bounded size.
 
 Bytes travel as Latin-1 letters, one for each byte, since SQL arrays of them
 compare and concatenate in the JVM.
@@ -32,11 +33,18 @@ from pyspark.sql import functions as F
 from parallex.llm.scratch import bounded_batches
 
 
+#: The part of a state's entry that tells where a piece begins, and what stands
+#: for the rank where a pair has none.
+_BEGIN, _NO_PAIR = (1 << 32) - 1, 1 << 62
+#: A task's dictionary of words starts anew beyond so many letters and words.
+_LETTERS, _WORDS = 16 << 20, 1 << 20
+
+
 @dataclass(frozen=True)
 class ByteBpe:
     path: str
     pattern: str
-    #: Small maps that the rank map is dealt over.
+    #: Small maps that the rank map is dealt over (a power of two).
     buckets: int = 16384
 
 
@@ -54,7 +62,7 @@ class Codec:
         self._n = params.buckets
         dealt: list[dict[str, int]] = [{} for _ in range(self._n)]
         for token, rank in ranks.items():
-            dealt[zlib.crc32(token.encode()) % self._n][token] = rank
+            dealt[zlib.crc32(token.encode()) & (self._n - 1)][token] = rank
         self._ranks = F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
         tokens = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -63,66 +71,90 @@ class Codec:
 
     def rank(self, token: Column) -> Column:
         """The token's rank, or null."""
-        slot = F.pmod(F.crc32(token.cast("binary")), F.lit(self._n)).cast("int")
+        slot = F.crc32(token.cast("binary")).bitwiseAND(F.lit(self._n - 1)).cast("int")
         return F.element_at(F.get(self._ranks, slot), token)
 
     def encode(self, word: Column) -> Column:
-        """Ids of a word of Latin-1 letters, never empty."""
-        ranks = lambda parts: F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda a, b: self.rank(F.concat(a, b)))
+        """Ids of a word of Latin-1 letters, never empty.
 
-        def step(state: Column, _: Column) -> Column:
-            parts, order = state["parts"], state["order"]
-            at = F.array_position(order, F.array_min(order)).cast("int")
+        The state holds, for each part and for the word's end, where it begins, and
+        above that the rank of the part joined with the next (or ``_NO_PAIR``): the
+        least entry is the leftmost pair of lowest rank."""
+        begin = lambda entry: entry.bitwiseAND(F.lit(_BEGIN))
+        between = lambda a, b: self.rank(F.substring(word, (a + 1).cast("int"), (b - a).cast("int")))
+        entry = lambda a, b: F.coalesce(F.shiftleft(between(a, b).cast("long"), 32), F.lit(_NO_PAIR)) + a
 
-            def merged(i: Column) -> Column:
-                new = F.concat(F.get(parts, i - 1), F.get(parts, i))
-                head, tail = F.slice(parts, 1, i - 1), F.slice(parts, i + 2, F.size(parts))
-                before = F.when(i > 1, F.concat(F.slice(order, 1, F.greatest(i - 2, F.lit(0))), F.array(self.rank(F.concat(F.get(parts, i - 2), new))))).otherwise(F.slice(order, 1, 0))
-                after = F.concat(F.array(self.rank(F.concat(new, F.get(parts, i + 1)))), F.slice(order, i + 2, F.size(order)))
-                return F.struct(F.concat(head, F.array(new), tail).alias("parts"), F.concat(before, after).alias("order"))
+        def merged(state: Column, least: Column, i: Column) -> Column:
+            a, before = begin(least), begin(F.get(state, i - 2))
+            own = entry(a, begin(F.get(state, i + 2)))
+            new = F.when(i > 1, F.array(entry(before, begin(F.get(state, i + 1))), own)).otherwise(F.array(own))
+            return F.concat(F.slice(state, 1, F.greatest(i - 2, F.lit(0))), new, F.slice(state, i + 2, F.size(state)))
+
+        def step(state: Column, _: Column) -> Column:
+            def joined(least: Column) -> Column:
+                at = F.array(F.array_position(state, least).cast("int"))
+                return F.when(least < _NO_PAIR, F.transform(at, lambda i: merged(state, least, i))[0]).otherwise(state)
 
-            return F.when(at > 0, F.transform(F.array(at), merged)[0]).otherwise(state)
+            return F.transform(F.array(F.array_min(state)), joined)[0]
 
-        letters = F.split(word, "")
-        start = F.transform(F.array(letters), lambda p: F.struct(p.alias("parts"), ranks(p).alias("order")))[0]
-        folded = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), start, step)["parts"]
-        whole = self.rank(word)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, self.rank))
+        size = F.length(word)
+        start = F.transform(F.sequence(F.lit(0), size), lambda i: F.when(i < size - 1, entry(i.cast("long"), i.cast("long") + 2)).otherwise(i + F.lit(_NO_PAIR)))
+        folded = F.aggregate(F.sequence(F.lit(1), size - 1), start, step)
+        ids = lambda parts: F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda k: between(begin(F.get(parts, k)), begin(F.get(parts, k + 1))))
+        spelt = F.transform(F.array(folded), ids)[0]
+        return F.transform(F.array(self.rank(word)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(spelt))[0]
 
     def decode(self, ids: Column) -> Column:
         """The ids' pieces, concatenated, as Latin-1 letters."""
         return F.array_join(F.transform(ids, lambda i: F.get(self._tokens, i)), "")
 
 
-_BATCH = "doc_ids array<long>, first array<int>, codes array<int>, words array<string>"
+_BATCH = "doc_ids array<long>, first array<int>, codes array<int>, base int, words array<string>"
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each batch: its documents' words as places in its distinct words."""
+    """A row for each batch: its documents' words as places in the task's
+    dictionary, which has ``base`` words so far, and the words that are new."""
+    seen: dict[str, int] = {}
+    letters = 0
     for batch in batches:
+        if letters > _LETTERS or len(seen) > _WORDS:
+            seen, letters = {}, 0
+        base = len(seen)
         pieces = batch.column("pieces")
         first = pa.array(np.asarray(pieces.offsets, dtype=np.int32) - pieces.offsets[0].as_py())
         coded = pieces.flatten().dictionary_encode()
-        words = [w.encode().decode("latin-1") for w in coded.dictionary.to_pylist()]
-        row = [batch.column("doc_id"), first, coded.indices, pa.array(words, pa.string())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row], names=["doc_ids", "first", "codes", "words"]
-        )
+        own = coded.dictionary.to_pylist()
+        place = np.fromiter((seen.setdefault(w, len(seen)) for w in own), np.int32, len(own))
+        new = [own[k].encode().decode("latin-1") for k in np.flatnonzero(place >= base).tolist()]
+        letters += sum(map(len, new))
+        row = [batch.column("doc_id"), first, pa.array(place[np.asarray(coded.indices)]), pa.array(new, pa.string())]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row]
+        lists.insert(3, pa.array([base], pa.int32()))
+        yield pa.RecordBatch.from_arrays(lists, names=["doc_ids", "first", "codes", "base", "words"])
 
 
 def _placed(digest: bool):
-    """The documents of each batch row: ids of their words in place."""
+    """The documents of each batch row: ids of their words in place.  Runs behind
+    ``_distinct`` in the same task and keeps the same dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, at, pieces, tens = np.zeros(0, np.int32), np.zeros(1, np.int64), [], []
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_ids, first, codes, ids, text = (batch.column(c)[k].values for c in ("doc_ids", "first", "codes", "ids", "decoded"))
+                base = batch.column("base")[k].as_py()
+                if base == 0:
+                    flat, at, pieces, tens = flat[:0], at[:1], [], []
+                if base != len(pieces):
+                    raise RuntimeError(f"a dictionary of {len(pieces)} words where {base} are expected")
                 first, codes = np.asarray(first), np.asarray(codes)
-                at = np.asarray(ids.offsets) - ids.offsets[0].as_py()
-                flat, size = np.asarray(ids.flatten()), np.diff(at)
-                pieces = [x.encode("latin-1") for x in text.to_pylist()]
+                new, ends = np.asarray(ids.flatten()), np.asarray(ids.offsets, dtype=np.int64) - ids.offsets[0].as_py()
                 if digest:
-                    tens = [b",".join(map(b"%d".__mod__, flat[a:b].tolist())) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                    tens += [b",".join(map(b"%d".__mod__, new[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                flat, at = np.concatenate([flat, new]), np.concatenate([at, ends[1:] + len(flat)])
+                pieces += [x.encode("latin-1") for x in text.to_pylist()]
+                size = np.diff(at)
                 out = []
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     own = codes[a:b].tolist()
