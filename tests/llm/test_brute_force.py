@@ -186,3 +186,26 @@ def test_very_long_texts_are_whole(spark, word):
     assert got[1].removed_lines == [] and got[2].removed_lines == [0]
     out = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert out[1].n_words == len(word.split()) and out[1].word_chars == len(word.replace(" ", ""))
+
+
+def test_byte_bpe_dictionary_of_a_task(monkeypatch):
+    """Words of many batches are put back in place, also after the dictionary began anew."""
+    import pyarrow as pa
+
+    from parallex.llm import byte_bpe
+
+    texts = [[["a", " b", "é"], []], [["a", "a", " c"]], [["d", " b"], ["é", "d"]], [], [["a", " b", "é", "a"]]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.list_(pa.string()))], names=["doc_id", "pieces"]) for t in texts]
+    for words in (0, 3, 100):
+        monkeypatch.setattr(byte_bpe, "_WORDS", words)
+        bases, rows = [], []
+        for batch in byte_bpe._distinct(iter(batches)):
+            new = batch.column("words")[0].as_py()
+            bases.append(batch.column("base")[0].as_py())
+            batch = batch.append_column("ids", pa.array([[list(w.encode("latin-1")) for w in new]], pa.list_(pa.list_(pa.int32()))))
+            rows.append(batch.append_column("decoded", pa.array([new], pa.list_(pa.string()))))
+        out = [row for batch in byte_bpe._placed(False)(iter(rows)) for row in batch.to_pylist()]
+        assert [r["decoded"] for r in out] == ["".join(d).encode() for t in texts for d in t]
+        assert [r["ids"] for r in out] == [list("".join(d).encode()) for t in texts for d in t]
+        assert [r["n_tokens"] for r in out] == [len(r["ids"]) for r in out]
+        assert (words == 100) == (bases.count(0) == 1)
