@@ -164,17 +164,11 @@ def precheck_duplicates(spark, d):
     return lines.agg(F.sum("n").alias("extracted"), F.sum(F.col("n") - 1).alias("repeated"))
 
 
-@query("select 'L' || l_orderkey || '-' || l_linenumber as unit_id, '--opt' || l_suppkey as literals from lineitem where l_linenumber = 7")
-def protected_literals(spark, d):
-    rows = u.literal_units(spark, d).where("id like '%-7'").withColumn("m", literals.masked_literals("source"))
-    return rows.select(F.col("id").alias("unit_id"), F.array_join(literals.protected_literals(F.col("source"), F.col("m")), "|").alias("literals"))
-
-
 @query("""select 'L' || l_orderkey || '-' || l_linenumber as unit_id, case l_linenumber when 3 then l_linenumber || '.' || l_suppkey % 10 when 4 then '{p' || l_partkey || '}' when 5 then 'https://ex.example/d/' || l_partkey
   when 6 then case when length('r' || l_suppkey || '.csv') > length('/var/log/p' || l_partkey) then 'r' || l_suppkey || '.csv|/var/log/p' || l_partkey else '/var/log/p' || l_partkey || '|r' || l_suppkey || '.csv' end
   when 7 then '--opt' || l_suppkey else '' end as literals from lineitem""")
-def protected_literals_all(spark, d):
-    """The same over the units of all lines; plain numbers aren't protected."""
+def protected_literals(spark, d):
+    """Literals of the units of all lines; plain numbers aren't protected."""
     rows = u.literal_units(spark, d).withColumn("m", literals.masked_literals("source"))
     return rows.select(F.col("id").alias("unit_id"), F.array_join(literals.protected_literals(F.col("source"), F.col("m")), "|").alias("literals"))
 

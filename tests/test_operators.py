@@ -43,7 +43,7 @@ def test_literal_checks(spark, check, source, bad, good):
 
 def test_protected_literals_of_all_lines(spark):
     duckdb = pytest.importorskip("duckdb")
-    con, name, d = duckdb.connect(), "protected_literals_all", "/root/testdata/sf0.001"
+    con, name, d = duckdb.connect(), "protected_literals", "/root/testdata/sf0.001"
     con.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
     want = sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
     assert sorted(map(tuple, __spark_entry__.queries()[name](spark, d).collect())) == want
