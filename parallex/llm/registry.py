@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from parallex.llm import (
     byte_bpe,
+    chunk_bpe,
     embedding_dedup,
+    hard_negatives,
+    importance,
     jaccard_join,
     language_model,
     line_dedup,
@@ -28,8 +31,15 @@ def queries() -> dict:
         "op8_language_model": language_model.op8_language_model,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_chunk_bpe": chunk_bpe.op13_chunk_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.oracle()}
+    return {
+        "op3_quality_rules": quality_rules.oracle(),
+        "op11_importance_resampling": importance.oracle(),
+        "op12_hard_negatives": hard_negatives.oracle(),
+    }
