@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import re
-import zipfile
-from xml.sax.saxutils import escape
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallex.functions.types import BYTES, TEXT, fields
+from parallex.sources import markup
 
 # How many sides a status joins.
 CARDINALITY = {"ALIGNED": "1:1", "SPLIT": "1:n", "MERGED": "n:1", "AMBIGUOUS": "n:m", "UNALIGNED": "1:0"}
@@ -114,56 +107,19 @@ def patched_text(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def patched_package(data: bytes, edits: dict[str, dict[int, str]]) -> bytes:
-    """An office package with paragraph texts replaced: ``edits`` maps a part to
-    paragraph places and new texts.  Other bytes of the part, and other parts,
-    stay as they are: only text nodes of the paragraph are rewritten, the first
-    takes the text and the others are emptied."""
-    box = zipfile.ZipFile(io.BytesIO(data))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as new:
-        for info in box.infolist():
-            body = box.read(info)
-            if info.filename in edits:
-                body = _patched_part(body.decode("utf-8"), edits[info.filename]).encode("utf-8")
-            new.writestr(info, body)
-    return out.getvalue()
-
-
-_PARAGRAPH = re.compile(r"<(\w+:)?p(?:\s[^>]*)?(?<!/)>.*?</\1?p>|<(?:\w+:)?p(?:\s[^>]*)?/>", re.S)
-_TEXT = re.compile(r"(<(?:\w+:)?t(?:\s[^>]*)?(?<!/)>)(.*?)(</(?:\w+:)?t>)", re.S)
-
-
-def _patched_part(body: str, edits: dict[int, str]) -> str:
-    place = -1
-
-    def paragraph(m):
-        nonlocal place
-        place += 1
-        if place not in edits:
-            return m.group()
-        rest = iter([escape(edits[place])])
-        return _TEXT.sub(lambda t: t[1] + next(rest, "") + t[3], m.group())
-
-    return _PARAGRAPH.sub(paragraph, body)
-
-
-def patched_files(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """``path``, ``content``, ``sha256`` of packages with edits (``path``,
-    ``part``, ``place``, ``text``) applied."""
-    own = edits.groupBy("path").agg(F.collect_list(F.struct("part", "place", "text")).alias("edits"))
-
-    @F.pandas_udf(fields(content=BYTES, sha256=TEXT))
-    def patch(content: pd.Series, changes: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, own in zip(content, changes):
-            by: dict[str, dict[int, str]] = {}
-            for e in own:
-                by.setdefault(e["part"], {})[e["place"]] = e["text"]
-            new = patched_package(bytes(data), by)
-            rows.append((new, hashlib.sha256(new).hexdigest()))
-        return pd.DataFrame(rows, columns=["content", "sha256"])
-
-    return files.join(own, "path").select("path", patch("content", "edits").alias("p")).select("path", "p.content", "p.sha256")
+    """A document with paragraph texts replaced whole: ``edits`` maps a part to
+    paragraph places and new texts.  The paragraph's first text node takes the text,
+    its others are emptied, all other bytes stay.  :mod:`writeback` edits within
+    nodes and checks anchors."""
+    box, patches = markup.package(data), []
+    for part, own in edits.items():
+        raw = box.read(part)
+        paragraphs = markup.WordPart(raw).paragraphs
+        for place, text in own.items():
+            for k, node in enumerate(paragraphs[place]["nodes"]):
+                element = raw[node["begin"] : node["end"]]
+                patches.append((part, node["begin"], node["end"], markup.text_element(element, text if k == 0 else "")))
+    return markup.patched(data, patches)
 
 
 def round_trip_differences(before: DataFrame, after: DataFrame, edits: DataFrame) -> DataFrame:
