@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parallex.functions import text
+from parallex.operators import terms as term_search
 
 FIELDS = ("vendor", "product", "version", "domain")
 SCHEMA = (
@@ -79,13 +80,12 @@ def matched(units: DataFrame, glossary: DataFrame) -> DataFrame:
             "term_key": F.struct(F.col("entry.source.language").alias("language"), text.nfc_fold("entry.source.term").alias("term")),
         }
     )
-    units = units.withColumns({"s_nfc": text.nfc("source"), "s_fold": text.fold("source"), "s_nf": text.nfc_fold("source")})
-    nf, cs = F.col("entry.match.unicode_normalization") == "NFC", F.col("entry.match.case_sensitive")
-    hay = F.when(cs, F.when(nf, F.col("s_nfc")).otherwise(F.col("source"))).otherwise(F.when(nf, F.col("s_nf")).otherwise(F.col("s_fold")))
+    policy = F.col("entry.match.unicode_normalization"), F.col("entry.match.case_sensitive")
+    entries = entries.withColumn("form", term_search.form_of(*policy))
     spoken = F.col("source_language").isNull() | (F.col("source_language") == "") | (F.col("source_language") == F.col("entry.source.language"))
-    # The substring test prunes the pairs before boundaries are looked at.
-    pairs = units.join(F.broadcast(entries), spoken & in_scope(F.col("entry.scope"), F.col("context")) & F.contains(hay, F.col("needle")))
-    pairs = pairs.where(text.term_occurrences(hay, F.col("needle"), F.col("entry.match.mode")) >= 1)
+    pairs = term_search.occurring(units, entries).where(spoken & in_scope(F.col("entry.scope"), F.col("context")))
+    pairs = pairs.withColumn("hay", text.normal(F.col("source"), *policy))
+    pairs = pairs.where(text.term_occurrences(F.col("hay"), F.col("needle"), F.col("entry.match.mode")) >= 1)
     return pairs.select(F.col("id").alias("unit_id"), "entry", "term_key", "context", "source", "target", "source_language", "target_language")
 
 
@@ -137,7 +137,7 @@ def term_hints(units: DataFrame, terms: DataFrame, limit: int = 16) -> DataFrame
     ``limit`` terms in catalogue order that equal the source or, longer than a
     letter, occur in it.  ``terms``: ``term_ordinal``, ``term``, ``hint``."""
     own = units.where("source_language = 'zh-CN' and target_language = 'en'")
-    hit = (F.trim("source") == F.col("term")) | ((F.length("term") > 1) & F.contains("source", F.col("term")))
-    pairs = own.join(F.broadcast(terms), hit)
+    hit = (F.trim("source") == F.col("term")) | (F.length("term") > 1)
+    pairs = term_search.occurring(own, terms.withColumns({"needle": F.col("term"), "form": F.lit(0)})).where(hit)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("term_ordinal"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit).select("id", "term", "hint", "rank")

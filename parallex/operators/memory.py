@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from parallex.functions.text import sha256_canonical
 from parallex.functions.types import DOUBLE, INT, TEXT
 from parallex.functions.types import rows as array_of
+from parallex.operators import terms
 
 FIELDS = ("vendor", "product", "version", "domain", "text_role", "project_id")
 KEY = ["scope_key", "source_language", "target_language", "text_role", "source_hash"]
@@ -137,12 +138,15 @@ def rejections(units: DataFrame, records: DataFrame, limit: int = 20) -> DataFra
     """Rejected targets that apply to units: records (``scope`` TERM or SEGMENT,
     ``memory_key``, languages, ``source``, ``rejected_target``, ``seq``) of the
     same scope whose source is the unit's, or, for terms, occurs in it.  Equal
-    sources are an equi-join; only term records are compared by substring."""
+    sources are an equi-join; term records are found in the texts all at once."""
     same = ["scope_key", "source_language", "target_language"]
     keyed = canonical_scope(units).where("automatic").select("id", *same, "source")
     records = records.select(F.col("memory_key").alias("scope_key"), *same[1:], F.col("source").alias("r_source"), "rejected_target", "scope", "seq")
     equal = keyed.join(records.withColumnRenamed("r_source", "source"), [*same, "source"]).select("id", "rejected_target", "seq")
-    term = keyed.join(records.where("scope = 'TERM'"), same).where(F.contains("source", F.col("r_source")) & (F.col("source") != F.col("r_source")))
+    entries = records.where("scope = 'TERM'").select(*[F.col(c).alias("r_" + c) for c in same], F.col("r_source").alias("needle"), F.lit(0).alias("form"), "rejected_target", "seq")
+    term = terms.occurring(keyed, entries).where(F.col("source") != F.col("needle"))
+    for c in same:
+        term = term.where(F.col(c) == F.col("r_" + c))
     found = equal.unionByName(term.select("id", "rejected_target", "seq")).groupBy("id", "rejected_target").agg(F.min("seq").alias("seq"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("id", "rejected_target", "rank")

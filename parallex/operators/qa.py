@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from parallex.functions import literals, numbers, text
 from parallex.operators import multiset
+from parallex.operators import terms as term_search
 from parallex.operators.glossary import in_scope
 from parallex.shared import written
 
@@ -60,7 +61,8 @@ def _han_residue(units: DataFrame, glossary: DataFrame | None) -> DataFrame:
     if glossary is not None:
         terms = glossary.where("approval = 'PROJECT_APPROVED' and behavior = 'PROTECT'").where(F.col("source.term").rlike(literals.HAN))
         terms = terms.select(F.col("scope").alias("_scope"), F.col("source.term").alias("_term"))
-        hits = units.where(F.col("_allowed").isNotNull()).join(F.broadcast(terms), in_scope(F.col("_scope"), F.col("context")) & F.contains("source", F.col("_term")))
+        terms = terms.withColumns({"needle": F.col("_term"), "form": F.lit(0)})
+        hits = term_search.occurring(units.where(F.col("_allowed").isNotNull()).select("id", "source", "context"), terms).where(in_scope(F.col("_scope"), F.col("context")))
         hits = hits.groupBy("id").agg(F.collect_set("_term").alias("_terms"))
         units = units.join(hits, "id", "left").withColumn("_allowed", F.array_distinct(F.concat("_allowed", F.coalesce("_terms", F.array().cast("array<string>"))))).drop("_terms")
     longest = F.transform(F.array_sort(F.transform("_allowed", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
@@ -121,8 +123,9 @@ def glossary_issues(units: DataFrame, glossary: DataFrame) -> DataFrame:
         F.coalesce("match.unicode_normalization", F.lit("NFC")).alias("norm"),
     )
     entries = entries.withColumns({"needle": text.normal(F.col("term.term"), F.col("norm"), F.col("cs")), "exact_needle": text.normal(F.col("term.term"), F.col("norm"), F.lit(True))})
-    # Normal forms once for each unit, not for each pair of unit and entry.
-    units = units.withColumns({"s_nfc": text.nfc("source"), "s_fold": text.fold("source"), "s_nf": text.nfc_fold("source"), "t_nfc": text.nfc("target"), "t_fold": text.fold("target"), "t_nf": text.nfc_fold("target")})
+    entries = entries.withColumn("form", term_search.form_of(F.col("norm"), F.col("cs")))
+    pairs = term_search.occurring(units, entries)
+    pairs = pairs.withColumns({"s_nfc": text.nfc("source"), "s_fold": text.fold("source"), "s_nf": text.nfc_fold("source"), "t_nfc": text.nfc("target"), "t_fold": text.fold("target"), "t_nf": text.nfc_fold("target")})
 
     def side(prefix: str, raw: str, case: Column) -> Column:
         nf = F.col("norm") == "NFC"
@@ -130,11 +133,11 @@ def glossary_issues(units: DataFrame, glossary: DataFrame) -> DataFrame:
 
     spoken = (F.col("behavior") == "PROTECT") | F.col("term.language").isNull() | F.coalesce(F.col("source_language") == F.col("term.language"), F.lit(False))
     present = text.contains_term(side("s", "source", F.col("cs")), F.col("needle"), F.col("mode"))
-    pairs = units.join(F.broadcast(entries), spoken & in_scope(F.col("scope"), F.col("context")) & present)
+    pairs = pairs.where(spoken & in_scope(F.col("scope"), F.col("context")) & present)
     lost = ~text.contains_term(side("t", "target", F.lit(True)), F.col("exact_needle"), F.col("mode"))
     usable = F.filter("targets", lambda x: x["language"].isNull() | (x["language"] == "") | (x["language"] == F.col("target_language")))
     translate = pairs.where("behavior = 'TRANSLATE' and target_language is not null")
-    translate = translate.select("id", "ordinal", "location", "entry", "entry_id", "term", "mode", "cs", "norm", *[c for c in units.columns if c[:2] == "t_"], "target", F.posexplode_outer(usable).alias("k", "designation"))
+    translate = translate.select("id", "ordinal", "location", "entry", "entry_id", "term", "mode", "cs", "norm", "t_nfc", "t_fold", "t_nf", "target", F.posexplode_outer(usable).alias("k", "designation"))
     translate = translate.withColumn("word", text.normal(F.col("designation.term"), F.col("norm"), F.col("cs")))
     translate = translate.withColumn("here", text.contains_term(side("t", "target", F.col("cs")), F.col("word"), F.col("mode")))
     ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("k", "designation.term")))), lambda x: x["term"])
