@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parallex.functions.text import sha256_canonical
-from parallex.functions.types import DOUBLE, INT, TEXT
+from parallex.functions.types import INT, TEXT
 from parallex.functions.types import rows as array_of
+from parallex.operators import similarity as search
 from parallex.operators import terms
 
 FIELDS = ("vendor", "product", "version", "domain", "text_role", "project_id")
@@ -95,11 +96,6 @@ def similarity(a: str, b: str) -> float:
     return 100.0 * 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-@F.pandas_udf(DOUBLE)
-def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b)])
-
-
 @F.pandas_udf(array_of(operation=TEXT, source_start=INT, source_end=INT, query_start=INT, query_end=INT, before=TEXT, after=TEXT))
 def edits(a: pd.Series, b: pd.Series) -> pd.Series:
     """How ``a`` turns into ``b``, without the equal runs."""
@@ -114,20 +110,18 @@ def edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_candidates(units: DataFrame, memories: DataFrame, cutoff: float = CUTOFF, limit: int = LIMIT) -> DataFrame:
     """The best usable memories of the same scope and languages for each unit.
 
-    Equal texts have equal scores, so distinct texts are compared, and of memories
-    with one text only the first ``limit`` can be among the best.  Lengths bound
-    the score, so pairs that can't reach the cutoff are dropped in the join,
-    before any text is compared."""
+    Equal texts have equal scores, so distinct texts are searched, and of memories
+    with one text only the first ``limit`` can be among the best.  The search is
+    :mod:`similarity`'s, exact at every cutoff."""
     same = ["scope_key", "source_language", "target_language"]
     usable = memories.where("kind = 'PREFERRED'").join(memories.where("kind = 'REJECTED'"), [*same, "source", "target"], "left_anti")
     right = usable.select(*same, F.col("id").alias("memory_id"), F.col("source").alias("memory_source"), "target")
     place = F.row_number().over(Window.partitionBy(*same, "memory_source").orderBy("memory_id"))
     right = right.withColumn("place", place).where(F.col("place") <= limit).drop("place")
     left = canonical_scope(units).where("automatic").select("id", *same, F.col("source").alias("query"))
-    shorter, both = F.least(F.length("query"), F.length("memory_source")), F.length("query") + F.length("memory_source")
-    texts = left.select(*same, "query").distinct().join(right.select(*same, "memory_source").distinct(), same)
-    scored = texts.where(200.0 * shorter >= cutoff * both).withColumn("raw", similarity_udf("memory_source", "query")).where(F.col("raw") >= cutoff)
-    scored = scored.withColumn("score", F.bround("raw", 2)).join(right, [*same, "memory_source"])
+    stored = right.groupBy(*same, F.col("memory_source").alias("text")).agg(F.min("memory_id").alias("first_id"))
+    found = search.nearest(left.select(*same, F.col("query").alias("text")).distinct(), stored, same, cutoff, limit)
+    scored = found.withColumnRenamed("found", "memory_source").withColumnRenamed("text", "query").join(right, [*same, "memory_source"])
     rank = F.row_number().over(Window.partitionBy(*same, "query").orderBy(F.desc("score"), "memory_id"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= limit)
     best = best.withColumn("differences", edits("memory_source", "query"))

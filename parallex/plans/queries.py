@@ -310,7 +310,16 @@ def memory_exact(spark, d):
     return memory.exact_matches(units, _memories(spark, d))
 
 
-@query()
+@query("""with t as (select p_partkey as id, p_brand as scope, p_name || ' ' || p_type as text from part),
+    d as (select distinct scope, text from t), l as (select distinct text, length(text) as n from d),
+    letters as (select text, n, unnest(string_split(text, '')) as c, unnest(range(0, n)) as i from l),
+    masks as (select text, map_from_entries(list((c, m))) as bits from (select text, c, sum(1::bigint << i::integer)::bigint as m from letters group by text, c) group by text),
+    pairs as (select q.scope, q.text as query, m.text as found from d q join d m using (scope)),
+    lcs as (select scope, query, found, length(query) + length(found) as letters, length(found) - bit_count(list_reduce(list_prepend((1::bigint << length(found)) - 1, list_transform(string_split(query, ''), lambda c: coalesce(bits[c], 0::bigint))),
+      lambda r, u: ((r + (r & u)) | (r - (r & u))) & ((1::bigint << length(found)) - 1))) as n from pairs join masks on masks.text = found),
+    scored as (select scope, query, found, round_even(200.0 * n / letters, 2) as score from lcs where 200.0 * n >= 70 * letters),
+    ranked as (select q.id, m.id as memory_id, score, row_number() over (partition by q.id order by score desc, m.id) as rank from t q join scored s on q.scope = s.scope and q.text = s.query join t m on m.scope = s.scope and m.text = s.found)
+  select id, rank::integer as rank, memory_id, score::double as score from ranked where rank <= 5""")
 def memory_similar(spark, d):
     units = u.table(spark, d, "part").selectExpr("p_partkey as id", "concat(p_name, ' ', p_type) as source", "'en' as source_language", "'fr' as target_language", "named_struct('vendor', p_brand, 'product', cast(null as string), 'version', cast(null as string), 'domain', cast(null as string), 'text_role', cast(null as string), 'project_id', 'p') as context")
     rows = memory.canonical_scope(units)
