@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from parallex.functions.text import sha256_canonical
 from parallex.functions.types import TEXT
+from parallex.operators import terms
 
 STATUSES = ("UNREVIEWED", "ACCEPT_SUGGESTION", "KEEP_CURRENT", "USER_EDITED", "WAIVED", "NEEDS_DISCUSSION", "BLOCKED")
 COMPLETED = ("ACCEPT_SUGGESTION", "KEEP_CURRENT", "USER_EDITED", "WAIVED")
@@ -44,13 +45,13 @@ def finding_issues(findings: DataFrame) -> DataFrame:
 
 def map_findings(findings: DataFrame, units: DataFrame) -> DataFrame:
     """``finding_id`` to ``unit_id``: the only unit at its location, else the only
-    one whose current text or source holds its original.  The second, a scan of
+    one whose current text or source holds its original.  The second, a search in
     texts, is left to findings that the equi-join couldn't place."""
     at = units.select("location", F.col("id").alias("unit_id"))
     exact = findings.join(at, "location").groupBy("finding_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    rest = findings.join(exact, "finding_id", "left_anti").where("coalesce(original, '') <> ''").select("finding_id", "original")
-    holds = F.contains("current_target", F.col("original")) | F.contains("source", F.col("original"))
-    found = units.select(F.col("id").alias("unit_id"), "source", "current_target").join(rest, F.coalesce(holds, F.lit(False)))
+    rest = findings.join(exact, "finding_id", "left_anti").select("finding_id", F.col("original").alias("needle"), F.lit(0).alias("form"))
+    texts = [units.select(F.col("id").alias("unit_id"), F.col(c).alias("held")) for c in ("current_target", "source")]
+    found = terms.occurring(texts[0].unionByName(texts[1]), rest, "held").select("finding_id", "unit_id").distinct()
     found = found.groupBy("finding_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
     return exact.unionByName(found)
 

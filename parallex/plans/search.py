@@ -1,12 +1,13 @@
-"""Searches over the text tables."""
+"""Searches over the text tables, and rechecks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parallex.operators import terms
+from parallex.operators import recheck, terms
 from parallex.plans import units as u
-from parallex.plans.queries import query
+from parallex.plans.queries import _QA_ORDERS, _order_sql, query
+from parallex.shared import written
 
 
 @query(r"""with w as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) as word from benchmark)
@@ -16,3 +17,23 @@ def document_terms(spark, d):
     words = u.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("needle")).distinct()
     found = terms.occurring(u.table(spark, d, "documents").select("doc_id", "text"), words.withColumn("form", F.lit(0)), "text")
     return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
+
+
+_ORDERS = " union all ".join(_order_sql(c) for c in _QA_ORDERS)
+
+
+@query(f"""with i as (select unit_id, count(*) as e from ({_ORDERS}) group by unit_id),
+    o as (select 'O' || o_orderkey as unit_id, o_orderkey % 5 = 2 as copied, o_orderkey % 8 = 0 as waiting, o_orderkey % 3 <> 2 as same from orders)
+  select unit_id, case when waiting then 'NOT_RUN' when copied and not same or not copied and e > 0 then 'FAIL' else 'PASS' end as recheck_status,
+    (case when waiting then 0 when copied then if(same, 0, 2) else coalesce(e, 0) end)::integer as error_count, 0 as warning_count from o left join i using (unit_id)""")
+def recheck_all(spark, d):
+    """All units are checked, then each fifth order's decision becomes its source:
+    the second recheck checks those alone."""
+    units = u.order_units(spark, d).withColumn("key", F.substr("id", F.lit(2)).cast("long"))
+    status = F.when(F.col("key") % 8 == 0, "UNREVIEWED").otherwise("USER_EDITED")
+    decisions = units.select(F.col("id").alias("unit_id"), status.alias("status"), F.col("target").alias("approved_target"), "key", "source")
+    units = units.drop("key", "target")
+    receipts = written(recheck.recheck(units, decisions), "receipts")
+    changed = decisions.withColumn("approved_target", F.when(F.col("key") % 5 == 2, F.col("source")).otherwise(F.col("approved_target")))
+    out = recheck.with_recheck(changed, recheck.recheck(units, changed, receipts=receipts))
+    return out.select("unit_id", "recheck_status", "error_count", "warning_count")
