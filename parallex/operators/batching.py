@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from parallex.functions import literals
 from parallex.functions.text import collapsed
+from parallex.operators import greedy
 
 MAX_UNITS, MAX_SOURCE, MAX_SEMANTIC = 20, 12_000, 16_000
 DECISIONS = ("REPLACE", "KEEP", "PROTECT", "REVIEW")
@@ -22,28 +23,12 @@ def batches(units: DataFrame, size: Column | None = None, max_units: int = MAX_U
     """Adds ``batch`` (from 1): greedy in order, by document; ``batch`` is null
     and ``error`` set for a unit that no batch can hold.
 
-    Where a batch ends depends on where it began, so this is a fold over a
-    document's sizes: an ``aggregate`` over integers, in the JVM."""
+    Ordinals are unique within a document.  The batches are made over ranges of
+    rows (:mod:`greedy`), so a document of any length is many tasks."""
     size = F.length("source") if size is None else size
-    rows = units.withColumn("_size", size)
-    fits = F.col("_size") <= max_chars
-    ordered = F.array_sort(F.collect_list(F.when(fits, F.struct("ordinal", "_size"))))
-    start = F.struct(F.lit(1).alias("b"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] >= max_units) | ((acc["n"] > 0) & (acc["c"] + x["_size"] > max_chars))
-        b = acc["b"] + F.when(full, 1).otherwise(0)
-        return F.struct(
-            b.alias("b"),
-            F.when(full, 1).otherwise(acc["n"] + 1).alias("n"),
-            F.when(full, x["_size"]).otherwise(acc["c"] + x["_size"]).alias("c"),
-            F.concat(acc["out"], F.array(b)).alias("out"),
-        )
-
-    plan = rows.groupBy("doc_id").agg(ordered.alias("o"))
-    plan = plan.select("doc_id", F.inline(F.arrays_zip(F.transform("o", lambda x: x["ordinal"]).alias("ordinal"), F.aggregate("o", start, step)["out"].alias("batch"))))
-    out = rows.join(plan, ["doc_id", "ordinal"], "left")
-    return out.withColumn("error", F.when(F.col("batch").isNull(), "TOO_LARGE")).drop("_size")
+    fits = units.select("doc_id", "ordinal", size.alias("_size")).where((F.col("_size") <= max_chars) & F.col("doc_id").isNotNull())
+    out = units.join(greedy.numbered(fits, max_units, max_chars), ["doc_id", "ordinal"], "left")
+    return out.withColumn("error", F.when(F.col("batch").isNull(), "TOO_LARGE"))
 
 
 def requests(units: DataFrame) -> DataFrame:
