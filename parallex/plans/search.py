@@ -1,13 +1,16 @@
-"""Searches over the text tables, and rechecks."""
+"""Searches over the text tables, rechecks, and files that are written and read."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parallex.operators import recheck, terms
 from parallex.plans import units as u
 from parallex.plans.queries import _QA_ORDERS, _order_sql, query
-from parallex.shared import written
+from parallex.shared import shared_dir, written
+from parallex.sources import records
 
 
 @query(r"""with w as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) as word from benchmark)
@@ -37,3 +40,16 @@ def recheck_all(spark, d):
     changed = decisions.withColumn("approved_target", F.when(F.col("key") % 5 == 2, F.col("source")).otherwise(F.col("approved_target")))
     out = recheck.with_recheck(changed, recheck.recheck(units, changed, receipts=receipts))
     return out.select("unit_id", "recheck_status", "error_count", "warning_count")
+
+
+@query("""select event_id, line, case when event_id % 7 = 0 then 'INVALID_JSON' else 'NOT_AN_OBJECT' end as error from (
+  select *, row_number() over (partition by event_id % 16 order by event_id) as line from events) where event_id % 13 <> 0 and (event_id % 7 = 0 or event_id % 11 = 0)""")
+def json_line_numbers(spark, d):
+    """Events as JSON lines, a file for each sixteenth of the ids; broken ones are
+    found again by file and line."""
+    value = "case when event_id % 13 = 0 then ' ' when event_id % 7 = 0 then concat('{\"a\": ', event_id) when event_id % 11 = 0 then concat('[', event_id, ']') else to_json(named_struct('a', event_id)) end"
+    rows = u.table(spark, d, "events").selectExpr("event_id", "event_id % 16 as part", f"{value} as value")
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    lines = records.numbered_lines(spark, path)
+    return lines.join(records.json_line_errors(lines), ["path", "line"]).select(F.regexp_extract("value", r"\d+", 0).cast("long").alias("event_id"), "line", "error")

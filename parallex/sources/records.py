@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parallex.functions.text import html_escape, neutral_cell
 
@@ -16,6 +17,38 @@ GLOSSARY_COLUMNS = (
 ).split()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``line`` (from 1) and ``value`` of text files, split files too: lines
+    are numbered within each split and shifted by the lines of the splits before it,
+    which a first scan counts."""
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    splits = text.groupBy("path", "_from").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    rows = text.join(splits, ["path", "_from"])
+    return rows.select("path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+def json_line_errors(lines: DataFrame) -> DataFrame:
+    """``path``, ``line``, ``error`` of lines that aren't JSON objects; blank lines are
+    skipped."""
+    value = F.try_parse_json("value")
+    kind = F.when(value.isNull(), "INVALID_JSON").when(~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), "NOT_AN_OBJECT")
+    rows = lines.where(F.col("value").rlike(r"(?U)\S")).withColumn("error", kind)
+    return rows.where("error is not null").select("path", "line", "error")
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Objects of JSON lines by ``schema`` with ``path`` and ``line``, and the lines that
+    aren't objects (``path``, ``line``, ``error``), instead of a failed read."""
+    lines = numbered_lines(spark, path)
+    errors = json_line_errors(lines)
+    rows = lines.where(F.col("value").rlike(r"(?U)\S") & F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT")))
+    return rows.select("path", "line", F.from_json("value", schema).alias("v")).select("path", "line", "v.*"), errors
+
+
 def read_units(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Units of JSON lines, or of a JSON array or object; anything else fails."""
     reader = spark.read.schema(UNITS).option("mode", "FAILFAST").option("multiLine", not lines)
