@@ -1,12 +1,14 @@
-"""Searches over the text tables, rechecks, and files that are written and read."""
+"""Searches over the text tables, rechecks, work queues, and files that are written
+and read."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
-from parallex.operators import recheck, terms
+from parallex.operators import batching, recheck, terms, workqueue
 from parallex.plans import units as u
 from parallex.plans.queries import _QA_ORDERS, _order_sql, query
 from parallex.shared import shared_dir, written
@@ -53,3 +55,27 @@ def json_line_numbers(spark, d):
     rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
     lines = records.numbered_lines(spark, path)
     return lines.join(records.json_line_errors(lines), ["path", "line"]).select(F.regexp_extract("value", r"\d+", 0).cast("long").alias("event_id"), "line", "error")
+
+
+class _Scripted(workqueue.Service):
+    """Answers by the key at a source's end: breaks off long batches, loses options."""
+
+    def generate(self, request):
+        body = json.loads(request)
+        units, again = body["units"], "retry_constraint" in body
+        keys = [int(x["source"].rsplit("--opt", 1)[1]) for x in units]
+        if len(units) > 4 and any(k % 50 == 1 for k in keys):
+            raise batching.Interrupted
+        lost = [k % 91 == 0 or k % 7 == 0 and not again for k in keys]
+        texts = ["Ouvrir " + x["source"].replace("--opt", "opt" if gone else "--opt") for x, gone in zip(units, lost)]
+        return json.dumps({"units": [{"id": x["id"], "suggested_target": t, "proposal_decision": "REPLACE", "reason": "r"} for x, t in zip(units, texts)]})
+
+
+@query("""select 'P' || p_partkey as unit_id, case when p_partkey % 10 = 0 then 'm' || p_partkey else 'Ouvrir ' || p_name || case when p_partkey % 91 = 0 then ' opt' else ' --opt' end || p_partkey end as suggested_target,
+  case when p_partkey % 10 = 0 or p_partkey % 91 = 0 then 'REVIEW' else 'REPLACE' end as proposal_decision, case when p_partkey % 10 = 0 then 'MEMORY' else 'SERVICE' end as origin from part""")
+def translation_queue(spark, d):
+    """Parts as units of a document a brand, asked for by a scripted service."""
+    units = u.table(spark, d, "part").selectExpr("p_brand as doc_id", "concat('P', p_partkey) as id", "p_partkey as ordinal", "concat(p_name, ' --opt', p_partkey) as source")
+    memory = units.where("ordinal % 10 = 0").selectExpr("id", "concat('m', ordinal) as target")
+    folder = f"{shared_dir(spark)}/receipts-{uuid.uuid4().hex}"
+    return workqueue.translated(units, memory, _Scripted(), folder).drop("error")
