@@ -90,8 +90,12 @@ class Tree:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit vectors.  Each is scaled by its largest component first, for the squares
+    of very small or large ones are zero or infinite."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if x.size:
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

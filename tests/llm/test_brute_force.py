@@ -209,3 +209,22 @@ def test_byte_bpe_dictionary_of_a_task(monkeypatch):
         assert [r["ids"] for r in out] == [list("".join(d).encode()) for t in texts for d in t]
         assert [r["n_tokens"] for r in out] == [len(r["ids"]) for r in out]
         assert (words == 100) == (bases.count(0) == 1)
+
+
+def test_embedding_lengths(spark):
+    """Cosines of vectors whose squares leave the doubles, and of more vectors of one
+    label than a block holds."""
+    rows = [(1, [1.0, 0.1], 1), (2, [0.1, 1.0], 1), (3, [1e-200, 1e-200], 1), (4, [1e200, 1e200], 1), (5, [1e200, 0.999e200], 1), (6, [5e-324, 5e-324], 1), (7, [1.7e308, -1.7e308], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(table).collect()}
+    assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (3, 3, True), 4: (3, 3, False), 5: (3, 3, False), 6: (3, 3, False), 7: (0, 7, True)}
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(900, 24))
+    x = centers[rng.integers(0, 900, 5000)] + rng.normal(scale=0.06, size=(5000, 24))
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.dedup(table).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    links, found = near.sum(axis=1), np.array([got[k].n_links for k in range(5000)])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum() > 5000
