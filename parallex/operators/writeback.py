@@ -1,9 +1,9 @@
 """Writing reviewed texts back into office packages.
 
-A package is read once into rows (paragraphs with their text nodes, cells, sheets,
-references); anchors, checks and refusals are joins over those rows; what remains is
-a byte range and its new bytes, and each file's ranges are applied in one task.
-Files are bounded (``segments.MAX_FILE``), rows of one file never leave its path.
+Packages are read into rows (paragraphs, cells, sheets, references); anchors, decisions
+and refusals are joins over those rows; a file's edits then meet in one task, which
+turns them into byte ranges and applies these.  Files are bounded
+(``segments.MAX_FILE``), and so are the edits of one.
 
 A file with any refused edit isn't written.  Null and empty texts are texts without
 letters; files that can't be read are refused whole.
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
+import zipfile
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -28,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from parallex.functions.types import BYTES, TEXT, TEXTS, fields
+from parallex.functions.types import BYTES, TEXT, fields
 from parallex.operators import align
 from parallex.shared import written
 from parallex.sources import markup
@@ -90,80 +92,73 @@ def changes(units: DataFrame, decisions: DataFrame, anchors: DataFrame) -> tuple
 
 
 #: Letters of two texts, multiplied, up to which they are compared letter by letter.
-_LETTERWISE = 1 << 18
+_LETTERWISE = 1 << 14
 
 
 def text_edits(old: str, new: str) -> list[tuple[int, int, str]]:
     """``from``, ``to`` and replacement that turn ``old`` into ``new``, in order.
     The search takes time with the product of the lengths, so long texts are
-    compared by words, and only what differs then by letters."""
+    compared by words between their equal ends, and only what differs by letters."""
     if len(old) * len(new) <= _LETTERWISE:
         codes = SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
         return [(i, j, new[k:m]) for tag, i, j, k, m in codes if tag != "equal"]
-    a, b = (re.findall(r"\s+|[^\s]+", x) for x in (old, new))
-    at, to = ([0, *itertools.accumulate(map(len, x))] for x in (a, b))
+    same = len(os.path.commonprefix([old, new]))
+    after = len(os.path.commonprefix([old[same:][::-1], new[same:][::-1]]))
+    a, b = (re.findall(r"\s+|[^\s]+", x[same : len(x) - after]) for x in (old, new))
+    at, to = ([same, *itertools.accumulate(map(len, x), initial=same)][1:] for x in (a, b))
     out = []
     for tag, i, j, k, m in SequenceMatcher(None, a, b).get_opcodes():
-        before, after = old[at[i] : at[j]], new[to[k] : to[m]]
-        if tag != "equal" and 0 < len(before) * len(after) <= _LETTERWISE:
-            out += [(at[i] + x, at[i] + y, t) for x, y, t in text_edits(before, after)]
+        left, right = old[at[i] : at[j]], new[to[k] : to[m]]
+        if tag != "equal" and 0 < len(left) * len(right) <= _LETTERWISE:
+            out += [(at[i] + x, at[i] + y, t) for x, y, t in text_edits(left, right)]
         elif tag != "equal":
-            out.append((at[i], at[j], after))
+            out.append((at[i], at[j], right))
     return out
 
 
-@F.pandas_udf(TEXTS)
-def _new_texts(texts: pd.Series, final: pd.Series) -> pd.Series:
-    """The nodes' texts after the edits that turn their text into ``final``."""
-    return pd.Series([markup.dealt_edits(list(t), text_edits("".join(t), n)) for t, n in zip(texts, final)])
-
-
-def _by_place(edits: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Each edit's paragraph now: by its lasting id, if the anchor has one, else by
-    its place; ``n`` paragraphs have the id."""
-    own = paragraphs.select("path", "part", F.col("place").alias("now_place"), F.col("para_id").alias("now_id"), F.col("text").alias("now"), F.col("sha256").alias("now_sha256"), "nodes", F.col("blockers").alias("now_blockers"))
-    named = own.where("now_id is not null").withColumn("n", F.count("*").over(Window.partitionBy("path", "part", "now_id")))
-    named = named.where("n = 1").unionByName(named.where("n > 1").dropDuplicates(["path", "part", "now_id"]))
-    by_id = edits.where("para_id is not null").join(named.withColumn("para_id", F.col("now_id")), ["path", "part", "para_id"], "left")
-    by_place = edits.where("para_id is null").join(own.withColumn("place", F.col("now_place")), ["path", "part", "place"], "left")
-    return by_id.unionByName(by_place.withColumn("n", F.lit(1).cast("long")))
-
-
-def word_patches(paragraphs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Byte ranges (``path``, ``part``, ``begin``, ``end``, ``text``) of the text nodes
-    that the edits change, and the refused edits (``path``, ``id``, ``refusal``).
-    Edits: ``path``, ``id``, ``part``, ``place``, ``para_id``, ``sha256``, ``current``,
-    ``final``."""
-    rows = _by_place(edits, paragraphs).withColumn("same", F.count("*").over(Window.partitionBy("path", "part", F.coalesce("now_place", F.lit(-1)))))
-    refusal = (
-        F.when(F.col("n") > 1, "REPEATED_PARAGRAPH_ID")
-        .when(F.col("now").isNull(), "NO_SUCH_PARAGRAPH")
-        .when(F.col("same") > 1, "PARAGRAPH_EDITED_TWICE")
-        .when(F.size("now_blockers") > 0, "BLOCKED_STRUCTURE")
-        .when(F.col("final").rlike(r"[\r\n\t]"), "LINE_BREAK_OR_TAB")
-        .when(F.col("final").rlike(r"[\x00-\x1f]"), "CONTROL_CHARACTER")
-        .when((F.col("now") != F.col("current")) | ~F.col("sha256").eqNullSafe(F.col("now_sha256")), "TEXT_CHANGED")
-        .when(F.size("nodes") == 0, "NO_TEXT_NODE")
-    )
-    rows = rows.withColumn("refusal", refusal)
-    good = rows.where("refusal is null").withColumn("new", _new_texts(F.transform("nodes", lambda x: x["text"]), F.col("final")))
-    nodes = good.select("path", "part", F.explode(F.arrays_zip("nodes", "new")).alias("z")).where("z.nodes.text <> z.new")
-    patches = nodes.select("path", "part", "z.nodes.begin", "z.nodes.end", F.col("z.new").alias("text"))
-    return patches, rows.where("refusal is not null").select("path", "id", "refusal")
+def word_patches(box: zipfile.ZipFile, edits: list) -> list[tuple[str, int, int, bytes]]:
+    """Byte ranges of the text nodes that a document's edits change.  Each edit's
+    paragraph is found by its lasting id, if it has one, else by its place."""
+    out, seen = [], set()
+    names = set(box.namelist())
+    for part in sorted({e["part"] for e in edits}):
+        if part not in names:
+            raise markup.Refused("NO_SUCH_PARAGRAPH")
+        raw = box.read(part)
+        paragraphs = markup.WordPart(raw).paragraphs
+        by_id: dict[str, list[dict]] = {}
+        for p in paragraphs:
+            by_id.setdefault(p["para_id"], []).append(p)
+        for e in (x for x in edits if x["part"] == part):
+            at = by_id.get(e["para_id"], []) if e["para_id"] is not None else paragraphs[e["place"] : e["place"] + 1]
+            if len(at) != 1:
+                raise markup.Refused("REPEATED_PARAGRAPH_ID" if at else "NO_SUCH_PARAGRAPH")
+            now, final = at[0], e["final"]
+            if (part, now["place"]) in seen:
+                raise markup.Refused("PARAGRAPH_EDITED_TWICE")
+            seen.add((part, now["place"]))
+            if now["blockers"]:
+                raise markup.Refused("BLOCKED_STRUCTURE")
+            if re.search(r"[\r\n\t]", final):
+                raise markup.Refused("LINE_BREAK_OR_TAB")
+            if now["text"] != e["current"] or e["sha256"] != hashlib.sha256(now["text"].encode()).hexdigest():
+                raise markup.Refused("TEXT_CHANGED")
+            if not now["nodes"]:
+                raise markup.Refused("NO_TEXT_NODE")
+            texts = [n["text"] for n in now["nodes"]]
+            for node, new in zip(now["nodes"], markup.dealt_edits(texts, text_edits(now["text"], final))):
+                if new != node["text"]:
+                    out.append((part, node["begin"], node["end"], markup.text_element(raw[node["begin"] : node["end"]], new)))
+    return out
 
 
-def _patched(kind: str) -> Callable:
+def _patched(patches: Callable) -> Callable:
     @F.pandas_udf(fields(content=BYTES, sha256=TEXT, refusal=TEXT))
-    def run(content: pd.Series, patches: pd.Series) -> pd.DataFrame:
+    def run(content: pd.Series, own: pd.Series) -> pd.DataFrame:
         out = []
-        for data, own in zip(content, patches):
+        for data, items in zip(content, own):
             try:
-                box, made = markup.package(bytes(data)), []
-                parts = {part: box.read(part) for part in {p["part"] for p in own}}
-                for p in own:
-                    element = parts[p["part"]][p["begin"] : p["end"]]
-                    made.append((p["part"], p["begin"], p["end"], markup.text_element(element, p["text"]) if kind == "word" else bytes(p["bytes"])))
-                new = markup.patched(bytes(data), made)
+                new = markup.patched(bytes(data or b""), patches(markup.package(bytes(data or b"")), items))
                 out.append((new, hashlib.sha256(new).hexdigest(), None))
             except markup.Refused as e:
                 out.append((None, None, str(e)))
@@ -172,25 +167,25 @@ def _patched(kind: str) -> Callable:
     return run
 
 
-def _applied(files: DataFrame, patches: DataFrame, refused: DataFrame, kind: str) -> DataFrame:
-    """``path``, ``content``, ``sha256`` of files with patches, and ``refusal``, the
-    first code, of those that aren't written."""
-    own = patches.groupBy("path").agg(F.collect_list(F.struct(*[c for c in patches.columns if c != "path"])).alias("patches"))
+def _applied(files: DataFrame, items: DataFrame, refused: DataFrame, patches: Callable) -> DataFrame:
+    """``path``, ``content``, ``sha256`` of files with edits, and ``refusal``, the
+    first code, of those that aren't written.  A file's edits meet in its task."""
+    own = items.groupBy("path").agg(F.collect_list(F.struct(*[c for c in items.columns if c != "path"])).alias("own"))
     bad = refused.groupBy("path").agg(F.min("refusal").alias("refusal"))
-    rows = files.select("path", "content").join(own, "path", "left").join(bad, "path", "left")
-    new = F.when(F.col("refusal").isNull() & F.col("patches").isNotNull(), _patched(kind)("content", F.coalesce("patches", F.array().cast(own.schema["patches"].dataType))))
-    rows = rows.where("patches is not null or refusal is not null").withColumn("new", new)
-    return rows.select("path", "new.content", "new.sha256", F.coalesce("refusal", "new.refusal").alias("refusal"))
+    rows = files.select("path", "content").join(own, "path", "left").join(bad, "path", "left").where("own is not null or refusal is not null")
+    good = rows.where("refusal is null").withColumn("new", _patched(patches)("content", "own"))
+    none = F.lit(None)
+    out = rows.where("refusal is not null").select("path", none.cast("binary").alias("content"), none.cast("string").alias("sha256"), "refusal")
+    return good.select("path", "new.content", "new.sha256", "new.refusal").unionByName(out)
 
 
 def patched_documents(files: DataFrame, edits: DataFrame, refused: DataFrame | None = None) -> DataFrame:
-    """Documents with ``edits`` (see ``word_patches``) applied to their text nodes:
-    ``path``, ``content``, ``sha256``, ``refusal``.  ``refused``: refusals so far."""
-    paragraphs = word_paragraphs(files)
-    patches, bad = word_patches(paragraphs.where("refusal is null"), edits)
-    unread = paragraphs.where("refusal is not null").join(edits.select("path").distinct(), "path", "left_semi").select("path", "refusal")
-    bad = bad.select("path", "refusal").unionByName(unread)
-    return _applied(files, patches, bad if refused is None else bad.unionByName(refused.select("path", "refusal")), "word")
+    """Documents with ``edits`` applied to their text nodes: ``path``, ``content``,
+    ``sha256``, ``refusal``.  Edits: ``path``, ``id``, ``part``, ``place``, ``para_id``,
+    ``sha256``, ``current``, ``final``; ``refused``: refusals so far."""
+    items = edits.select("path", "part", "place", "para_id", "sha256", "current", "final")
+    none = edits.limit(0).select("path", F.lit("").alias("refusal"))
+    return _applied(files, items, none if refused is None else refused.select("path", "refusal"), word_patches)
 
 
 def _members(files: DataFrame) -> DataFrame:
@@ -324,7 +319,8 @@ def patched_workbooks(files: DataFrame, edits: DataFrame, refused: DataFrame | N
     patches, bad = workbook_patches(cells.where("refusal is null"), references.where("refusal is null"), edits)
     for rows in (cells, references):
         bad = bad.select("path", "refusal").unionByName(rows.where("refusal is not null").select("path", "refusal"))
-    return _applied(files, patches, bad if refused is None else bad.unionByName(refused.select("path", "refusal")), "workbook")
+    bad = bad if refused is None else bad.unionByName(refused.select("path", "refusal"))
+    return _applied(files, patches, bad, lambda _, own: [(p["part"], p["begin"], p["end"], bytes(p["bytes"])) for p in own])
 
 
 def workbook_differences(before: DataFrame, after: DataFrame, edits: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def reviewed_documents(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     files, lines = _documents(spark, d)
     files = written(files, "packages")
     units = lines.where("line <> ''").select("doc_id", "path", F.concat(F.lit("U"), "place").alias("id"), F.concat(F.lit("docx:word/document.xml:p="), "place").alias("location"), F.col("line").alias("current_target"), "place", "line")
-    final = F.expr(f"if({_EDITED_SQL}, concat(replace(line, 'e', ' EE'), '!'), line)")
+    final = F.expr(f"if({_EDITED_SQL}, concat(regexp_replace(line, '^([^ ]*) ', '$1 new '), '!'), line)")
     decisions = units.select("path", "id", F.lit("USER_EDITED").alias("status"), final.alias("approved_target"))
     anchors = writeback.word_anchors(units, writeback.word_paragraphs(files))
     return files, *writeback.changes(units, decisions, anchors)
@@ -86,7 +86,7 @@ def reviewed_documents(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query(f"""with l as ({_LINES_SQL}), e as (select *, {_EDITED_SQL} as edited, {_BLOCKED_SQL} as blocked from l),
     bad as (select distinct doc_id from e where edited and blocked), good as (select distinct doc_id from e where edited and doc_id not in (select doc_id from bad))
-  select doc_id, place, case when edited then replace(line, 'e', ' EE') || '!' else line end as text, '' as refusal from e join good using (doc_id)
+  select doc_id, place, case when edited then regexp_replace(line, '^([^ ]*) ', '\\1 new ') || '!' else line end as text, '' as refusal from e join good using (doc_id)
   union all select doc_id, -1, '', 'ANCHOR_BLOCKED' from bad""")
 def docx_write_back(spark, d):
     files, edits, refused = reviewed_documents(spark, d)

@@ -50,6 +50,8 @@ class Scan:
     their elements in another."""
 
     home: str | None = None
+    #: Elements whose places are asked for (None: all); others have zeros.
+    placed: set[str] | None = None
 
     def __init__(self, raw: bytes):
         if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or b"\x00" in raw:
@@ -72,20 +74,21 @@ class Scan:
 
     def _open(self, name: str, attributes: dict) -> None:
         begin = self._parser.CurrentByteIndex
-        inner = _TAG.match(self.raw, begin).end()
         if not self.stack and self.home:
             self._own = name.rpartition("|")[0] + "|"
         if self.home and self._own != self.home + "|":
             name, *keys = (self.home + "|" + x[len(self._own) :] if x.startswith(self._own) else x for x in (name, *attributes))
             attributes = dict(zip(keys, attributes.values()))
         # [name, attributes, begin, where the content begins, where it ends, end]
-        item = [name, attributes, begin, inner, inner, inner]
+        item = [name, attributes, begin, 0, 0, 0]
+        if self.placed is None or name in self.placed:
+            item[3] = item[4] = item[5] = _TAG.match(self.raw, begin).end()
         self.begin(item)
         self.stack.append(item)
 
     def _close(self, name: str) -> None:
         item = self.stack.pop()
-        if not self.raw[item[2] : item[3]].endswith(b"/>"):
+        if item[3] and self.raw[item[3] - 2 : item[3]] != b"/>":
             item[4] = self._parser.CurrentByteIndex
             item[5] = self.raw.index(b">", item[4]) + 1
         self.end(item)
@@ -114,6 +117,7 @@ class WordPart(Scan):
     may have begun paragraphs ago), a revision, a content control, a text box."""
 
     home = WORD
+    placed = {f"{WORD}|t"}
 
     def __init__(self, raw: bytes):
         self.paragraphs: list[dict] = []
@@ -266,7 +270,7 @@ def shared_strings(box: zipfile.ZipFile) -> list[str]:
     out: list[str] = []
 
     class Strings(Scan):
-        home = SHEET
+        home, placed = SHEET, set()
 
         def begin(self, item):
             if item[0] == f"{SHEET}|si":
@@ -422,7 +426,7 @@ def skeleton(raw: bytes, part: str) -> bytes:
     spans: list[tuple[int, int]] = []
 
     class Nodes(Scan):
-        home = WORD
+        home, placed = WORD, {f"{WORD}|t"}
 
         def end(self, item):
             if item[0] == f"{WORD}|t":
