@@ -1,10 +1,10 @@
-"""Audit reports made of orders and their lines, with faults at known keys."""
+"""Audit reports made of orders and their lines, with faults at known keys; files."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parallex.operators import reports
+from parallex.operators import reports, routing
 from parallex.plans import units as u
 from parallex.plans.queries import query
 
@@ -78,3 +78,28 @@ def sequence_departures(spark, d):
     wanted = rows.select(F.col("user_id").alias("doc_id"), "ordinal", F.col("event_id").alias("id"))
     other = rows.where(~((F.col("user_id") % 3 == 0) & F.col("last"))).select(F.col("user_id").alias("doc_id"), "ordinal", F.when((F.col("user_id") % 5 == 0) & (F.col("ordinal") % 7 == 4), -F.col("event_id")).otherwise(F.col("event_id")).alias("id"))
     return reports.first_departures(wanted, {"outcomes": other}).select("doc_id", "ordinal", "wanted", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+#: Content by the remainder of the key, what it shows, and how sure that is.
+_CONTENTS = [
+    ("unhex('255044462D31')", "pdf", "HIGH"), ("unhex('89504E470D0A1A0A00')", "png", "HIGH"), ("unhex('4D4D002A00')", "tiff", "HIGH"), ("unhex('424D00')", "bmp", "HIGH"), ("unhex('D0CF11E0A1B11AE1')", "ole", "HIGH"),
+    ("encode(concat('\\n <!DOCTYPE HTML><p>', s_name), 'utf-8')", "html", "HIGH"), ("encode(concat('<a b=\\'1\\'>', s_name, '</a>'), 'utf-8')", "xml", "MEDIUM"), ("encode(concat('{\"a\": \"', s_name, '\"}'), 'utf-8')", "json", "HIGH"),
+    ("encode(concat('k;v\\n', s_suppkey, ';', s_name, '\\n1;2\\n'), 'utf-8')", "csv", "MEDIUM"), ("encode(concat('# ', s_name, '\\n\\ntext'), 'utf-8')", "md", "MEDIUM"), ("encode(s_name, 'utf-8')", "txt", "LOW"), ("unhex('0001020300')", "unknown", "NONE"),
+]
+_SUFFIXES = ["pdf", "png", "tif", "doc", "xls", "htm", "xml", "none", "csv", "markdown", "JSON"]
+
+
+@query(f"""with f as (select s_suppkey as k, ({[x for _, x, _ in _CONTENTS]})[s_suppkey % 12 + 1] as detected, ({[x for _, _, x in _CONTENTS]})[s_suppkey % 12 + 1] as sure,
+    ([{", ".join("NULL" if x == "none" else repr({"tif": "tiff", "htm": "html", "markdown": "md"}.get(x.lower(), x.lower())) for x in _SUFFIXES)}])[s_suppkey % 11 + 1] as declared from supplier),
+  s as (select *, case when detected = 'ole' and declared in ('doc', 'xls') then 'CONTAINER_MATCH' when detected = 'unknown' and declared is not null then 'EXTENSION_ONLY' when detected = 'unknown' then 'UNKNOWN'
+    when declared is null then 'CONTENT_ONLY' when declared = detected then 'MATCH' else 'CONFLICT' end as status from f)
+  select k, coalesce(declared, '') as declared, detected, case when status in ('CONTAINER_MATCH', 'EXTENSION_ONLY') then declared else detected end as effective, status,
+    case status when 'CONTAINER_MATCH' then 'MEDIUM' when 'EXTENSION_ONLY' then 'LOW' else sure end as confidence,
+    concat_ws('|', case when detected = 'ole' then 'LEGACY_CONTAINER|SUBTYPE_UNVERIFIED' end, case status when 'EXTENSION_ONLY' then 'EXTENSION_ONLY_UNVERIFIED' when 'UNKNOWN' then 'UNKNOWN_FORMAT' when 'CONFLICT' then 'EXTENSION_CONTENT_CONFLICT' end) as risks from s""")
+def format_probe(spark, d):
+    """Files of all kinds under right and wrong names."""
+    content = "case " + " ".join(f"when s_suppkey % 12 = {k} then {e}" for k, (e, _, _) in enumerate(_CONTENTS)) + " end"
+    suffix = f"element_at(array({', '.join(map(repr, _SUFFIXES))}), cast(s_suppkey % 11 + 1 as int))"
+    files = u.table(spark, d, "supplier").selectExpr("s_suppkey as k", f"concat('f', s_suppkey, '.', {suffix}) as path", f"{content} as content")
+    found = routing.probed(files).join(files.select("path", "k"), "path")
+    return found.select("k", F.coalesce("declared", F.lit("")).alias("declared"), "detected", "effective", "status", "confidence", F.array_join("risks", "|").alias("risks"))
