@@ -16,7 +16,7 @@ from parallex.functions import literals, numbers, text
 from parallex.operators import multiset
 from parallex.operators import terms as term_search
 from parallex.operators.glossary import in_scope
-from parallex.shared import written
+from parallex.shared import discard, written
 
 #: Checks in the order in which they report, with severities.
 CHECKS = {
@@ -172,15 +172,18 @@ def numbered(issues: DataFrame) -> DataFrame:
     then of items.
 
     Ranges of the order are numbered apart and shifted by the ranges' sizes, so
-    no task holds all issues.  The ranged rows are written once: sizes and rows
-    are read from one table, for a second sampling would cut other ranges."""
+    no task holds all issues.  The issues are written before they are ranged, for a
+    range exchange reads its input twice, and so are the ranges, for a second
+    sampling would cut others; both writes happen when this is called."""
     order = ["ordinal", "seq", "entry", "check_id", "id", "source_items", "target_items"]
-    ranged = issues.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = written(ranged.withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranged_issues")
-    sizes = ranged.groupBy("_p").count()
-    shift = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranged.join(F.broadcast(shift.select("_p", "_before")), "_p")
-    return out.withColumn("issue_id", F.format_string("Q%04d", F.col("_before") + F.col("_n") + 1)).select(*issues.columns, "issue_id")
+    found = written(issues, "issues")
+    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct(*found.columns).alias("issue"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    ranged = written(ranged, "ranged_issues")
+    discard(found)
+    sizes = ranged.groupBy("part").count()
+    shift = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    out = ranged.join(F.broadcast(shift), "part")
+    return out.select("issue.*", F.format_string("Q%04d", F.col("before") + F.col("place") + 1).alias("issue_id"))
 
 
 def summary(units: DataFrame, issues: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share: lineage cuts."""
 
 from __future__ import annotations
 
@@ -25,10 +25,43 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Lets Spark delete an execution's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet and read again: lost executors re-read it
-    instead of recomputing, and what isn't deterministic is settled."""
+    instead of recomputing, what isn't deterministic is settled, and later plans
+    start from it.  The write's shuffle files go when it has ended, for nothing
+    reads them again.  ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no plan reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, not only by
+    rows, unless the session already does: texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not str(now).isdigit() or int(now) > limit:
+        spark.conf.set(key, str(limit))
