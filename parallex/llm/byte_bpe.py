@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallex.llm.scratch import bounded_batches
+from parallex.shared import bounded_batches
 
 
 #: The part of a state's entry that tells where a piece begins, and what stands

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallex.llm.scratch import bounded_batches
 from parallex.llm.textscan import mix64, slices
+from parallex.shared import bounded_batches
 
 
 @dataclass(frozen=True)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallex.llm.scratch import bounded_batches, written
+from parallex.shared import bounded_batches, written
 
 
 @dataclass(frozen=True)

@@ -38,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallex.llm.scratch import bounded_batches, written
 from parallex.llm.textscan import slices
+from parallex.shared import bounded_batches, written
 
 
 @dataclass(frozen=True)

@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallex.llm.buckets import heavy_keys, linked
-from parallex.llm.scratch import bounded_batches, discard, written
 from parallex.llm.textscan import mix64, scan_words, shingle_sets, slices
+from parallex.shared import bounded_batches, discard, written
 
 _U = np.uint64
 _SKETCH = 8

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from parallex.llm.buckets import heavy_keys
 from parallex.llm.graph import components
-from parallex.llm.scratch import bounded_batches, discard, written
 from parallex.llm.textscan import _power, mix64, slices
+from parallex.shared import bounded_batches, discard, written
 
 _U = np.uint64
 _NO_ID = -(1 << 63)

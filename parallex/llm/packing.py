@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallex.llm.scratch import bounded_batches
 from parallex.llm.textscan import mix64, scan_words, slices
+from parallex.shared import bounded_batches
 
 _U = np.uint64
 #: Marks the end of a word for the merges, and parts chunks; texts that hold

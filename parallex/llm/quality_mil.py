@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallex.llm.labelled import crc_of, training_sample
-from parallex.llm.scratch import bounded_batches
 from parallex.llm.textscan import mix64, scan_words, slices
+from parallex.shared import bounded_batches
 
 _U = np.uint64
 

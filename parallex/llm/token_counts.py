@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parallex.llm.scratch import bounded_batches
+from parallex.shared import bounded_batches
 
 
 @dataclass(frozen=True)
