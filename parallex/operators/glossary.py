@@ -15,14 +15,10 @@ from pyspark.sql.window import Window
 
 from parallex.functions import text
 from parallex.operators import terms as term_search
+from parallex.sources import records
 
 FIELDS = ("vendor", "product", "version", "domain")
-SCHEMA = (
-    "id string, ordinal int, behavior string, approval string, source struct<language:string,term:string>, "
-    "targets array<struct<language:string,term:string,status:string>>, "
-    "scope struct<vendor:string,product:string,version:string,domain:string,text_roles:array<string>>, "
-    "match struct<mode:string,case_sensitive:boolean,unicode_normalization:string>"
-)
+SCHEMA = records.GLOSSARY_SCHEMA
 
 
 def in_scope(scope: Column, context: Column) -> Column:

@@ -209,3 +209,10 @@ def select_targets(proposals: DataFrame) -> DataFrame:
     choices = [("APPROVED", text_of("approved_target")), ("SUGGESTED", text_of("suggested_target")), ("KEPT", kept), ("CURRENT", own)]
     name = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in choices], F.lit("ERROR"))
     return proposals.withColumns({"target": F.coalesce(*[c for _, c in choices]), "selection": name})
+
+
+def selection_counts(selected: DataFrame) -> DataFrame:
+    """One row about targets chosen by ``select_targets``: units, those whose target
+    is their source, and those without one."""
+    same = F.coalesce(F.col("target") == F.col("source"), F.lit(False))
+    return selected.agg(F.count("*").alias("unit_count"), F.count_if(same).alias("identity_count"), F.count_if(F.col("selection") == "ERROR").alias("error_count"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,6 +50,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     return rows.select("path", "line", F.from_json("value", schema).alias("v")).select("path", "line", "v.*"), errors
 
 
+#: Entries as the glossary operators take them.
+GLOSSARY_SCHEMA = (
+    "id string, ordinal int, behavior string, approval string, source struct<language:string,term:string>, "
+    "targets array<struct<language:string,term:string,status:string>>, "
+    "scope struct<vendor:string,product:string,version:string,domain:string,text_roles:array<string>>, "
+    "match struct<mode:string,case_sensitive:boolean,unicode_normalization:string>"
+)
+
+
 def read_units(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Units of JSON lines, or of a JSON array or object; anything else fails."""
     reader = spark.read.schema(UNITS).option("mode", "FAILFAST").option("multiLine", not lines)
@@ -102,6 +112,50 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_glossary_json(spark: SparkSession, path: str) -> DataFrame:
+    """Glossary entries of a JSON document's ``entries``, in their order; unset
+    parts of scope and match are null, unset targets none."""
+    fields = GLOSSARY_SCHEMA.replace("ordinal int, ", "")
+    rows = spark.read.schema(f"entries array<struct<{_colons(fields)}>>, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+    if rows.where("_broken is not null or entries is null").limit(1).count():
+        raise ValueError(f"{path}: not a glossary")
+    entries = rows.select(F.posexplode("entries").alias("ordinal", "e")).select("e.*", "ordinal")
+    none = F.array().cast(entries.schema["targets"].dataType)
+    unicode_form = F.coalesce("match.unicode_normalization", F.lit("NFC"))
+    match = F.struct(F.coalesce("match.mode", F.lit("token")).alias("mode"), F.coalesce("match.case_sensitive", F.lit(False)).alias("case_sensitive"), unicode_form.alias("unicode_normalization"))
+    return entries.select("id", "ordinal", "behavior", "approval", "source", F.coalesce("targets", none).alias("targets"), "scope", match.alias("match"))
+
+
+def read_bundle(spark: SparkSession, folder: str, schemas: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """A review bundle's tables by name and its violations (``key``, ``rule``).
+
+    ``schemas``: of ``units``, ``issues``, ``evidence``, ``decisions``, ``anchors`` and
+    ``events``; units and events are JSON lines, the others arrays.  Decisions that
+    can't be read come from their backup.  Unit ids and decisions are unique and
+    cover each other."""
+
+    def table(name: str, file: str) -> DataFrame:
+        lines = file.endswith(".jsonl")
+        reader = spark.read.schema(f"{schemas[name]}, _broken string").option("multiLine", not lines).option("columnNameOfCorruptRecord", "_broken")
+        rows = reader.json(f"{folder}/{file}")
+        if rows.where("_broken is not null").limit(1).collect():
+            raise ValueError(f"{folder}/{file}: not JSON")
+        return rows.drop("_broken")
+
+    out = {name: table(name, f"{name}.jsonl" if name in ("units", "events") else f"{name}.json") for name in schemas if name != "decisions"}
+    try:
+        out["decisions"] = table("decisions", "decisions.json")
+    except (ValueError, PySparkException):
+        out["decisions"] = table("decisions", "decisions.backup.json")
+    units, decisions = out["units"].select(F.col("id").alias("key")), out["decisions"].select(F.col("unit_id").alias("key"))
+    both = units.join(decisions.withColumn("decided", F.lit(True)).distinct(), "key", "left")
+    rules = both.where("decided is null").select("key", F.lit("NO_DECISION").alias("rule"))
+    rules = rules.unionByName(decisions.join(units, "key", "left_anti").select("key", F.lit("DECISION_WITHOUT_UNIT").alias("rule")))
+    for rows, rule in ((units, "DUPLICATE_UNIT"), (decisions, "DUPLICATE_DECISION")):
+        rules = rules.unionByName(rows.groupBy("key").count().where("count > 1").select("key", F.lit(rule).alias("rule")))
+    return out, rules.distinct()
+
+
 def write_table(df: DataFrame, path: str, kind: str = "json", mode: str = "error") -> None:
     """JSON lines, CSV or TSV with neutralised cells, or Parquet, by Spark's
     commit protocol; ``append`` mode is the event log."""

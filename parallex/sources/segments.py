@@ -268,6 +268,12 @@ def tmx(files: DataFrame, source_language: str, target_language: str) -> DataFra
     return files.select(F.col("path").alias("doc_id"), F.inline(units("content")))
 
 
+def tmx_counts(candidates: DataFrame) -> DataFrame:
+    """``doc_id``, ``total``, ``review``, ``unsupported`` of an import's candidates."""
+    status = F.col("status")
+    return candidates.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(status == "CANDIDATE").alias("review"), F.count_if(status == "UNSUPPORTED").alias("unsupported"))
+
+
 def upload(files: DataFrame) -> DataFrame:
     """Base64 uploads (``name``, ``data``) as ``binaryFile``-like rows, with
     ``error`` for names with folders and data that doesn't decode."""
