@@ -28,7 +28,7 @@ def office_segments(spark, d):
     """Paragraphs of documents as packages."""
     files = packages._documents(spark, d)[0].select(F.concat("path", F.lit(".docx")).alias("path"), F.length("content").cast("long").alias("length"), "content")
     found, _ = segments.office(files)
-    return found.select(F.substring_index("doc_id", ".", 1).cast("long").alias("doc_id"), (F.substring_index("location", "=", -1).cast("long") + 1).alias("place"), "text")
+    return found.select(F.substring_index("doc_id", ".", 1).cast("long").alias("doc_id"), (F.substring_index("location", "=", -1).cast("int") + 1).alias("place"), "text")
 
 
 @query("select s_suppkey as id, case s_suppkey % 4 when 0 then 'INVALID_NAME' when 1 then 'INVALID_BASE64' else '' end as error, case when s_suppkey % 4 <> 1 then strlen(s_name) end as length from supplier")

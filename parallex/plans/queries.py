@@ -141,7 +141,11 @@ def segment_lines(spark, d):
     return segments.lines(u.table(spark, d, "documents")).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "location", "text")
 
 
-@query()
+@query(r"""with t as (select page_id as doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?(</script\s*>|$)', '', 'g'), '(?is)<style\b.*?(</style\s*>|$)', '', 'g'), '(?is)<template\b.*?(</template\s*>|$)', '', 'g'), '(?s)<!--.*?(-->|$)', '', 'g') as h from pages),
+    v as (select doc_id, regexp_replace(regexp_replace(h, '(?i)<(p|div|li|br|tr|h1|h2|h3)\b[^>]*>', chr(10), 'g'), '<[/!]?[A-Za-z][^>]*>', '', 'g') as x from t),
+    e as (select doc_id, regexp_replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') as x from v),
+    b as (select doc_id, unnest(ls) as l, unnest(range(1, len(ls) + 1)) as n from (select doc_id, string_split(x, chr(10)) as ls from e))
+  select doc_id, (row_number() over (partition by doc_id order by n))::integer as ordinal, 'text-block:' || n as location, regexp_replace(l, '^\s+|\s+$', '', 'g') as text from b where regexp_matches(l, '\S')""")
 def html_visible(spark, d):
     return segments.html(u.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
