@@ -70,11 +70,12 @@ def word_anchors(units: DataFrame, paragraphs: DataFrame) -> DataFrame:
     text; empty paragraphs count for places alone."""
     place = r"^docx:(word/[^:]+\.xml):p=(\d+)$"
     hinted = F.regexp_extract("location", place, 1)
-    units = units.select(F.col("path").alias("doc_id"), "id", "current_target", F.when(hinted != "", hinted).alias("part"), F.regexp_extract("location", place, 2).try_cast("int").alias("place"))
-    rows = paragraphs.where("text <> ''").withColumnRenamed("path", "doc_id")
-    found = align.anchors(units, rows.select("doc_id", "part", "place", "text", "blockers"))
-    own = rows.select("doc_id", "part", "place", "para_id", "sha256", "blockers")
-    return found.join(own, ["doc_id", "part", "place"], "left").withColumnRenamed("doc_id", "path")
+    # Texts are compared by their digests, so the joins move no text.
+    seen = F.sha2("current_target", 256).alias("current_target")
+    units = units.select(F.col("path").alias("doc_id"), "id", seen, F.when(hinted != "", hinted).alias("part"), F.regexp_extract("location", place, 2).try_cast("int").alias("place"))
+    rows = written(paragraphs.where("text <> ''").select(F.col("path").alias("doc_id"), "part", "place", "para_id", "sha256", "blockers"), "paragraphs")
+    found = align.anchors(units, rows.select("doc_id", "part", "place", F.col("sha256").alias("text"), "blockers"))
+    return found.join(rows, ["doc_id", "part", "place"], "left").withColumnRenamed("doc_id", "path")
 
 
 def changes(units: DataFrame, decisions: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,9 +87,9 @@ def changes(units: DataFrame, decisions: DataFrame, anchors: DataFrame) -> tuple
     rows = rows.withColumn("final", F.coalesce("approved_target", F.lit(""))).join(anchors.withColumnRenamed("status", "anchor"), ["path", "id"], "left")
     open_ = ~F.coalesce(F.col("decision").isin(*WRITABLE), F.lit(False))
     refusal = F.when(open_, "NOT_APPROVED").when(F.coalesce("anchor", F.lit("")) != "RESOLVED", F.when(F.col("final") != F.col("current"), F.concat(F.lit("ANCHOR_"), F.coalesce("anchor", F.lit("MISSING")))))
-    rows = rows.withColumn("refusal", refusal)
-    edits = rows.where(F.col("refusal").isNull() & (F.col("final") != F.col("current")))
-    return edits.drop("refusal", "decision", "approved_target", "anchor"), rows.where("refusal is not null").select("path", "id", "refusal")
+    rows = rows.withColumn("refusal", refusal).drop("decision", "approved_target", "anchor")
+    rows = written(rows.where(F.col("refusal").isNotNull() | (F.col("final") != F.col("current"))), "changes")
+    return rows.where("refusal is null").drop("refusal"), rows.where("refusal is not null").select("path", "id", "refusal")
 
 
 #: Letters of two texts, multiplied, up to which they are compared letter by letter.
