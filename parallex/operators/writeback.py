@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from parallex.functions.types import BYTES, TEXT, fields
 from parallex.operators import align
-from parallex.shared import written
+from parallex.shared import bounded_batches, written
 from parallex.sources import markup
 
 # Decisions whose texts may be written.
@@ -42,6 +42,7 @@ WRITABLE = ("ACCEPT_SUGGESTION", "KEEP_CURRENT", "USER_EDITED", "WAIVED", "DRAFT
 def _scanned(files: DataFrame, ddl: str, scan: Callable[[bytes], list[dict]]) -> DataFrame:
     """``path`` and the rows that ``scan`` finds in each package; a package that it
     refuses is one row with ``refusal``."""
+    bounded_batches(files.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL("path string, refusal string, " + ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

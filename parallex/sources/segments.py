@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parallex.functions.types import INT, TEXT, fields, rows
+from parallex.shared import bounded_batches
 
 # Bounds of what is read.
 MAX_FILE = 16 << 20
@@ -233,6 +234,7 @@ def _parsed(path: pd.Series, content: pd.Series) -> pd.DataFrame:
 def office(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments of office files and the rows (``doc_id``, ``error``) of those
     that can't be read or are beyond the bounds."""
+    bounded_batches(files.sparkSession)
     small = files.where(F.col("length") <= MAX_FILE).select(F.col("path").alias("doc_id"), _parsed("path", "content").alias("p"))
     segments = small.select("doc_id", F.posexplode("p.segments").alias("ordinal", "s")).select("doc_id", (F.col("ordinal") + 1).alias("ordinal"), "s.location", "s.text")
     large = files.where(F.col("length") > MAX_FILE).select(F.col("path").alias("doc_id"), F.lit("ValueError: file exceeds the bounds").alias("error"))
