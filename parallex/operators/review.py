@@ -47,13 +47,16 @@ def map_findings(findings: DataFrame, units: DataFrame) -> DataFrame:
     """``finding_id`` to ``unit_id``: the only unit at its location, else the only
     one whose current text or source holds its original.  The second, a search in
     texts, is left to findings that the equi-join couldn't place."""
-    at = units.select("location", F.col("id").alias("unit_id"))
-    exact = findings.join(at, "location").groupBy("finding_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    rest = findings.join(exact, "finding_id", "left_anti").select("finding_id", F.col("original").alias("needle"), F.lit(0).alias("form"))
-    texts = [units.select(F.col("id").alias("unit_id"), F.col(c).alias("held")) for c in ("current_target", "source")]
-    found = terms.occurring(texts[0].unionByName(texts[1]), rest, "held").select("finding_id", "unit_id").distinct()
-    found = found.groupBy("finding_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return exact.unionByName(found)
+    at = units.groupBy("location").agg(F.min("id").alias("unit_id"), F.count("*").alias("n"))
+    exact = findings.join(at, "location").groupBy("finding_id").agg(F.min("unit_id").alias("unit_id"), F.sum("n").alias("n")).where("n = 1").drop("n")
+    rest = findings.join(exact, "finding_id", "left_anti").select("finding_id", F.col("original").alias("needle"))
+    needles = rest.select("needle", F.lit(0).alias("form")).distinct()
+    texts = [units.select(F.struct(F.col("id").alias("unit_id")).alias("unit"), F.col(c).alias("held")) for c in ("current_target", "source")]
+    # Findings of one original share its units: only the first and the last of these are kept.
+    least, most = F.min("first").alias("first"), F.max("last").alias("last")
+    held = terms.occurring(texts[0].unionByName(texts[1]), needles, "held").select("needle", F.col("unit").alias("first"), F.col("unit").alias("last"))
+    found = rest.join(held.groupBy("needle").agg(least, most), "needle").groupBy("finding_id").agg(least, most)
+    return exact.unionByName(found.where("first = last").select("finding_id", "first.unit_id"))
 
 
 def merged_suggestion(current: str, changes) -> str | None:
