@@ -19,14 +19,16 @@ DECISIONS = ("REPLACE", "KEEP", "PROTECT", "REVIEW")
 CLASSIFICATIONS = ("TERMINOLOGY", "OMISSION", "ADDITION", "MISTRANSLATION", "AMBIGUOUS_HIGH_RISK", "TECHNICAL_CLAIM", "OUT_OF_SCOPE_CLAIM", "STYLE", "GRAMMAR")
 
 
-def batches(units: DataFrame, size: Column | None = None, max_units: int = MAX_UNITS, max_chars: int = MAX_SOURCE) -> DataFrame:
+def batches(units: DataFrame, size: Column | None = None, max_units: int = MAX_UNITS, max_chars: int = MAX_SOURCE, alone: bool = False) -> DataFrame:
     """Adds ``batch`` (from 1): greedy in order, by document; ``batch`` is null
-    and ``error`` set for a unit that no batch can hold.
+    and ``error`` set for a unit that no batch can hold.  With ``alone`` such a
+    unit is a batch of its own instead, and a null text an empty one.
 
     Ordinals are unique within a document.  The batches are made over ranges of
     rows (:mod:`greedy`), so a document of any length is many tasks."""
     size = F.length("source") if size is None else size
-    fits = units.select("doc_id", "ordinal", size.alias("_size")).where((F.col("_size") <= max_chars) & F.col("doc_id").isNotNull())
+    fits = units.select("doc_id", "ordinal", (F.coalesce(size, F.lit(0)) if alone else size).alias("_size")).where("doc_id is not null")
+    fits = fits if alone else fits.where(F.col("_size") <= max_chars)
     out = units.join(greedy.numbered(fits, max_units, max_chars), ["doc_id", "ordinal"], "left")
     return out.withColumn("error", F.when(F.col("batch").isNull(), "TOO_LARGE"))
 

@@ -45,8 +45,9 @@ def _rows(table: pa.Table, ahead: list[tuple]) -> tuple[np.ndarray, np.ndarray,
 
 
 def numbered(rows: DataFrame, max_units: int, max_size: int) -> DataFrame:
-    """``doc_id``, ``ordinal`` and ``batch`` (from 1) of rows with ``_size``, none above
-    ``max_size``; ordinals are unique within a document, which isn't null."""
+    """``doc_id``, ``ordinal`` and ``batch`` (from 1) of rows with ``_size``, which isn't
+    null; one above ``max_size`` is a batch of its own.  Ordinals are unique within a
+    document, which isn't null."""
     spark = rows.sparkSession
     rows = rows.select("doc_id", "ordinal", F.col("_size").cast("long").alias("_size"))
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)

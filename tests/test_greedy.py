@@ -41,3 +41,13 @@ def test_one_long_document_is_many_tasks(spark):
     got = batching.batches(units, max_units=20, max_chars=300)
     want = fold([(1, k, k * 7919 % 50) for k in range(30_000)], 20, 300)
     assert {(1, r.ordinal): r.batch for r in got.collect()} == want
+
+
+def test_too_large_units_are_batches_of_their_own(spark):
+    sizes = [3, 30, 4, 4, None, 11, 12, 5, 5, 1, 10, 2]
+    rows = [(1, k, None if n is None else "x" * n) for k, n in enumerate(sizes)]
+    units = spark.createDataFrame(rows, "doc_id long, ordinal long, source string")
+    got = {(1, r.ordinal): r.batch for r in batching.batches(units, max_units=4, max_chars=10, alone=True).collect()}
+    assert got == fold([(1, k, n or 0) for k, n in enumerate(sizes)], 4, 10)
+    refused = {r.ordinal for r in batching.batches(units, max_units=4, max_chars=10).where("error = 'TOO_LARGE'").collect()}
+    assert refused == {1, 4, 5, 6}
