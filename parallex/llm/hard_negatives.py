@@ -190,8 +190,11 @@ def mine(vectors: DataFrame, params: HardNegatives = HardNegatives()) -> DataFra
     blocks, anchors = written(blocks, "blocks"), written(anchors.select([F.col(c).alias("anchor_" + c) for c in _SCHEMA.names]), "anchors")
 
     def beside(anchors: DataFrame) -> DataFrame:
-        """A stated query set against all rows: a block of anchors goes to each block of rows."""
-        return blocks.join(anchors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))), "block")
+        """A stated query set against all rows: a block of anchors goes to each block of rows.
+        The copies meet the blocks by sorted shuffle: planned by the few anchors that they are
+        made from, they would be gathered in the driver for a broadcast."""
+        copies = anchors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        return copies.join(blocks.hint("merge"), "block")
 
     found = beside(anchors).mapInArrow(_positives(params), _POSITIVE)
     best = _first(found, ["anchor"], [F.desc("score"), F.col("positive_id"), F.col("positive_key")], params.positives)

@@ -215,3 +215,9 @@ def test_chunk_tables(spark):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert digest == {(i, len(x), sha(np.array(x, "<u4").tobytes()), sha(library.decode(x, skip_special_tokens=False).encode())) for i, x in want}
     assert chunk_bpe.encode(docs.limit(0), params).count() == 0
+
+
+def test_copies_of_anchors_are_not_broadcast(spark):
+    rows = spark.range(40).selectExpr("id", "array(cast(id as double), 1d) as vector", "id % 2 as label", "id % 5 = 0 as asked")
+    plan = hard_negatives.mine(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [block#" in plan and "BroadcastHashJoin [block#" not in plan
