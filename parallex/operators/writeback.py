@@ -39,6 +39,10 @@ from parallex.sources import markup
 WRITABLE = ("ACCEPT_SUGGESTION", "KEEP_CURRENT", "USER_EDITED", "WAIVED", "DRAFT_SUGGESTION")
 
 
+#: Rows, and octets of packages, that give one batch: small packages share one.
+_FOUND_ROWS, _FOUND_OCTETS = 1024, 256 << 10
+
+
 def _scanned(files: DataFrame, ddl: str, scan: Callable[[bytes], list[dict]]) -> DataFrame:
     """``path`` and the rows that ``scan`` finds in each package; a package that it
     refuses is one row with ``refusal``."""
@@ -46,13 +50,21 @@ def _scanned(files: DataFrame, ddl: str, scan: Callable[[bytes], list[dict]]) ->
     schema = to_arrow_schema(StructType.fromDDL("path string, refusal string, " + ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, octets = [], 0
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
+                data, path = content.as_py() or b"", path.as_py()
                 try:
-                    found = scan(content.as_py() or b"")
+                    found = scan(data)
                 except markup.Refused as e:
                     found = [{"refusal": str(e)}]
-                yield pa.RecordBatch.from_pylist([{"path": path.as_py(), **x} for x in found], schema=schema)
+                rows += [{"path": path, **x} for x in found]
+                octets += len(data)
+                if len(rows) >= _FOUND_ROWS or octets >= _FOUND_OCTETS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, octets = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, refusal string, " + ddl)
 
@@ -312,11 +324,13 @@ def workbook_patches(cells: DataFrame, references: DataFrame, edits: DataFrame)
     return texts.unionByName(names).unionByName(defined), refused
 
 
-def patched_workbooks(files: DataFrame, edits: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+def patched_workbooks(files: DataFrame, edits: DataFrame, refused: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """Workbooks with ``edits`` (see ``workbook_patches``) applied: ``path``,
-    ``content``, ``sha256``, ``refusal``."""
-    touched = files.join(edits.select("path").distinct(), "path", "left_semi")
-    cells = written(workbook_cells(touched), "cells")
+    ``content``, ``sha256``, ``refusal``.  ``cells`` of the files are read again
+    unless they are given."""
+    paths = edits.select("path").distinct()
+    touched = files.join(paths, "path", "left_semi")
+    cells = written(workbook_cells(touched), "cells") if cells is None else cells.join(paths, "path", "left_semi")
     references = written(workbook_references(touched), "references")
     patches, bad = workbook_patches(cells.where("refusal is null"), references.where("refusal is null"), edits)
     for rows in (cells, references):

@@ -122,11 +122,13 @@ def _workbook(key: pd.Series, name: pd.Series, segment: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(key, name, segment)])
 
 
-def reviewed_workbooks(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A workbook for each customer, edits and refusals of a review: the name's cell
-    changes, of every third customer the sheet's name, of every eleventh the formula
-    (which is blocked)."""
+def reviewed_workbooks(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A workbook for each customer, edits and refusals of a review, and the cells: the
+    name's cell changes, of every third customer the sheet's name, of every eleventh the
+    formula (which is blocked).  A short row becomes a package, so rows are dealt first:
+    a task for each file of the table would be too few."""
     rows = u.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), "c_custkey", "c_name", "c_mktsegment")
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "path")
     files = written(rows.select("path", _workbook("c_custkey", "c_name", "c_mktsegment").alias("content")), "workbooks")
     unit = lambda i, at, text, new: F.struct(F.lit(i).alias("id"), F.lit(at).alias("location"), text.alias("current_target"), new.alias("approved_target"))
     key, name = F.col("c_custkey"), F.col("c_name")
@@ -139,8 +141,9 @@ def reviewed_workbooks(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     units = rows.select("path", F.inline(found))
     decisions = units.select("path", "id", F.lit("USER_EDITED").alias("status"), "approved_target")
-    anchors = writeback.workbook_anchors(units, writeback.workbook_cells(files)).drop("reason")
-    return files, *writeback.changes(units, decisions, anchors)
+    cells = written(writeback.workbook_cells(files), "cells")
+    anchors = writeback.workbook_anchors(units, cells).drop("reason")
+    return files, *writeback.changes(units, decisions, anchors), cells
 
 
 @query("""with c as (select *, c_custkey % 3 = 0 as renamed, case when c_custkey % 11 = 0 then 'ANCHOR_BLOCKED' when c_custkey % 3 = 0 and c_custkey % 7 = 1 and c_custkey % 5 = 1 then 'SHEET_IN_CHART'
@@ -151,8 +154,8 @@ def reviewed_workbooks(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
   union all select c_custkey, 'area', case when renamed then '''Kunde''''s ' else '''Cust ' end || c_custkey || '''!$A$1:$C$1', '' from c where refusal = ''
   union all select c_custkey, '', '', refusal from c where refusal <> ''""")
 def xlsx_write_back(spark, d):
-    files, edits, refused = reviewed_workbooks(spark, d)
-    done = written(writeback.patched_workbooks(files, edits, refused), "reviewed")
+    files, edits, refused, cells = reviewed_workbooks(spark, d)
+    done = written(writeback.patched_workbooks(files, edits, refused, cells), "reviewed")
     good = done.where("refusal is null")
     cells = writeback.workbook_cells(good).select("path", "cell", F.coalesce("refused", "text").alias("text"))
     names = writeback.workbook_references(good).where("kind = 'DEFINED_NAME' and text not like 'Other!%'").select("path", F.lit("area").alias("cell"), "text")

@@ -174,3 +174,12 @@ def test_no_files(spark):
     files = spark.createDataFrame([], "path string, content binary")
     assert writeback.patched_documents(files, spark.createDataFrame([], EDITS)).count() == 0
     assert writeback.patched_workbooks(files, spark.createDataFrame([], CELL_EDITS)).count() == 0
+
+
+def test_workbooks_are_dealt_over_tasks(spark, tmp_path):
+    from parallex.plans import packages
+
+    spark.range(40).selectExpr("id as c_custkey", "concat('C', id) as c_name", "'BUILDING' as c_mktsegment").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    files, *_, cells = packages.reviewed_workbooks(spark, f"file://{tmp_path}")
+    assert files.select(F.input_file_name().alias("f")).distinct().count() > 1
+    assert cells.groupBy("path").count().where("count = 6").count() == 40
