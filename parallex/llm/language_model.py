@@ -46,8 +46,8 @@ class LmParams:
     smoothing: float = 0.1
     dims: int = 24
     noise: int = 8
-    steps: int = 800
-    batch: int = 2048
+    #: Steps over all counted triples.
+    steps: int = 300
     rate: float = 0.02
     modulus: int = 10
     held_out: int = 0
@@ -135,9 +135,18 @@ def _triples(symbols: Symbols):
     return run
 
 
+def _expected(counts: np.ndarray, scores: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
+    """Slopes, contexts x symbols, of the noise-contrastive loss as it is expected over
+    all counted triples and all noise: each symbol is true ``counts`` times, and noise
+    ``exp(log_noise)`` times for each triple of its context."""
+    true = 1 / (1 + np.exp(-np.clip(scores - log_noise, -30, 30)))
+    return (counts + counts.sum(1, keepdims=True) * np.exp(log_noise)) * true - counts
+
+
 def train(contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray, size: int, params: LmParams) -> np.ndarray:
     """Log10-probabilities, contexts x symbols, of the model that noise-contrastive
-    estimation fits to the counted triples; from a fixed seed."""
+    estimation fits to the counted triples.  Every step takes all triples by their counts
+    and the noise by its probabilities; nothing is drawn.  Adam from fixed beginnings."""
     rng, d = np.random.default_rng(5), params.dims
     unigram = (np.bincount(targets, counts, size) + 0.1) if len(targets) else np.ones(size)
     unigram = unigram / unigram.sum()
@@ -146,27 +155,25 @@ def train(contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray, size: i
         "near_mix": np.eye(d), "far_mix": np.eye(d) * 0.5, "out": rng.normal(0, 0.1, (size, d)), "bias": np.log(unigram),
     }
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    ladder, noise_ladder = np.cumsum(counts, dtype=np.float64), np.cumsum(unigram)
-    log_noise = np.log(params.noise * unigram)
+    log_noise = np.log(params.noise * unigram).astype(np.float32)
+    known, row = np.unique(contexts, return_inverse=True)
+    seen = np.zeros((len(known), size), dtype=np.float32)
+    np.add.at(seen, (row, targets), counts / max(1, counts.sum()))
     for step in range(1, (params.steps if len(targets) else 0) + 1):
-        pick = np.searchsorted(ladder, rng.random(params.batch) * ladder[-1], side="right").clip(max=len(counts) - 1)
-        far, near, y = contexts[pick] // (size + 1), contexts[pick] % (size + 1), targets[pick]
-        x = np.concatenate([y[:, None], np.searchsorted(noise_ladder, rng.random((params.batch, params.noise))).clip(max=size - 1)], axis=1)
-        a, b = p["near"][near], p["far"][far]
-        h = a @ p["near_mix"] + b @ p["far_mix"]
-        q = p["out"][x]
-        s = np.einsum("nd,nkd->nk", h, q) + p["bias"][x] - log_noise[x]
-        g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        g[:, 0] -= 1
-        g /= params.batch
-        flat = (np.arange(params.batch)[:, None] * size + x).ravel()
-        dense = np.bincount(flat, g.ravel(), params.batch * size).reshape(params.batch, size)
-        dh = dense @ p["out"]
-        rows = lambda index, value, n: np.stack([np.bincount(index, v, n) for v in value.T], axis=1)
-        grads = {
-            "out": dense.T @ h, "bias": dense.sum(0), "near_mix": a.T @ dh, "far_mix": b.T @ dh,
-            "near": rows(near, dh @ p["near_mix"].T, size + 1), "far": rows(far, dh @ p["far_mix"].T, size + 1),
-        }
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        out, bias = p["out"].astype(np.float32), p["bias"].astype(np.float32)
+        for at in range(0, len(known), 4096):
+            far, near = known[at : at + 4096] // (size + 1), known[at : at + 4096] % (size + 1)
+            a, b = p["near"][near], p["far"][far]
+            h = a @ p["near_mix"] + b @ p["far_mix"]
+            g = _expected(seen[at : at + 4096], h.astype(np.float32) @ out.T + bias, log_noise)
+            dh = (g @ out).astype(np.float64)
+            rows = lambda index, value: np.stack([np.bincount(index, v, size + 1) for v in value.T], axis=1)
+            for k, grad in {
+                "out": g.T @ h.astype(np.float32), "bias": g.sum(0), "near_mix": a.T @ dh, "far_mix": b.T @ dh,
+                "near": rows(near, dh @ p["near_mix"].T), "far": rows(far, dh @ p["far_mix"].T),
+            }.items():
+                grads[k] += grad
         rate = params.rate * (1 - 0.9 * step / params.steps)
         for k, grad in grads.items():
             m, v = moments[k]
