@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallex.operators import terms
+from parallex.shared import written
 
 REPORT = (
     "report_id long, mode string, secondary_modes array<string>, status string, limitations array<string>, next_actions array<string>, "
@@ -72,8 +73,7 @@ def _supported(findings: DataFrame, sources: DataFrame) -> DataFrame:
     return findings.join(sums, ["report_id", "id"], "left")
 
 
-def _finding_rules(findings: DataFrame, sources: DataFrame) -> DataFrame:
-    rows = _supported(findings, sources)
+def _finding_rules(rows: DataFrame) -> DataFrame:
     asks = (F.col("decision") == "REPLACE") | ((F.col("decision") == "KEEP") & F.col("verification_required"))
     enough = F.when(F.col("confidence") == "HIGH", F.col("direct")).otherwise(F.col("fair"))
     rules = {
@@ -84,8 +84,8 @@ def _finding_rules(findings: DataFrame, sources: DataFrame) -> DataFrame:
     return _told(rows, F.col("id"), rules)
 
 
-def _change_rules(reports: DataFrame, findings: DataFrame, sources: DataFrame, changes: DataFrame) -> DataFrame:
-    own = _supported(findings, sources).select(
+def _change_rules(reports: DataFrame, supported: DataFrame, changes: DataFrame) -> DataFrame:
+    own = supported.select(
         "report_id", F.col("id").alias("finding_id"), "decision", "confidence", _some("conflicts").alias("disputed"), "direct",
         F.col("location").alias("_location"), "original", "recommendation", "protected", F.lit(True).alias("known"),
     )
@@ -138,10 +138,12 @@ def _report_rules(reports: DataFrame, findings: DataFrame, changes: DataFrame) -
 
 def report_violations(reports: DataFrame, findings: DataFrame, sources: DataFrame, changes: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every broken rule of audit reports; columns as in ``REPORT``, ``FINDING``,
-    ``SOURCE``, ``CHANGE``, ``CANDIDATE``."""
+    ``SOURCE``, ``CHANGE``, ``CANDIDATE``.  Findings with the worth of their evidence
+    are written when this is called, for two kinds of rules read them."""
     out = _report_rules(reports, findings, changes)
+    supported = written(_supported(findings, sources), "supported")
     parts = [
-        _finding_rules(findings, sources), _change_rules(reports, findings, sources, changes),
+        _finding_rules(supported), _change_rules(reports, supported, changes),
         _repeated(sources, "id", "DUPLICATE_SOURCE"), _repeated(findings, "id", "DUPLICATE_FINDING"), _repeated(changes, "finding_id", "DUPLICATE_CHANGE"),
         _dangling(findings, F.col("id"), sources, "DANGLING_EVIDENCE"), _dangling(candidates, F.col("id"), sources, "CANDIDATE_DANGLING_EVIDENCE"),
     ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parallex.operators import reports, routing
 from parallex.plans import units as u
 from parallex.plans.queries import query
+from parallex.shared import written
 
 # Expressions that Spark and DuckDB read alike: k is an order, n a line, s its supplier.
 _REPORT = {
@@ -58,6 +59,7 @@ def report_contract(spark, d):
         "named_struct('status', repair, 'authorized', authorized, 'output_document', 'o', 'round_trip', named_struct('status', trip, 'checks', array(trip_check))) as repair",
     )
     lines = u.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_suppkey").alias("s")).join(orders, "k", "left_semi")
+    lines = written(lines, "report_lines")  # findings, sources and changes are made of them again and again
     rows = lines.selectExpr("k", "n", "s", *[f"{e} as {c}" for c, e in _FINDING.items()])
     findings = rows.selectExpr("k as report_id", "concat('F', n) as id", "decision", "confidence", "verified as verification_required", "if(disputed, array('c'), array()) as conflicts", "concat('a', n) as original", "concat(if(same, 'a', 'b'), n) as recommendation", "concat('l', n) as location", "protected", "array(if(lost, 'S0', concat('S', n))) as evidence_refs")
     sources = rows.selectExpr("k as report_id", "concat('S', n) as id", "kind as source_type", "opened as source_opened", "state as evidence_state", "authority as authority_match", "'HIGH' as context_match", "version as version_match")

@@ -107,3 +107,13 @@ def test_first_departures(spark):
     lists = {"qa": table([("a", k, f"U{k}") for k in range(5)] + [("b", k, f"U{4 - k}") for k in range(5)] + [("c", k, f"U{k}") for k in range(4)]), "outcomes": table([(d, k, f"U{k}") for d in "abc" for k in range(5)] + [("a", 5, "U5")])}
     got = {tuple(r) for r in reports.first_departures(wanted, lists).collect()}
     assert got == {("b", "qa", 0, "U0", "U4"), ("c", "qa", 4, "U4", None), ("a", "outcomes", 5, None, "U5")}
+
+
+def test_evidence_is_weighed_once(spark, monkeypatch):
+    """Both kinds of rules that read it share one table."""
+    asked = []
+    supported = reports._supported
+    monkeypatch.setattr(reports, "_supported", lambda *tables: asked.append(tables) or supported(*tables))
+    schemas = (reports.REPORT, reports.FINDING, reports.SOURCE, reports.CHANGE, reports.CANDIDATE)
+    reports.report_violations(*[spark.createDataFrame([], s) for s in schemas])
+    assert len(asked) == 1
