@@ -189,12 +189,15 @@ def mine(vectors: DataFrame, params: HardNegatives = HardNegatives()) -> DataFra
     anchors = rows.where("asked").repartition(max(1, -(-asked // params.block_anchors))).mapInArrow(_packed, _PART)
     blocks, anchors = written(blocks, "blocks"), written(anchors.select([F.col(c).alias("anchor_" + c) for c in _SCHEMA.names]), "anchors")
 
+    # Blocks of rows share the copies of a group, so these don't grow with the blocks.
+    n_groups = min(n_blocks, 2 * spark.sparkContext.defaultParallelism)
+
     def beside(anchors: DataFrame) -> DataFrame:
-        """A stated query set against all rows: a block of anchors goes to each block of rows.
-        The copies meet the blocks by sorted shuffle: planned by the few anchors that they are
-        made from, they would be gathered in the driver for a broadcast."""
-        copies = anchors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        return copies.join(blocks.hint("merge"), "block")
+        """A stated query set against all rows: a block of anchors goes to each group of
+        blocks of rows.  The copies meet these by sorted shuffle: planned by the few anchors
+        that they are made from, they would be gathered in the driver for a broadcast."""
+        copies = anchors.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+        return blocks.withColumn("group", F.col("block") % n_groups).join(copies.hint("merge"), "group")
 
     found = beside(anchors).mapInArrow(_positives(params), _POSITIVE)
     best = _first(found, ["anchor"], [F.desc("score"), F.col("positive_id"), F.col("positive_key")], params.positives)

@@ -220,4 +220,4 @@ def test_chunk_tables(spark):
 def test_copies_of_anchors_are_not_broadcast(spark):
     rows = spark.range(40).selectExpr("id", "array(cast(id as double), 1d) as vector", "id % 2 as label", "id % 5 = 0 as asked")
     plan = hard_negatives.mine(rows)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin [block#" in plan and "BroadcastHashJoin [block#" not in plan
+    assert "SortMergeJoin [group#" in plan and "BroadcastHashJoin [group#" not in plan
