@@ -49,19 +49,25 @@ _PY_STOP = re.compile(r"(?<=\d)\.(?=$|[\s)\]}>\"'])")
 
 #: What a text must hold for a pattern to match at all.
 _HINTS = {PLACEHOLDER: "{%", URL: (":/",), CLI_OPTION: "-", ENV_VAR: "$%", SQL_IDENTIFIER: "_$", VERSION: "vV"}
+#: What a longer pattern needs, by pattern.
+_SHORTER: dict[str, str] = {}
 
 
 def likely(text: Column, pattern: str) -> Column:
-    """Whether ``pattern`` may match: a search for letters, cheaper than a scan."""
+    """Whether ``pattern`` may match: a search for letters, or with a shorter pattern
+    of one class of letters at a time, cheaper than a scan."""
+    if pattern in _SHORTER:
+        return text.rlike(_SHORTER[pattern])
     hints = _HINTS.get(pattern)
     if hints is None:
         return F.lit(True)
-    return reduce(lambda p, q: p | q, [F.contains(text, F.lit(h)) for h in hints])
+    found = reduce(lambda p, q: p | q, [F.contains(text, F.lit(h)) for h in hints])
+    return found & F.contains(text, F.lit(".")) if pattern == VERSION else found
 
 
 def all_of(text: Column, pattern: str, group: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
-    return F.when(likely(text, pattern), found).otherwise(F.array().cast("array<string>")) if pattern in _HINTS else found
+    return F.when(likely(text, pattern), found).otherwise(F.array().cast("array<string>")) if pattern in _HINTS or pattern in _SHORTER else found
 
 
 def placeholders(text: Column) -> Column:
@@ -99,11 +105,17 @@ def _unit_pattern(units) -> str:
     return "|".join(re.escape(u) for u in sorted(units, key=len, reverse=True))
 
 
+def _digit_and_unit(units) -> str:
+    """A digit and a unit, with neither ASCII letters nor digits between."""
+    return rf"\p{{Nd}}[^0-9A-Za-z]*(?:{_unit_pattern(units)})(?![A-Za-z])"
+
+
 def number_units(text: Column, units=UNITS) -> Column:
     """Structs of ``number`` and ``unit``, in order."""
     if not units:
         return F.array().cast("array<struct<number:string,unit:string>>")
     pattern = rf"(?<![{_W}.])([-+]?\p{{Nd}}(?:[\p{{Nd}}\s\u00A0\u202F,.]*\p{{Nd}})?)\s*({_unit_pattern(units)})(?![A-Za-z])"
+    _SHORTER[pattern] = _digit_and_unit(units)
     return F.arrays_zip(all_of(text, pattern, 1).alias("number"), all_of(text, pattern, 2).alias("unit"))
 
 
@@ -157,26 +169,33 @@ _JVM_STOP = rf"(?<=\p{{Nd}})\.(?=$|{_S}|[)\]}}>\"'])"
 _HINTS |= {_JVM_DRIVE: (":\\",), _JVM_UNIX: "/"}
 
 
+#: Stands at both ends of a match while a text is cut there: not a character, and
+#: what takes its place in texts that hold it, which no pattern tells from it.
+_MARK, _OTHER = "\ufdd0", "\ufdd1"
+
+
 def masked(text: Column, *patterns: str) -> Column:
     """``text`` with all matches of each pattern, found on ``text`` itself, blanked."""
+    clean = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
+    start = F.struct(F.lit(1).alias("at"), F.lit(False).alias("hit"), F.lit("").alias("out"))
+
+    def blanked(body: Column, pattern: str) -> Column:
+        """``body`` without what the pattern matches in ``text``: only the lengths of the
+        parts between marks count, every second of which is a match."""
+        parts = F.split(F.regexp_replace(clean, F.lit("(?U)" + pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
 
-    def one(pattern: str) -> Column:
-        def blanked(hits: Column) -> Column:
-            rest = F.split(text, "(?U)" + pattern, -1)
-            gaps = F.transform(hits, lambda m: F.repeat(F.lit(" "), F.length(m)))
-            joined = F.concat(F.array_join(F.zip_with(F.slice(rest, 1, F.size(gaps)), gaps, lambda a, b: F.concat(a, b)), ""), F.element_at(rest, -1))
-            return F.when(F.size(hits) > 0, joined).otherwise(text)
+        def step(s: Column, part: Column) -> Column:
+            n = F.length(part)
+            own = F.when(s["hit"], F.repeat(F.lit(" "), n)).otherwise(F.substring(body, s["at"], n))
+            return F.struct((s["at"] + n).alias("at"), (~s["hit"]).alias("hit"), F.concat(s["out"], own).alias("out"))
 
-        return F.when(likely(text, pattern), _once(all_of(text, pattern), blanked)).otherwise(text)
+        whole = lambda x: F.when(F.size(x) == 1, body).otherwise(F.aggregate(x, start, step)["out"])
+        return F.when(likely(text, pattern), _once(parts, whole)).otherwise(body)
 
-    def both(x: Column, y: Column) -> Column:
-        letters = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.when(p == " ", p).otherwise(q))
-        return F.when(y == text, x).when(x == text, y).otherwise(F.array_join(letters, ""))
+    def by(pattern: str):
+        return lambda body: blanked(body, pattern)
 
-    out = one(patterns[0])
-    for pattern in patterns[1:]:
-        out = F.transform(F.array(F.struct(out.alias("x"), one(pattern).alias("y"))), lambda s: both(s["x"], s["y"]))[0]
-    return out
+    return reduce(lambda body, pattern: _once(body, by(pattern)), patterns[1:], blanked(text, patterns[0]))
 
 
 def _once(value: Column, f) -> Column:
@@ -207,9 +226,12 @@ def plain_numbers(text: Column, units=UNITS) -> Column:
     number-unit pairs."""
     patterns = [URL, _JVM_DRIVE, _JVM_UNIX, PLACEHOLDER, VERSION]
     if units:
-        patterns.append(rf"(?<![{_W}.]){_JVM_NUMBER}{_S}*(?:{_unit_pattern(units)})(?![A-Za-z])")
+        pattern = rf"(?<![{_W}.]){_JVM_NUMBER}{_S}*(?:{_unit_pattern(units)})(?![A-Za-z])"
+        _SHORTER[pattern] = _digit_and_unit(units)
+        patterns.append(pattern)
     alone = rf"(?<![{_W}.]){_JVM_NUMBER}(?![{_W}.])"
-    found = lambda body: all_of(F.regexp_replace(body, "(?U)" + _JVM_STOP, " "), alone)
+    stopped = lambda body: F.when(body.contains("."), F.regexp_replace(body, "(?U)" + _JVM_STOP, " ")).otherwise(body)
+    found = lambda body: all_of(stopped(body), alone)
     return F.when(text.rlike(r"\p{Nd}"), _once(masked(text, *patterns), found)).otherwise(F.array().cast("array<string>"))
 
 

@@ -95,20 +95,24 @@ def _literal_differences(units: DataFrame, glossary: DataFrame | None, checks) -
     return units.withColumns(columns), {c: found[c] for c in wanted}
 
 
+def _differ(missing: Column, extra: Column) -> Column:
+    return (F.size(missing) > 0) | (F.size(extra) > 0)
+
+
 def literal_issues(units: DataFrame, glossary: DataFrame | None = None, checks: list[str] | None = None) -> DataFrame:
     """``id``, ``ordinal``, ``location`` and one row for each literal or number
     issue of the asked ``checks`` (all by default).  Row-local: the units are
     scanned once and nothing is shuffled."""
     units, found = _literal_differences(units, glossary, checks)
-    issues = F.array(*[_issue(c, *sides) for c, sides in found.items()])
-    kept = F.filter(issues, lambda x: (F.size(x["source_items"]) > 0) | (F.size(x["target_items"]) > 0))
-    return units.select("id", "ordinal", "location", F.inline(kept))
+    # An issue is built only where there is one: most units have none.
+    issues = F.array(*[F.when(_differ(*sides), _issue(c, *sides)) for c, sides in found.items()])
+    return units.select("id", "ordinal", "location", F.inline(F.array_compact(issues)))
 
 
 def literal_summary(units: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     """Units and literal issues by severity, counted in the row: no issue is built."""
     units, found = _literal_differences(units, glossary, None)
-    hit = lambda sides: F.when((F.size(sides[0]) > 0) | (F.size(sides[1]) > 0), 1).otherwise(0)
+    hit = lambda sides: F.when(_differ(*sides), 1).otherwise(0)
     total = lambda level: sum((hit(s) for c, s in found.items() if CHECKS[c] == level), F.lit(0))
     rows = units.select(total("ERROR").alias("e"), total("WARNING").alias("w"))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("e", "error_count"), ("w", "warning_count"))]

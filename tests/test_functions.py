@@ -90,3 +90,12 @@ def test_canonical_hash_and_cells(spark):
     assert df.select(text.sha256_canonical(F.col("s"))).first()[0] == want
     cells = spark.createDataFrame([("=1",), (" +x",), ("\tq",), ("ok",), ("a=b",)], "c string")
     assert [r[0] for r in cells.select(text.neutral_cell(F.col("c"))).collect()] == ["'=1", "' +x", "'\tq", "ok", "a=b"]
+
+
+def test_masks_cut_at_marks_and_compile_no_pattern_for_each_text(spark):
+    texts = ["http://a/b 5 and /x/1.5 ms, v1.2/3", "/a﷐b/c ﷑ 7", "{p5} 12 {p5} 3 ms", "", "no digit", "5 ms 6", "1 /p/q 2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    numbers_of = literals.plain_numbers(F.col("t"))
+    got = {r.t: (r.n, r.p) for r in df.select("t", numbers_of.alias("n"), literals.paths(F.col("t")).alias("p")).collect()}
+    assert got == {t: (literals.plain_numbers_of(t), literals.paths_of(t)) for t in texts}
+    assert not re.search(r"split\(\w+, '?\(\?U\)", str(numbers_of))
