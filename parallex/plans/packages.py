@@ -14,7 +14,7 @@ from parallex.functions.types import BYTES
 from parallex.operators import writeback
 from parallex.plans import units as u
 from parallex.plans.queries import query
-from parallex.shared import written
+from parallex.shared import bounded_batches, written
 from parallex.sources.markup import SHEET, WORD, WORD_2010
 
 
@@ -58,7 +58,9 @@ _EDITED_SQL = "(line <> '' and place % 3 = 0 and (not {b} or doc_id % 10 = 0 and
 
 
 def _documents(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Each document as a package, and its lines."""
+    """Each document as a package, and its lines.  Packages are made in Python, so what
+    makes them gets bounded batches too."""
+    bounded_batches(spark)
     docs = u.table(spark, d, "documents").where("text is not null").select("doc_id", F.split(F.regexp_replace("text", _CLEAN, " "), "\n").alias("lines"))
     files = docs.select(F.col("doc_id").cast("string").alias("path"), _document("lines").alias("content"))
     return files, docs.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.posexplode("lines").alias("place", "line"))
@@ -127,6 +129,7 @@ def reviewed_workbooks(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     name's cell changes, of every third customer the sheet's name, of every eleventh the
     formula (which is blocked).  A short row becomes a package, so rows are dealt first:
     a task for each file of the table would be too few."""
+    bounded_batches(spark)
     rows = u.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), "c_custkey", "c_name", "c_mktsegment")
     rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "path")
     files = written(rows.select("path", _workbook("c_custkey", "c_name", "c_mktsegment").alias("content")), "workbooks")

@@ -183,3 +183,16 @@ def test_workbooks_are_dealt_over_tasks(spark, tmp_path):
     files, *_, cells = packages.reviewed_workbooks(spark, f"file://{tmp_path}")
     assert files.select(F.input_file_name().alias("f")).distinct().count() > 1
     assert cells.groupBy("path").count().where("count = 6").count() == 40
+
+
+def test_packages_are_made_from_bounded_batches(spark):
+    from parallex.plans import packages
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        packages._documents(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
