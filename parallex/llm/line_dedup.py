@@ -70,6 +70,8 @@ _NORMAL = bytes(int(_FOLD[b]) if _WORD[b] else 32 for b in range(256))
 #: Words are counted in so many cells (a power of two); sharing one only makes a
 #: word look more frequent.
 _CELLS = 15
+#: The share of all lines that makes a key heavy.
+_HEAVY = 0.01
 #: Bits that a pair of letters is taken to tell, and any word at least.
 _PAIR_BITS, _LEAST_BITS = 4.0, np.float32(0.25)
 
@@ -330,74 +332,106 @@ def similar(a: str, b: str, percent: int) -> bool:
     return 100 * edit_distance(a, b) <= (100 - percent) * longest
 
 
-#: Lanes for each word that a group needs to be faster than big integers.
-_LANES = 8
-#: Cells of the table of letters that one call of ``edit_distances`` holds.
-_TABLE = 1 << 22
+#: Pairs that a group needs to be faster than big integers.
+_LANES = 24
+#: Cells of the table of letters that one group of ``edit_distances`` holds.
+_TABLE = 1 << 18
 
 
 def edit_distances(left: list[str], right: list[str]) -> np.ndarray:
-    """Levenshtein distances of pairs: bit-parallel columns, a lane for each pair
-    and 64 letters of its left line a word (Myers' blocks)."""
+    """Levenshtein distances of pairs: bit-parallel columns, 64 letters of a left
+    line a word (Myers' blocks).  A step takes all words of all pairs at once: a
+    word is a column behind the one before it, whose carry of the last step it gets."""
     m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
     out = np.maximum(m, n)
     todo = np.flatnonzero((m > 0) & (n > 0))
-    if not len(todo):
-        return out
-    # Pairs of like sizes go together; of each group the longest right lines first.
-    todo = todo[np.lexsort((-n[todo], -(-m[todo] // 64)))]
-    words = -(-m[todo] // 64)
+    words = -(-m // 64)
+    # Pairs of like sizes go together; of each group those with most steps first.
+    todo = todo[np.argsort(-(n + words)[todo], kind="stable")]
     start = 0
     while start < len(todo):
-        w = int(words[start])
-        group = todo[start : start + int(np.searchsorted(words[start:], w, side="right"))]
-        group = group[: max(16, _TABLE // (w * 96))]
+        cells = np.cumsum(words[todo[start : start + _TABLE // 32]]) * 32
+        group = todo[start : start + max(_LANES, int(np.searchsorted(cells, _TABLE, side="right")))]
         start += len(group)
-        rows = len(group)
-        if rows < _LANES * w:
+        if len(group) < _LANES:
             out[group] = [edit_distance(left[i], right[i]) for i in group]
             continue
-        letters = [np.frombuffer("".join(side[i] for i in group).encode("utf-32-le"), dtype=np.uint32) for side in (left, right)]
-        known, codes = np.unique(np.concatenate(letters), return_inverse=True)
-        a, b = codes[: len(letters[0])], codes[len(letters[0]) :]
-        lane = np.repeat(np.arange(rows), m[group])
-        place = np.arange(len(a)) - np.repeat(np.cumsum(m[group]) - m[group], m[group])
-        # Bits of a lane's letter differ, so adding them up is an or.
-        eq = np.zeros(rows * len(known) * w, _U)
-        np.add.at(eq, (lane * len(known) + a) * w + place // 64, _U(1) << (place % 64).astype(_U))
-        eq = eq.reshape(rows * len(known), w)
-        ends = np.cumsum(n[group])
-        first = ends - n[group]
-        pv, mv = np.full((w, rows), ~_U(0)), np.zeros((w, rows), _U)
-        alive, one, top = rows, _U(1), _U(63)
-        for j in range(int(n[group[0]])):
-            while n[group[alive - 1]] <= j:
-                alive -= 1
-            at = np.arange(alive) * len(known) + b[first[:alive] + j]
-            plus, minus = np.ones(alive, _U), np.zeros(alive, _U)
-            for k in range(w):
-                p, q = pv[k, :alive], mv[k, :alive]
-                e = eq[at, k]
-                xv = e | q
-                e |= minus
-                xh = (((e & p) + p) ^ p) | e
-                ph = q | ~(xh | p)
-                mh = p & xh
-                up, down = ph >> top, mh >> top
-                ph = (ph << one) | plus
-                mh = (mh << one) | minus
-                pv[k, :alive] = mh | ~(xv | ph)
-                mv[k, :alive] = ph & xv
-                plus, minus = up, down
-        total = n[group].copy()
-        for k in range(w):
-            inside = np.clip(m[group] - 64 * k, 0, 64).astype(_U)
-            mask = np.where(inside == 64, ~_U(0), (one << (inside & _U(63))) - one)
-            total += np.bitwise_count(pv[k] & mask).astype(np.int64) - np.bitwise_count(mv[k] & mask)
-        out[group] = total
+        a, b, known = _letters(left, right, group)
+        most = max(_LANES, _TABLE // (int(words[group].max()) * (known + 1)))
+        if len(group) > 2 * most:  # many letters: a smaller group
+            start -= len(group) - most
+            group = group[:most]
+            a, b, known = _letters(left, right, group)
+        out[group] = _lanes(m[group], n[group], a, b, known)
     return out
 
 
+def _letters(left: list[str], right: list[str], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The group's left and right lines end to end as numbers of letters, and how many there are."""
+    a, b = (np.frombuffer("".join([side[i] for i in group]).encode("utf-32-le"), dtype=np.uint32) for side in (left, right))
+    seen = np.zeros(int(max(a.max(), b.max())) + 1, np.int64)
+    seen[a] = seen[b] = 1
+    number = np.cumsum(seen) - 1
+    return number[a], number[b], int(number[-1]) + 1
+
+
+def _lanes(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, known: int) -> np.ndarray:
+    """Distances of pairs with ``m`` and ``n`` letters, ``a`` and ``b`` end to end;
+    ``n`` and the words of ``m`` together don't rise."""
+    rows, w = len(m), -(-m // 64)
+    first = np.concatenate([[0], np.cumsum(w)])
+    k = np.arange(first[-1]) - np.repeat(first[:-1], w)
+    # Each pair's table: a row of words for each letter, and an empty one.
+    table = first * (known + 1)
+    lane, place = np.repeat(np.arange(rows), m), np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+    eq = np.zeros(table[-1], _U)
+    # Bits of a pair's letter differ, so adding them up is an or.
+    np.add.at(eq, table[lane] + a * w[lane] + place // 64, _U(1) << (place % 64).astype(_U))
+    # Right letters as places in the table, between empty ones for words that
+    # haven't begun or are through.
+    span = n + 2 * (w - 1)
+    begin = np.concatenate([[0], np.cumsum(span)])[:-1]
+    column = np.repeat(table[:-1] + known * w, span)
+    lane = np.repeat(np.arange(rows), n)
+    at = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n) + (begin + w - 1)[lane]
+    column[at] = table[lane] + b * w[lane]
+    read = np.repeat(begin + w - 1, w) - k
+    pv, mv = np.full(len(k), ~_U(0)), np.zeros(len(k), _U)
+    plus, minus = np.zeros(len(k) + 1, _U), np.zeros(len(k) + 1, _U)
+    total, last, bit = m.copy(), first[1:] - 1, ((m - 1) % 64).astype(_U)
+    steps, alive, one, top = n + w - 1, rows, _U(1), _U(63)
+    for s in range(int(steps[0])):
+        while steps[alive - 1] <= s:
+            alive -= 1
+        size = first[alive]
+        plus[first[:alive]], minus[first[:alive]] = one, 0
+        p, q, into, out = pv[:size], mv[:size], plus[:size], minus[:size]
+        e = eq[column[read[:size] + s] + k[:size]]
+        xv = e | q
+        e |= out
+        xh = e & p
+        xh += p
+        xh ^= p
+        xh |= e
+        ph = xh | p
+        np.invert(ph, out=ph)
+        ph |= q
+        xh &= p
+        end = last[:alive]
+        total[:alive] += ((ph[end] >> bit[:alive]) & one).astype(np.int64) - ((xh[end] >> bit[:alive]) & one).astype(np.int64)
+        up, down = ph >> top, xh >> top
+        ph <<= one
+        ph |= into
+        xh <<= one
+        xh |= out
+        np.bitwise_and(ph, xv, out=q)
+        ph |= xv
+        np.invert(ph, out=ph)
+        np.bitwise_or(ph, xh, out=p)
+        plus[1 : size + 1], minus[1 : size + 1] = up, down
+    return total
+
+
 def _surplus(lines: list[bytes]) -> np.ndarray:
     """Letters of each line by the octet that begins them, but for blanks: what
     one line has beyond another is no more than their edit distance."""
@@ -418,6 +452,10 @@ def _near_letters(left: list[str], right: list[str], percent: int) -> np.ndarray
     return (100 * (longest - size.min(0)) <= (100 - percent) * longest) & (100 * apart <= (100 - percent) * longest)
 
 
+#: A sum beyond so many times what is enough isn't looked at letter by letter.
+_HOPE = 1.5
+
+
 def aligned_cost(x: list[str], y: list[str], enough: int = 0) -> int:
     """Edits that one way to change words ``x`` into ``y`` takes, a bound on their
     lines' edit distance: words that both hold once stay, as many as keep their
@@ -455,6 +493,8 @@ def aligned_cost(x: list[str], y: list[str], enough: int = 0) -> int:
         right, below = i, j
         node = before or ((-1, -1, None) if i >= 0 else None)
     total = sum([max(len(a), len(b)) + (not a or not b) for a, b in gaps])
+    if total > _HOPE * enough:
+        return total
     for a, b in gaps:
         if total <= enough:
             break
@@ -564,6 +604,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64("text")})
 
 
+def _merged(label: DataFrame, more: DataFrame) -> DataFrame:
+    """``label`` (``node``, ``component``) after links ``more``: only the components
+    that they join are looked at again."""
+    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    ends = written(more.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ends")
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    new = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = label.unionByName(new).join(joined, "component", "left")
+    out = written(every.select("node", F.coalesce("now", "component").alias("component")), "label")
+    discard(ends)
+    return out
+
+
 def _met(lines: DataFrame, heavy: DataFrame) -> DataFrame:
     """``a``, ``b``, ``key``: classes and another class of each of their buckets.
     Buckets that a sample shows to be heavy are dealt over salts first, and the
@@ -602,7 +656,10 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     docs = _keyed(docs.select("doc_id", "text").where("text is not null"))
     telling, need, mean = _telling(docs, params)
     lines = written(docs.mapInArrow(_lines(telling, need, mean, params), "k long, th long, line int, h long, keys array<long>"), "lines", **{"parquet.enable.dictionary": "false", "compression": "uncompressed"})
-    heavy = written(heavy_keys(lines.sample(0.01, 7).select(F.explode("keys").alias("key"))), "heavy")
+    # A key is heavy if a hundredth of the lines have it: fewer don't outweigh a task,
+    # and a fixed number would make more and more keys heavy as the table grows.
+    least = max(50, int(0.01 * _HEAVY * 2 ** (need / params.slack)))
+    heavy = written(heavy_keys(lines.sample(0.01, 7).select(F.explode("keys").alias("key")), least), "heavy")
     met = _met(lines, heavy)
     pairs = written(met.select("a", "b").distinct(), "pairs")
     classes = lines.groupBy("h").agg(F.min(F.struct("k", "th", "line")).alias("first"), F.count("*").alias("n"))
@@ -628,7 +685,7 @@ def repeated_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFram
     apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(verify(apart), "links")
     if not more.isEmpty():
-        label = written(components(links.unionByName(more)), "label")
+        label = _merged(label, more)
     discard(met, heavy, pairs, texts, links, more, members)
 
     grouped = classes.select("h", "first").join(label.withColumnRenamed("node", "h"), "h", "left")
@@ -651,7 +708,7 @@ def dedup_lines(docs: DataFrame, params: LineDedup = LineDedup()) -> DataFrame:
     # All of a row travels in one struct, so that no name can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     rows = rows.withColumns({"k": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64("row.text")})
-    rows = rows.join(gone, ["k", "th"], "left").select("row", F.split("row.text", "\n").alias("parts"), F.coalesce(F.array_sort("gone"), F.array().cast("array<int>")).alias("gone"))
+    rows = rows.join(gone.hint("shuffle_hash"), ["k", "th"], "left").select("row", F.split("row.text", "\n").alias("parts"), F.coalesce(F.array_sort("gone"), F.array().cast("array<int>")).alias("gone"))
     left = F.filter("parts", lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.size("gone") == 0, F.col("row.text")).otherwise(F.array_join(left, "\n"))
     rows = rows.select("row", "gone", F.coalesce(F.size("parts"), F.lit(0)).alias("n"), text.alias("text"))

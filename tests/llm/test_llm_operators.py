@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -163,6 +164,32 @@ def test_edit_distance():
     assert line_dedup.similar_pairs([long.strip()], [(long + "x").strip()], 80)[0]
 
 
+def test_edit_distances_of_many_lines():
+    rng = random.Random(8)
+    for letters in ("ab", "abcdefgh ", "".join(map(chr, range(0x4E00, 0x4E00 + 700)))):
+        left = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 63, 64, 65, 128, 300]))) for _ in range(150)]
+        right = ["".join(c for c in x if rng.random() < 0.9) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for x in left]
+        assert line_dedup.edit_distances(left, right).tolist() == [line_dedup.edit_distance(a, b) for a, b in zip(left, right)]
+
+
+def test_line_dedup_heavy_keys_do_not_grow_in_number(spark, monkeypatch):
+    """Every key that some fixed number of lines had was heavy, so their rows outgrew the table."""
+    asked = []
+    heavy_keys = line_dedup.heavy_keys
+    monkeypatch.setattr(line_dedup, "heavy_keys", lambda sampled, least=50: asked.append(least) or heavy_keys(sampled, least))
+    monkeypatch.setattr(line_dedup, "_telling", lambda docs, params: (np.full(1 << 15, 12, np.float32), 30 * params.slack, 40.0))
+    line = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    rows = [(i, f"{line} {i % 3 * 'again'}", None) for i in range(8)]
+    assert line_dedup.repeated_lines(table(spark, rows)).count() == 7
+    assert asked == [int(0.01 * 0.01 * 2**30)]
+
+
+def test_merged_components(spark):
+    label = spark.createDataFrame([(5, 5), (6, 5), (7, 5), (2, 2), (8, 2), (20, 20), (21, 20)], "node long, component long")
+    more = spark.createDataFrame([(6, 8), (30, 31)], "a long, b long")
+    assert sorted(map(tuple, line_dedup._merged(label, more).collect())) == [(2, 2), (5, 2), (6, 2), (7, 2), (8, 2), (20, 20), (21, 20), (30, 30), (31, 30)]
+
+
 def test_quality_rules(spark):
     good = "\n".join(" ".join(f"plain{7 * i + k}" for k in range(7)) + "." for i in range(12))
     junk = " | ".join(f"item{i}" for i in range(80))
