@@ -184,6 +184,19 @@ def test_line_dedup_heavy_keys_do_not_grow_in_number(spark, monkeypatch):
     assert asked == [int(0.01 * 0.01 * 2**30)]
 
 
+def test_classifier_learns_from_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(1 << 30))
+    try:
+        docs = table(spark, [(i, f"word{i} and some more words", None) for i in range(20)])
+        labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+        quality_mil.fit(docs, labels)
+        assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_merged_components(spark):
     label = spark.createDataFrame([(5, 5), (6, 5), (7, 5), (2, 2), (8, 2), (20, 20), (21, 20)], "node long, component long")
     more = spark.createDataFrame([(6, 8), (30, 31)], "a long, b long")
