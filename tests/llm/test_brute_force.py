@@ -211,6 +211,27 @@ def test_byte_bpe_dictionary_of_a_task(monkeypatch):
         assert (words == 100) == (bases.count(0) == 1)
 
 
+def test_byte_bpe_first_merges(spark, tmp_path):
+    """Merges ahead of the fold change no ids, also where a token has a lower rank than
+    its parts, is spelt in two ways, or overlaps itself."""
+    import base64
+    import itertools
+
+    import tiktoken
+
+    tokens = [bytes([k]) for k in range(256)] + [b"aa", b"ab", b"aaa", b"bab", b"ba", b"abab", b"aab", b"bb", b"abb", b"ca", b"bca", b"caa"]
+    (tmp_path / "v").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    real = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+    words = ["".join(w) for n in range(1, 7) for w in itertools.product("abc", repeat=n)]
+    docs = spark.createDataFrame(list(enumerate([*words, "é" * 300 + "ab" * 500, None])), "doc_id long, text string").coalesce(2)
+    ranks = byte_bpe.read_ranks(str(tmp_path / "v"))
+    assert [x[2] for x in byte_bpe._first_merges(ranks, 128)] == [256, 257]
+    for first in (0, 128):
+        got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, byte_bpe.ByteBpe(str(tmp_path / "v"), public_tokenizers.PATTERN, first=first)).collect()}
+        assert all(got[k] == real.encode_ordinary(w) for k, w in enumerate(words)) and got[len(words) + 1] == []
+        assert got[len(words)] == real.encode_ordinary("é" * 300 + "ab" * 500)
+
+
 def test_embedding_lengths(spark):
     """Cosines of vectors whose squares leave the doubles, and of more vectors of one
     label than a block holds."""
