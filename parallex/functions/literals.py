@@ -62,7 +62,7 @@ def likely(text: Column, pattern: str) -> Column:
     if hints is None:
         return F.lit(True)
     found = reduce(lambda p, q: p | q, [F.contains(text, F.lit(h)) for h in hints])
-    return found & F.contains(text, F.lit(".")) if pattern == VERSION else found
+    return found & text.rlike(r"\p{Nd}\.\p{Nd}") if pattern == VERSION else found
 
 
 def all_of(text: Column, pattern: str, group: int = 0) -> Column:
@@ -106,8 +106,11 @@ def _unit_pattern(units) -> str:
 
 
 def _digit_and_unit(units) -> str:
-    """A digit and a unit, with neither ASCII letters nor digits between."""
-    return rf"\p{{Nd}}[^0-9A-Za-z]*(?:{_unit_pattern(units)})(?![A-Za-z])"
+    """A digit and a unit, with neither ASCII letters nor digits between.  Its first
+    character, looked at ahead, rules most places out before the units are tried."""
+    begins = "".join(re.escape(c) for c in sorted({u[0] for u in units if u}))
+    ahead = f"(?=[{begins}])" if all(units) else ""
+    return rf"\p{{Nd}}[^0-9A-Za-z]*{ahead}(?:{_unit_pattern(units)})(?![A-Za-z])"
 
 
 def number_units(text: Column, units=UNITS) -> Column:
@@ -115,8 +118,8 @@ def number_units(text: Column, units=UNITS) -> Column:
     if not units:
         return F.array().cast("array<struct<number:string,unit:string>>")
     pattern = rf"(?<![{_W}.])([-+]?\p{{Nd}}(?:[\p{{Nd}}\s\u00A0\u202F,.]*\p{{Nd}})?)\s*({_unit_pattern(units)})(?![A-Za-z])"
-    _SHORTER[pattern] = _digit_and_unit(units)
-    return F.arrays_zip(all_of(text, pattern, 1).alias("number"), all_of(text, pattern, 2).alias("unit"))
+    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(k)).alias(n) for k, n in ((1, "number"), (2, "unit"))])
+    return F.when(text.rlike(_digit_and_unit(units)), found).otherwise(F.array().cast("array<struct<number:string,unit:string>>"))
 
 
 def _blank(text: str, spans) -> str:
@@ -203,6 +206,12 @@ def _once(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """What stands outside the matches, a space for each: only to see whether
+    something is left, for which no mask of their length is needed."""
+    return F.regexp_replace(text, F.lit("(?U)" + pattern), F.lit(" "))
+
+
 def paths(text: Column) -> Column:
     """Drive paths, then rooted paths, outside URLs."""
     tail = "[" + re.escape(TRAILING) + "]+$"
@@ -211,14 +220,19 @@ def paths(text: Column) -> Column:
         every = F.transform(F.concat(all_of(body, _JVM_DRIVE), all_of(body, _JVM_UNIX)), lambda v: F.regexp_replace(v, tail, ""))
         return F.filter(every, lambda v: v != "")
 
-    return F.when(text.contains("/") | text.contains("\\"), _once(masked(text, URL), found)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    slashes = lambda body: F.contains(body, F.lit("/")) | F.contains(body, F.lit("\\"))
+    out = F.when(likely(text, URL) & ~slashes(_without(text, URL)), none)
+    return out.when(slashes(text), _once(masked(text, URL), found)).otherwise(none)
 
 
 def filenames(text: Column) -> Column:
     """Names with an extension, outside URLs and paths."""
     slashes = F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\"))
     bare = F.when(slashes, _once(masked(text, URL), lambda body: masked(body, _JVM_DRIVE, _JVM_UNIX))).otherwise(text)
-    return F.when(text.contains("."), _once(bare, lambda body: all_of(body, _JVM_FILE))).otherwise(F.array().cast("array<string>"))
+    none, ending = F.array().cast("array<string>"), r"\.[A-Za-z]"
+    out = F.when(likely(text, URL) & ~_without(text, URL).rlike(ending), none)
+    return out.when(text.rlike(ending), _once(bare, lambda body: all_of(body, _JVM_FILE))).otherwise(none)
 
 
 def plain_numbers(text: Column, units=UNITS) -> Column:
@@ -232,7 +246,15 @@ def plain_numbers(text: Column, units=UNITS) -> Column:
     alone = rf"(?<![{_W}.]){_JVM_NUMBER}(?![{_W}.])"
     stopped = lambda body: F.when(body.contains("."), F.regexp_replace(body, "(?U)" + _JVM_STOP, " ")).otherwise(body)
     found = lambda body: all_of(stopped(body), alone)
-    return F.when(text.rlike(r"\p{Nd}"), _once(masked(text, *patterns), found)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    # A number's first digit follows nothing that a word may hold, or a mask; of the
+    # masks only placeholders with % end in a letter before a digit, and pairs, which
+    # begin with such a digit themselves.
+    out = F.when(~(text.rlike(rf"\p{{Nd}}(?<![{_W}.]\p{{Nd}})") | F.contains(text, F.lit("%"))), none)
+    out = out.when(~reduce(lambda p, q: p | q, [likely(text, p) for p in patterns]), found(text))
+    for p in patterns:  # one pattern that takes all digits leaves no number
+        out = out.when(likely(text, p) & ~_without(text, p).rlike(r"\p{Nd}"), none)
+    return out.when(text.isNotNull(), _once(masked(text, *patterns), found)).otherwise(none)
 
 
 def masked_literals(text) -> Column:

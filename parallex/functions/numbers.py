@@ -127,7 +127,8 @@ def _guarded(source: Column, target: Column, kind: str, plain, read, shown) -> C
         apart = F.transform(F.array(F.struct(F.transform(x["s"], read).alias("s"), F.transform(x["t"], read).alias("t"))), lambda y: _difference(y["s"], y["t"], shown))[0]
         return F.when((x["s"] == x["t"]) & F.forall(x["s"], plain), blank).otherwise(apart)
 
-    return F.transform(F.array(F.struct(source.alias("s"), target.alias("t"))), pick)[0]
+    apart = F.transform(F.array(F.struct(source.alias("s"), target.alias("t"))), pick)[0]
+    return F.when((F.size(source) == 0) & (F.size(target) == 0), blank).otherwise(apart)
 
 
 def number_difference(source, target) -> Column:

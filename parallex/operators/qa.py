@@ -70,21 +70,24 @@ def _han_residue(units: DataFrame, glossary: DataFrame | None) -> DataFrame:
     return units.withColumn("_han", F.when(wanted, literals.han_runs(masked)).otherwise(F.array().cast("array<string>"))).drop("_allowed")
 
 
-def _literal_differences(units: DataFrame, glossary: DataFrame | None, checks) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
-    """``units`` with what the asked literal and number checks need, and what each
-    misses and finds too much.  Nothing is made for checks that aren't asked."""
+def _literal_differences(units: DataFrame, glossary: DataFrame | None, checks) -> tuple[DataFrame, dict[str, tuple[Column, Column]], dict[str, Column]]:
+    """``units`` with what the asked literal and number checks need, what each misses
+    and finds too much, and whether that is anything.  Nothing is made for checks
+    that aren't asked."""
     wanted = [c for c in CHECKS if c not in _GLOSSARY_CHECKS and (checks is None or c in checks)]
-    none, found = F.array().cast("array<string>"), {}
+    none, found, equal = F.array().cast("array<string>"), {}, {}
     units = units.withColumns({"_ms": literals.masked_literals("source"), "_mt": literals.masked_literals("target")})
+    if "NUMBER_UNIT_INTEGRITY" in wanted:
+        units = units.withColumns({f"_u{c[0]}": literals.number_units(F.col(c)) for c in ("source", "target")})
     source, target = (literals.extracted(F.col(c), F.col(m)) for c, m in (("source", "_ms"), ("target", "_mt")))
     columns = {}
     for check in wanted:
         if check in source:
             columns |= {f"_s_{check}": source[check], f"_t_{check}": target[check]}
             a, b = F.col(f"_s_{check}"), F.col(f"_t_{check}")
-            found[check] = multiset.minus(a, b), multiset.minus(b, a)
+            found[check], equal[check] = (multiset.minus(a, b), multiset.minus(b, a)), a == b
     if "NUMBER_UNIT_INTEGRITY" in wanted:
-        columns["_units"] = numbers.number_unit_difference(literals.number_units(F.col("source")), literals.number_units(F.col("target")))
+        columns["_units"] = numbers.number_unit_difference(F.col("_us"), F.col("_ut"))
         found["NUMBER_UNIT_INTEGRITY"] = F.col("_units.missing"), F.col("_units.extra")
     if "NUMBER_INTEGRITY" in wanted:
         columns["_plain"] = numbers.number_difference("_ms.numbers", "_mt.numbers")
@@ -92,7 +95,9 @@ def _literal_differences(units: DataFrame, glossary: DataFrame | None, checks) -
     if "UNTRANSLATED_SOURCE_TEXT" in wanted:
         units = _han_residue(units, glossary)
         found["UNTRANSLATED_SOURCE_TEXT"] = none, F.col("_han")
-    return units.withColumns(columns), {c: found[c] for c in wanted}
+    # Most sides are equal, which is seen before any difference is taken.
+    differ = {c: ~equal[c] & _differ(*found[c]) if c in equal else _differ(*found[c]) for c in wanted}
+    return units.withColumns(columns), {c: found[c] for c in wanted}, differ
 
 
 def _differ(missing: Column, extra: Column) -> Column:
@@ -103,17 +108,16 @@ def literal_issues(units: DataFrame, glossary: DataFrame | None = None, checks:
     """``id``, ``ordinal``, ``location`` and one row for each literal or number
     issue of the asked ``checks`` (all by default).  Row-local: the units are
     scanned once and nothing is shuffled."""
-    units, found = _literal_differences(units, glossary, checks)
+    units, found, differ = _literal_differences(units, glossary, checks)
     # An issue is built only where there is one: most units have none.
-    issues = F.array(*[F.when(_differ(*sides), _issue(c, *sides)) for c, sides in found.items()])
+    issues = F.array(*[F.when(differ[c], _issue(c, *sides)) for c, sides in found.items()])
     return units.select("id", "ordinal", "location", F.inline(F.array_compact(issues)))
 
 
 def literal_summary(units: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     """Units and literal issues by severity, counted in the row: no issue is built."""
-    units, found = _literal_differences(units, glossary, None)
-    hit = lambda sides: F.when(_differ(*sides), 1).otherwise(0)
-    total = lambda level: sum((hit(s) for c, s in found.items() if CHECKS[c] == level), F.lit(0))
+    units, _, differ = _literal_differences(units, glossary, None)
+    total = lambda level: sum((F.when(d, 1).otherwise(0) for c, d in differ.items() if CHECKS[c] == level), F.lit(0))
     rows = units.select(total("ERROR").alias("e"), total("WARNING").alias("w"))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("e", "error_count"), ("w", "warning_count"))]
     return rows.agg(F.count("*").alias("units_checked"), *sums)

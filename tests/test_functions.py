@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from decimal import Decimal
 
 import pytest
@@ -99,3 +100,26 @@ def test_masks_cut_at_marks_and_compile_no_pattern_for_each_text(spark):
     got = {r.t: (r.n, r.p) for r in df.select("t", numbers_of.alias("n"), literals.paths(F.col("t")).alias("p")).collect()}
     assert got == {t: (literals.plain_numbers_of(t), literals.paths_of(t)) for t in texts}
     assert not re.search(r"split\(\w+, '?\(\?U\)", str(numbers_of))
+
+
+def test_guards_change_no_literals(spark):
+    draw, words = random.Random(4), ["%s5", "5ms3", "5", "{p7}", "{7}8", "/a/9", "https://a.b/1.", "v1.2", "version 3.4", "7 %", "r4.csv", "--o5", "-6", ".5", "3.", "c:\\d 1", "x9", "%1$s2", "1,5 GB", "é8", "(4)", "'a.b'", "/", "%"]
+    texts = ["", "12 {x} 34", *("".join(draw.choice(words) + draw.choice(["", " ", " ", ". "]) for _ in range(draw.randint(1, 4))) for _ in range(1500))]
+    table = spark.createDataFrame([(t,) for t in set(texts)] + [(None,)], "t string")
+    m = literals.masked_literals("t")
+    for r in table.select("t", m.paths.alias("p"), m.filenames.alias("f"), m.numbers.alias("n")).collect():
+        t = r.t or ""
+        assert (r.p, r.f, r.n) == (literals.paths_of(t), literals.filenames_of(t), literals.plain_numbers_of(t)), t
+
+
+def test_no_masks_where_no_number_can_be(spark):
+    table = spark.range(0, 150_000, 1, 4).selectExpr("concat('Run {p', id, '} with --opt', id, ' and r', id, '.csv in /var/p', id) as t")
+
+    def seconds(column):
+        begin = time.monotonic()
+        table.select(column.alias("c")).write.format("noop").mode("overwrite").save()
+        return time.monotonic() - begin
+
+    masks = literals.masked(F.col("t"), literals.URL, literals._JVM_DRIVE, literals._JVM_UNIX, literals.PLACEHOLDER, literals.VERSION)
+    took = [[seconds(c) for c in (literals.plain_numbers(F.col("t")), masks)] for _ in range(3)][1:]
+    assert min(x for x, _ in took) < min(y for _, y in took)
