@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
 from parallex.llm import jaccard_join, line_dedup, packing, quality_mil, quality_rules
-from parallex.shared import written
+from parallex.shared import importable, written
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage may run by itself: its Python workers find this repository too."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
 
 
+@_stage
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules (3): failing lines and rejected documents go."""
     return quality_rules.clean(docs)
 
 
+@_stage
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier (7): rejects go.  It learns from the labelled documents
     without their failing lines, as it gets them here; rows without a text are
@@ -25,16 +41,19 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_mil.keep_good(docs, model)
 
 
+@_stage
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (2): of each group of like lines the first stays."""
     return line_dedup.without_repeats(docs)
 
 
+@_stage
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (1), five words and 0.8: one document of each group stays."""
     return jaccard_join.one_of_each(docs)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing (6) of what is left."""
     return packing.pack(docs, packing.Packing(public_tokenizers.path("word_bpe_49k.json")))

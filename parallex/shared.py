@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this repository wherever the driver started."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if here not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *known])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
